@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality_rules, sharding, simhash
+from tessera.llm import mixing, packing, paragraph_dedup, quality_rules, sharding, simhash
 from tessera.llm.common import documents
 
 
@@ -26,7 +26,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
 
-QUERIES = (op1_quality_rules, op3_sharding, op4_simhash, op8_mixing)
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.report(documents(spark, sf_dir))
+
+
+QUERIES = (op1_quality_rules, op3_sharding, op4_simhash, op8_mixing, op9_packing, op10_paragraph_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

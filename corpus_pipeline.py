@@ -1,19 +1,44 @@
-"""The training-data pipeline: documents in, packed token sequences out."""
+"""The training-data pipeline: documents in, packed token sequences out.
+
+Each stage takes what its predecessor kept and, but for the last, returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
+from tessera.llm import mixing, packing, paragraph_dedup, quality_rules, simhash
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
-STAGES = [("quality rules", filter_quality)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", filter_quality),
+    ("SimHash near-dedup", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-#: Fingerprints, random keys and tokenizers have no SQL form.
+#: Fingerprints, MinHash bands and tokenizers have no SQL form.
 ORACLE_SQL = None
 
 

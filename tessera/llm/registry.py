@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, paragraph_dedup, quality_rules, sharding, simhash
+from tessera.llm import chat, mixing, packing, paragraph_dedup, quality_rules, sharding, simhash, topk_search
 from tessera.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir))
 
@@ -22,6 +26,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -34,7 +42,7 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.report(documents(spark, sf_dir))
 
 
-QUERIES = (op1_quality_rules, op3_sharding, op4_simhash, op8_mixing, op9_packing, op10_paragraph_dedup)
+QUERIES = (op1_quality_rules, op2_topk_search, op3_sharding, op4_simhash, op6_chat_format, op8_mixing, op9_packing, op10_paragraph_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}
+    return {
+        "op1_quality_rules": quality_rules.ORACLE,
+        "op2_topk_search": topk_search.ORACLE,
+        "op6_chat_format": chat.ORACLE,
+        "op8_mixing": mixing.ORACLE,
+    }

@@ -61,3 +61,14 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: str, rows: int, chars: int) -> tuple[list[str], list[int]]:
+    """Texts and 0/1 labels of at most ``rows`` labelled documents of the training ``fold`` (SQL over doc_id), taken by
+    a hash of the id; texts of more than ``chars`` characters are left out. This bounds what a fit sees, not what is
+    scored. The ids of the sample, ``rows`` at most, are broadcast, so texts are not shuffled."""
+    known = labels.where(f"{label} in (0, 1) and doc_id is not null").where(fold).select("doc_id", F.col(label).cast("int").alias("y"))
+    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text", "y").toArrow()
+    return got.column("text").to_pylist(), got.column("y").to_pylist()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, packing, paragraph_dedup, quality_rules, sharding, simhash, topk_search
+from tessera.llm import chat, mixing, packing, paragraph_dedup, quality_cnn, quality_rules, sharding, simhash, topk_search, toxicity
 from tessera.llm.common import documents
 
 
@@ -26,10 +26,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir))
 
@@ -42,7 +50,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.report(documents(spark, sf_dir))
 
 
-QUERIES = (op1_quality_rules, op2_topk_search, op3_sharding, op4_simhash, op6_chat_format, op8_mixing, op9_packing, op10_paragraph_dedup)
+QUERIES = (
+    op1_quality_rules, op2_topk_search, op3_sharding, op4_simhash, op5_toxicity, op6_chat_format, op7_quality_cnn,
+    op8_mixing, op9_packing, op10_paragraph_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

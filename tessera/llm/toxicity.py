@@ -54,22 +54,23 @@ _HOT = re.compile(rb"[IWT]")
 PRIOR = np.asarray([2.5, 1.0, 1.0, 2.0, 0.1, -2.5])
 RIDGE = 0.5
 #: Log-likelihood ratio beyond which a word or word beginning is toxic beyond chance, and beginnings' lengths.
-LEAST_RATIO, STEMS = 20.0, range(4, 8)
+LEAST_RATIO, STEMS = 20.0, range(4, 9)
 _KNOWN_WORDS = 300_000
 
 
 class _Lexicon(dict):
     """Word -> symbol; remembers words while there is room."""
 
-    def __init__(self, strong: set[str], stems: set[str]):
+    def __init__(self, strong: set[str], stems: set[str], weak: set[str]):
         super().__init__({w: WEAK for w in INSULTS})
         self.update({w: INSULT for w in strong})
         for words, symbol in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (".!?;\n", END)):
             self.update({w: symbol for w in words})
-        self.stems = stems
+        self.stems, self.weak = stems, weak
 
     def __missing__(self, word: str) -> int:
-        symbol = INSULT if any(word[:n] in self.stems for n in STEMS if len(word) > n) else OTHER
+        starts = {word[:n] for n in STEMS if len(word) > n}
+        symbol = INSULT if starts & self.stems else WEAK if starts & self.weak else OTHER
         if len(self) < _KNOWN_WORDS:
             self[word] = symbol
         return symbol
@@ -89,28 +90,51 @@ def matches(text: str, lexicon: dict) -> np.ndarray:
     return np.log1p(np.asarray(sums, float))
 
 
-def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[set[str], set[str]]:
-    """(words, word beginnings) that mark toxic texts beyond chance; a beginning is taken at its shortest."""
-    seen = (Counter(), Counter())
+def learn_lexicon(texts: list[str], labels: list[int]) -> tuple[set[str], set[str], set[str]]:
+    """(strong words, strong beginnings, weak beginnings) that mark toxic texts beyond chance. Strong ones hardly occur
+    elsewhere; weak ones do, but several times less often a text. Of nested beginnings the most telling is
+    taken, of equally telling ones the shortest."""
+    seen, often = (Counter(), Counter()), (Counter(), Counter())
     for text, y in zip(texts, labels, strict=True):
-        words = set(re.findall(r"[^\W\d_]+", text.lower()))
-        seen[y].update(words | {w[:n] + "*" for w in words for n in STEMS if len(w) > n})
+        words = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+        stems = Counter()
+        for w, n in words.items():
+            for k in STEMS:
+                if len(w) > k:
+                    stems[w[:k] + "*"] += n
+        seen[y].update(words.keys() | stems.keys())
+        often[y].update(stems)
     total = (labels.count(0), labels.count(1))
     base = total[1] / max(1, sum(total))
 
     def ratio(w: str) -> float:
         pos, neg = seen[1][w], seen[0][w]
         share = pos / (pos + neg)
-        if neg > 0.02 * pos or share <= base or not 0 < base < 1:
+        if share <= base or not 0 < base < 1:
             return 0.0
         return 2 * (pos * math.log(share / base) + (neg * math.log((1 - share) / (1 - base)) if neg else 0))
 
-    strong = {w for w in seen[1] if w[-1] != "*" and ratio(w) >= LEAST_RATIO}
-    stems: set[str] = set()
-    for w in sorted((w for w in seen[1] if w[-1] == "*" and ratio(w) >= LEAST_RATIO), key=len):
-        if not any(w[:n] in stems for n in STEMS if n < len(w) - 1):
-            stems.add(w[:-1])
-    return strong, stems
+    def rare(w: str) -> bool:
+        return seen[0][w] <= 0.02 * seen[1][w]
+
+    def repeated(w: str) -> bool:
+        pos, neg = often[1][w] / seen[1][w], often[0][w] / max(1, seen[0][w])
+        return pos >= 2 * neg and often[1][w] * total[0] >= 40 * often[0][w] * total[1]
+
+    beyond = sorted((w for w in seen[1] if ratio(w) >= LEAST_RATIO), key=lambda w: (-ratio(w), len(w), w))
+
+    def best(good) -> set[str]:
+        out: set[str] = set()
+        for w in beyond:
+            stem = w[:-1]
+            if w[-1] == "*" and good(w) and not any(x.startswith(stem) or stem.startswith(x) for x in out):
+                out.add(stem)
+        return out
+
+    weak = best(lambda w: not rare(w) and repeated(w))
+    held = lambda w: any(w[:n] in weak for n in STEMS)
+    strong = {w for w in beyond if w[-1] != "*" and rare(w) and not held(w)}
+    return strong, best(lambda w: rare(w) and not held(w)), weak
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -125,23 +149,24 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[set[str], set[str], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple[set[str], set[str], set[str]], np.ndarray]:
+    """The lexicon and the output weights."""
     texts, y = labelled_sample(docs, labels, "toxic", f"not ({HELD_OUT})", TRAIN_ROWS, TRAIN_CHARS)
-    strong, stems = learn_lexicon(texts, y)
+    learned = learn_lexicon(texts, y)
     if not texts:
-        return strong, stems, PRIOR
-    lexicon = _Lexicon(strong, stems)
-    return strong, stems, fit_weights(np.stack([matches(t, lexicon) for t in texts]), np.asarray(y, float))
+        return learned, PRIOR
+    lexicon = _Lexicon(*learned)
+    return learned, fit_weights(np.stack([matches(t, lexicon) for t in texts]), np.asarray(y, float))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    strong, stems, weights = learn(docs, labels)
+    learned, weights = learn(docs, labels)
     small_batches(spark, 256)
 
     def run(batches):
-        lexicon = _Lexicon(strong, stems)
+        lexicon = _Lexicon(*learned)
         for b in batches:
             x = np.asarray([matches(t or "", lexicon) for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(PRIOR) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))

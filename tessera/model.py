@@ -27,17 +27,25 @@ DEFAULT_CONFIDENCE = 0.6
 
 SCHEMA_VERSION = 1
 
-PROJECTS = T.StructType.fromDDL("id long, root_path string, name string, indexed_at long, api_version string")
-NODES = T.StructType.fromDDL(
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def _struct(columns: str) -> T.StructType:
+    """The schema of "name type, ..."; unlike Spark's own reader of such text it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+PROJECTS = _struct("id long, root_path string, name string, indexed_at long, api_version string")
+NODES = _struct(
     "id long, project_id long, label string, name string, qualified_name string, file_path string, start_line int, "
     "end_line int, properties string, content_hash string, created_at long, updated_at long"
 )
-EDGES = T.StructType.fromDDL(
+EDGES = _struct(
     "id long, project_id long, source_id long, target_id long, edge_type string, confidence double, properties string, "
     "source_file string, source_line int"
 )
-FILE_HASHES = T.StructType.fromDDL("project_id long, file_path string, content_hash string, indexed_at long")
-FILE_BACKREFS = T.StructType.fromDDL("project_id long, target_file string, referring_file string")
+FILE_HASHES = _struct("project_id long, file_path string, content_hash string, indexed_at long")
+FILE_BACKREFS = _struct("project_id long, target_file string, referring_file string")
 
 #: Fields of an entity that a query may name directly; anything else is looked up in ``properties``.
 NODE_FIELDS = ("id", "label", "name", "qualified_name", "file_path", "start_line", "end_line", "properties", "content_hash")

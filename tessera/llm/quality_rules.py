@@ -163,7 +163,10 @@ def keep_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns as they were."""
     ordered = order_rules(docs, text_col=text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return measure(docs, [row], text_col=text_col).where(cascade(ordered).isNull()).select("_row.*")
+    # pushed below the counts, the filter would compute each count anew wherever it is named; it can't be pushed below
+    # a column that isn't deterministic
+    measured = measure(docs, [row], text_col=text_col).withColumn("_mark", F.monotonically_increasing_id())
+    return measured.where(cascade(ordered).isNull() & (F.col("_mark") >= 0)).select("_row.*")
 
 
 _DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

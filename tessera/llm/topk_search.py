@@ -141,6 +141,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     shards = max(1, -(-n // SHARD_ROWS))
     # shards are ranges of the locality order
     index = stage(keyed.repartitionByRange(shards, "_key", F.xxhash64("q")).sortWithinPartitions("_key").withColumn("_shard", F.spark_partition_id()))
+    shards = (index.agg(F.max("_shard")).first()[0] or 0) + 1  # as dealt: the session may have asked for more
     queries = stage(rows.where(is_query).select("vec_id", "q").dropDuplicates())
     groups = max(1, -(-queries.count() // GROUP_ROWS))
     grouped = queries.withColumn("_group", F.expr(f"cast(pmod(xxhash64(vec_id), {groups}) as int)"))

@@ -28,7 +28,10 @@ from tessera.llm.common import small_batches, stage
 CAPACITY, END_ID = 1024, 2
 #: Rows numbered together, about.
 RANK_ROWS = 4096
-ROUNDS, STEP = 160, 0.5
+#: Rounds of the weights; share of a length that one use covers; how near to the best a pattern must be; rate at which
+#: cover lowers weights; fullness below which a pattern isn't kept; scales at which the answer is rounded.
+ROUNDS, STEP, NEAR, ETA, FULL = 48, 0.25, 0.02, 0.5, 0.998
+SCALES = (1.0, 0.75, 0.5, 0.25, 0.1)
 
 # The vocabulary's own split, for texts of ASCII and Latin letters only; any other text goes to the tokenizer whole.
 _L, _S = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", "\\t-\\r "
@@ -109,44 +112,85 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     return given.mapInArrow(cut, "doc_id long, tie long, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the most valuable pattern: an unbounded knapsack by dynamic programming."""
-    value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the best value of every room, and the piece to put there first (0:
+    leave one place empty). Of equally good pieces the longest, so that short ones stay to fill gaps."""
+    value, first = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    back = price[::-1]
     for room in range(1, capacity + 1):
-        gain = price[1 : room + 1] + value[room - 1 :: -1] if room > 1 else price[1:2] + value[:1]
+        gain = back[capacity - room : capacity] + value[:room]  # pieces room, room - 1, ..., 1
         k = int(np.argmax(gain))
-        value[room], last[room] = (gain[k], k + 1) if gain[k] > value[room - 1] else (value[room - 1], 0)
-    out, room = np.zeros(capacity + 1, np.int64), capacity
+        value[room], first[room] = (gain[k], room - k) if gain[k] > value[room - 1] + 1e-12 else (value[room - 1], 0)
+    return value, first
+
+
+def _pattern(size: int, first: np.ndarray, capacity: int) -> np.ndarray:
+    """A piece of ``size`` and the best filling of the room beside it."""
+    out, room = np.zeros(capacity + 1, np.int64), capacity - size
+    out[size] = 1
     while room:
-        if last[room]:
-            out[last[room]] += 1
-            room -= last[room]
-        else:
-            room -= 1
+        piece = int(first[room])
+        out[piece] += piece > 0
+        room -= piece or 1
     return out
 
 
 def _fill(left: np.ndarray, capacity: int) -> np.ndarray:
-    """A pattern from what is left: the longest piece, then ever the longest that still fits."""
-    out, room = np.zeros_like(left), capacity
+    """A pattern from what is left: the longest piece, then one or two that fill the room exactly, or else the longest
+    that still fits, and so on."""
+    out, room, free = np.zeros_like(left), capacity, left.copy()
     while room:
-        fits = np.flatnonzero(left[: room + 1] > out[: room + 1])
+        fits = np.flatnonzero(free[: room + 1])
         if not len(fits):
             break
-        size = int(fits[-1])
-        n = min(int(left[size] - out[size]), room // size)
-        out[size] += n
-        room -= n * size
+        sizes = [int(fits[-1])]
+        if room < capacity and sizes[0] < room:
+            half = fits[fits <= room // 2]
+            pair = half[(free[room - half] > 0) & ((2 * half != room) | (free[half] > 1))]
+            if len(pair):
+                sizes = [int(pair[-1]), room - int(pair[-1])]
+        for size in sizes:
+            out[size] += 1
+            free[size] -= 1
+            room -= size
     return out
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, int]]:
+def _priced(need: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarray, float]]:
+    """A fractional answer of the covering program: patterns with their uses, by multiplicative weights.
+
+    A piece's weight starts at its share of the capacity. A round prices pieces by their weights, and of the patterns
+    that the knapsack finds around each length takes those worth nearly the most; each is used until it covers a share
+    ``STEP`` of its scarcest length. What a round covers then loses weight by as much.
+    """
+    size = np.arange(capacity + 1)
+    some = np.flatnonzero(need > 0)[::-1].tolist()
+    weight = np.where(need > 0, size / capacity, 0.0)
+    total = np.maximum(need, 1)
+    used: dict[bytes, float] = {}
+    for _ in range(rounds):
+        value, first = _knapsack(weight, capacity)
+        covered = np.zeros(capacity + 1)
+        worth = weight[some] + value[[capacity - x for x in some]]
+        least = (1 - NEAR) * worth.max()
+        for x, w in zip(some, worth.tolist(), strict=True):
+            if w >= least and covered[x] < STEP:
+                pattern = np.minimum(_pattern(x, first, capacity), need)
+                has = np.flatnonzero(pattern)
+                use = STEP * float((need[has] / pattern[has]).min())
+                covered[has] += use * pattern[has] / total[has]
+                key = pattern.tobytes()
+                used[key] = used.get(key, 0.0) + use
+        weight *= np.exp(-ETA * covered)
+        weight /= max(weight.max(), 1e-300)
+    return [(np.frombuffer(k, np.int64), u) for k, u in used.items()]
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Patterns (copies of each length 0..capacity) and how often each is used; together they hold just ``counts``.
 
-    Covering program: least total use of patterns such that every length is covered. Each round prices lengths by
-    their weights, takes the pattern worth most, uses it until it has covered a share ``step`` of its scarcest length,
-    and lowers the weights of what it covered. The fractional uses are scaled back to the counts and rounded down; what
-    is left over is filled pattern by pattern.
+    The fractional answer is scaled to the counts and rounded down, fullest patterns first, at each of ``SCALES``; what
+    a rounding leaves over is filled pattern by pattern. The rounding that needs the fewest sequences stands.
     """
     left = counts.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
@@ -155,40 +199,28 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, st
         full[capacity] = 1
         out.append((full, int(left[capacity])))
         left[capacity] = 0
-    need = left.astype(float)
-    some = need > 0
-    if some.sum() > 1 and need.sum() > 64:
-        size = np.arange(capacity + 1)
-        weight = np.where(some, 1.0, 0.0)
-        used: dict[bytes, float] = {}
-        cover = np.zeros(capacity + 1)
-        for _ in range(rounds):
-            pattern = np.minimum(_best_pattern(size * weight, capacity), left)
-            has = pattern > 0
-            share = np.zeros(capacity + 1)
-            share[has] = pattern[has] / need[has]
-            use = step / share.max()
-            used[pattern.tobytes()] = used.get(pattern.tobytes(), 0.0) + use
-            cover += use * share
-            weight *= np.exp(-use * share)
-            weight /= weight.max()
-        scale = 1 / max(1.0, cover[some].max())
-        for key, use in sorted(used.items(), key=lambda x: -x[1]):
-            pattern = np.frombuffer(key, np.int64)
-            has = pattern > 0
-            if int((pattern * size).sum()) < capacity - 1:
-                continue  # not worth keeping: what is left over may fill it better
-            n = min(int(use * scale), int((left[has] // pattern[has]).min()))
+    size = np.arange(capacity + 1)
+    uses = _priced(left, capacity, rounds) if (left > 0).sum() > 1 else []
+    mean = sum(float((p * size).sum()) * u for p, u in uses) / max(1, int((left * size).sum()))
+    uses = sorted(((p, u) for p, u in uses if int((p * size).sum()) >= FULL * capacity), key=lambda x: (-int((x[0] * size).sum()), -int(np.flatnonzero(x[0])[-1]), -x[1]))
+    best: list[tuple[np.ndarray, int]] | None = None
+    for scale in SCALES:
+        rest, made = left.copy(), []
+        for pattern, use in uses:
+            has = np.flatnonzero(pattern)
+            n = min(int(use * scale / mean), int((rest[has] // pattern[has]).min()))
             if n > 0:
-                out.append((pattern, n))
-                left -= n * pattern
-    while left.any():
-        pattern = _fill(left, capacity)
-        has = pattern > 0
-        n = int((left[has] // pattern[has]).min())
-        out.append((pattern, n))
-        left -= n * pattern
-    return out
+                made.append((pattern, n))
+                rest -= n * pattern
+        while rest.any():
+            pattern = _fill(rest, capacity)
+            has = np.flatnonzero(pattern)
+            n = int((rest[has] // pattern[has]).min())
+            made.append((pattern, n))
+            rest -= n * pattern
+        if best is None or sum(n for _, n in made) < sum(n for _, n in best):
+            best = made
+    return out + best
 
 
 def _places(patterns: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -152,6 +152,8 @@ _NATION_USE = reports.ImpactRules("Nation", ("IN_NATION",), buckets={"Customer":
 _IMPACT = "bucket, kind, label, qualified_name, edge_type, confidence, line".split(", ")
 _add("impact_direct", _graph(lambda g: reports.impact(g, 1, "Part#5", rules=_PART_USE).select(*_IMPACT)), "SELECT DISTINCT 'orders' AS bucket, 'direct' AS kind, s.label, s.qname AS qualified_name, e.type AS edge_type, e.conf AS confidence, e.line FROM e JOIN n s ON s.id = e.src WHERE e.type = 'CONTAINS_PART' AND e.dst = 5000000000005")
 _add("impact_buckets", _graph(lambda g: reports.impact(g, 1, "NATION#7", rules=_NATION_USE).groupBy("bucket").agg(F.count("*").alias("c"))), "SELECT CASE s.label WHEN 'Customer' THEN 'customers' ELSE 'suppliers' END AS bucket, count(*) AS c FROM e JOIN n s ON s.id = e.src WHERE e.type = 'IN_NATION' AND e.dst = 2000000000007 GROUP BY 1")
+_INDIRECT = reports.ImpactRules("Nation", ("IN_REGION",), "Nation", {"Customer": ("IN_NATION",)}, {"Customer": "customers"})
+_add("impact_indirect", _graph(lambda g: reports.impact(g, 1, "NATION#7.any", rules=_INDIRECT).select("bucket", "kind", "label", "qualified_name")), "SELECT 'customers' AS bucket, 'indirect' AS kind, s.label, s.qname AS qualified_name FROM e JOIN n s ON s.id = e.src WHERE e.type = 'IN_NATION' AND e.dst = 2000000000007 AND s.label = 'Customer'")
 _add("access_grants", _graph(lambda g: reports.grants(g, 1, "Nation", "IN_NATION", "NATION#3").select("id", "label", "qualified_name")), "SELECT s.id, s.label, s.qname AS qualified_name FROM e JOIN n s ON s.id = e.src WHERE e.type = 'IN_NATION' AND e.dst = 2000000000003")
 _add(
     "access_groups",
@@ -173,6 +175,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("diff_changes", lambda s, d: _changes(s, d).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch")
+_add("diff_metadata_only", lambda s, d: diff.changes(bind_tables(s, d, snapshot=True), 1, 2, include_source=False).where("kind = 'node'").select("identity", "change"), _DIFF + "SELECT identity, change FROM ch WHERE kind = 'node'")
 _add("diff_summary", lambda s, d: diff.summary(_changes(s, d)), _DIFF + "SELECT change, count(*) AS count FROM ch GROUP BY change")
 _add("diff_page2", lambda s, d: diff.page(_changes(s, d), 20, 20).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch ORDER BY kind, identity LIMIT 20 OFFSET 20")
 

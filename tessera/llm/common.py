@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: word splitting, staging in the shared folder, Arrow batch size."""
+"""What the operators of this subpackage share: word splitting, Arrow batch size, labelled samples, input."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.staging import stage  # noqa: F401  (operators take it from here)
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _BLANKS = "\t\n\x0b\x0c\r"
@@ -31,36 +30,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts its lineage, survives lost executors, has true sizes.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Whole texts can be long: hand Python workers few rows at a time, so that a worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table. In fewer files than there are cores, which are small tables, its rows are dealt out once so
+    that all cores work; a table of many files is read as it lies."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: str, rows: int, chars: int) -> tuple[list[str], list[int]]:

@@ -149,6 +149,43 @@ def test_paragraphs_odd(odd, odd_rows, nothing):
     assert paragraph_dedup.remove_repeats(odd).columns == odd.columns
 
 
+def brute_passages(docs, least=50):
+    """Word places to remove in texts without repeated lines: each run of ``least`` words that stood before."""
+    seen, out = {}, set()
+    for d, text in sorted(docs):
+        w = text.lower().split()
+        for i in range(len(w) - least + 1):
+            if seen.setdefault(tuple(w[i : i + least]), (d, i)) != (d, i):
+                out |= {(d, j) for j in range(i, i + least)}
+    return out
+
+
+def test_passages_inside_lines(spark):
+    """Passages that begin and end mid-line, go over line ends, come twice in one line, or are a word too short."""
+    rng = np.random.default_rng(4)
+
+    def some(n):
+        return [f"w{x}" for x in rng.integers(0, 3000, n)]
+
+    one, two, three, short = some(59), some(50), some(80), some(49)
+    docs = [
+        (1, [*some(58), *one, *some(9)]), (2, [*some(90), *one, *some(29)]), (3, [*some(7), *two, *some(70), *two, *some(3)]),
+        (4, [*some(33), *three, *some(20)]), (5, [*some(11), *three[5:70], *some(40)]), (6, [*some(30), *short, *some(30)]), (7, [*some(60), *short, *some(5)]),
+        (8, [*one[:55], *some(4)]), (9, ["A", "b"] * 90), (10, some(70)),
+    ]
+    rows = [(d, " ".join(w)) for d, w in docs]
+    rows[4] = (5, " ".join(docs[4][1][:40]) + "  \n\n" + " ".join(docs[4][1][40:]))
+    want = {x for x in brute_passages(rows) if x[0] != 9}  # occurrences that overlap are one
+    assert {d for d, _ in want} == {2, 3, 5, 8}
+    df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").repartition(3)
+    got = paragraph_dedup.report(df).collect()
+    assert {(r["doc_id"], j) for r in got for j in range(r["first_word"], r["first_word"] + r["n_words"])} == want
+    assert {r["doc_id"]: r["kept_doc_id"] for r in got} == {2: 1, 3: 3, 5: 4, 8: 1} and len(got) == 4
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_repeats(df).collect()}
+    assert {d: t.split() for d, t in left.items()} == {d: [x for j, x in enumerate(t.split()) if (d, j) not in want] for d, t in rows}
+    assert left[1] == rows[0][1] and left[2] == " ".join([*docs[1][1][:90], *docs[1][1][149:]])
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999

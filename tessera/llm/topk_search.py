@@ -5,8 +5,8 @@ blocks, document ranges of that order; a block keeps its forward index (its matr
 smallest weight. For a query the blocks are ordered by the sum of term maxima (weight times the block's largest or
 smallest component, by its sign), and scored in that order until the next bound falls below the query's k-th score.
 
-Equal vectors are one entry with its k + 1 smallest ids, which is all that can reach a top k when ties go to smaller
-ids. Queries meet the index in a grid of query groups and index shards of bounded size; each cell returns its k best of
+Equal vectors are one entry with its k + 1 smallest distinct ids, each as often as it is repeated but k times at most:
+without a query's own id, k or more remain, which is all that can reach a top k when ties go to smaller ids. Queries meet the index in a grid of query groups and index shards of bounded size; each cell returns its k best of
 each query, a last step the k best of all. A floor for the k-th score comes from the query's own block.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id;
@@ -133,9 +133,11 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
     small_batches(spark, 5_000)
     rows = quantized(vectors, id_col=id_col, vector_col=vector_col)
     # salting the ids first keeps a vector with very many copies from gathering them in one task
-    part = rows.groupBy("q", F.expr("pmod(xxhash64(vec_id), 64)").alias("_salt")).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    times = rows.groupBy("q", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    part = times.groupBy("q", F.expr("pmod(xxhash64(vec_id), 64)").alias("_salt")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
     part = part.select("q", "_salt", F.slice("ids", 1, k + 1).alias("ids"))
     entries = part.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    entries = entries.select("q", F.flatten(F.transform("ids", lambda x: F.array_repeat(x["vec_id"], x["n"]))).alias("ids"))
     keyed = stage(entries.mapInArrow(_keyed, "q array<long>, ids array<long>, _key long"))
     n = keyed.count()
     shards = max(1, -(-n // SHARD_ROWS))

@@ -168,6 +168,20 @@ def test_search_few(spark):
     assert topk_search.search(df.where("false")).count() == 0 and topk_search.search(df.where("vec_id = 0")).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 25])
+def test_search_repeated_query_row(spark, copies):
+    """A query's repeated row leaves room for all of its equals; a repeated candidate is an entry each time."""
+    rows = [(0, [1.0])] * copies + [(i, [1.0]) for i in range(1, 26)] + [(3, [1.0])] * 30 + [(90, [0.5])]
+    got = defaultdict(list)
+    for r in topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(got[0]) == [(i + 1, v, 4096) for i, v in enumerate([1, 2, *[3] * 18])]
+    assert sorted(got[20]) == [(i + 1, v, 4096) for i, v in enumerate(([0] * copies + [1, 2, *[3] * 31])[:20])]
+    once = [(0, [1.0])] * copies + [(i, [1.0]) for i in range(1, 26)]
+    few = topk_search.search(spark.createDataFrame(once, "vec_id long, embedding array<float>")).where("query_id = 0").collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in few) == [(i, i) for i in range(1, 21)]
+
+
 @pytest.mark.parametrize("name", ["op2_topk_search", "op6_chat_format", "op8_mixing"])
 def test_oracles(spark, name):
     con = duckdb.connect()

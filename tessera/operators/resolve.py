@@ -39,14 +39,15 @@ def best_overload(refs: DataFrame, targets: DataFrame) -> DataFrame:
     """Chooses among targets of one ``name`` by ``arity``: the only one of that arity is sure; of several the first, or
     else one without parameters, or else the first, each ambiguous. First: the smallest target_id.
 
-    Refs have ref_id, name and arity; targets name, arity and target_id. One aggregate, no window: a name with many
-    targets is combined before the shuffle.
+    Refs have ref_id, name and arity; targets name, arity and target_id. Two aggregates, no window: targets are combined
+    to one row a name and arity before the join, so a name with many targets adds no rows to it.
     """
     key = ["ref_id", "name", "arity"]
-    met = refs.select(*key).join(targets.select("name", F.col("arity").alias("_a"), "target_id"), "name")
+    heads = targets.groupBy("name", F.col("arity").alias("_a")).agg(F.min("target_id").alias("target_id"), F.count("*").alias("_n"))
+    met = refs.select(*key).join(heads, "name")
     exact = F.col("_a") == F.col("arity")
     rank = F.when(exact, 0).when(F.col("_a") == 0, 1).otherwise(2)
-    best = met.groupBy(*key).agg(F.min(F.struct(rank.alias("r"), "target_id")).alias("b"), F.sum(exact.cast("int")).alias("n"))
+    best = met.groupBy(*key).agg(F.min(F.struct(rank.alias("r"), "target_id")).alias("b"), F.sum(F.when(exact, F.col("_n")).otherwise(0)).alias("n"))
     return best.select(*key, F.col("b.target_id").alias("target_id"), F.when(F.col("n") == 1, RESOLVED).otherwise(AMBIGUOUS).alias("confidence"))
 
 

@@ -196,15 +196,15 @@ _add(
 )
 
 
-def _best_match(spark: SparkSession, d: str) -> DataFrame:
+def _best_match(spark: SparkSession, d: str, some: str = "true") -> DataFrame:
     refs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("ref_id"), F.concat(F.lit("t"), F.col("l_partkey") % 50).alias("name"), (F.col("l_linenumber") % 4).alias("arity")).distinct()
     found = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("t"), F.col("p_partkey") % 60).alias("name"), (F.col("p_size") % 4).alias("arity"), F.col("p_partkey").alias("target_id"))
-    return resolve.best_overload(refs, found.where("target_id < 200"))
+    return resolve.best_overload(refs, found.where(some))
 
 
 _add(
     "resolve_best_match",
-    _best_match,
+    lambda s, d: _best_match(s, d, "target_id < 200"),
     """WITH r AS (SELECT DISTINCT l_orderkey AS ref_id, 't' || (l_partkey % 50) AS name, l_linenumber % 4 AS arity FROM lineitem),
     t AS (SELECT 't' || (p_partkey % 60) AS name, p_size % 4 AS arity, p_partkey AS target_id FROM part WHERE p_partkey < 200),
     m AS (SELECT ref_id, r.name, r.arity, target_id, t.arity = r.arity AS exact, t.arity = 0 AS bare,
@@ -213,3 +213,5 @@ _add(
     SELECT ref_id, name, arity, target_id, CASE WHEN n_exact = 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence FROM m WHERE rn = 1""",
     prefix="",
 )
+#: Over every part, where a name has more targets the larger the table; its SQL would list all of their pairs.
+QUERIES["resolve_best_match_all"] = _best_match

@@ -158,6 +158,22 @@ def test_resolution(spark):
     assert sorted(tuple(r) for r in resolve.first_found(b.select("k").distinct(), ["k"], [a, b]).collect()) == [("k1", 5), ("k2", 2)]
 
 
+def test_best_match_over_every_part(spark, tmp_path):
+    """Brute force over parts of which most have keys of 200 and more, and names with many targets."""
+    refs = [(i // 3, i * 7 % 900, i % 5) for i in range(400)]
+    parts = [(i, 4 * i + 1 if i % 60 == 9 and i < 840 else 3 * i) for i in range(900)] + [(969, 2)]
+    spark.createDataFrame(refs, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for ref, name, arity in {(o, f"t{p % 50}", n % 4) for o, p, n in refs}:
+        found = [(size % 4, p) for p, size in parts if f"t{p % 60}" == name]
+        exact = [p for a, p in found if a == arity]
+        target = min(exact or [p for a, p in found if a == 0] or [p for _, p in found])
+        want.add((ref, name, arity, target, 1.0 if len(exact) == 1 else 0.4))
+    got = [tuple(r) for r in queries.QUERIES["resolve_best_match_all"](spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want) and any(x[3] >= 200 and x[4] == 1.0 for x in want)
+
+
 @pytest.mark.parametrize("name", ["cy_count_group", "cy_optional_where", "cy_with_distinct", "cy_numeric_property", "search_degree_zero", "trace_in_d2_nodes", "schema_samples", "reverse_index", "diff_changes", "resolve_best_match", "ingest_refs"])
 def test_table_queries_agree_with_sql(spark, name):
     con = duckdb.connect()

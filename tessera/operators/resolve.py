@@ -51,8 +51,9 @@ def best_overload(refs: DataFrame, targets: DataFrame) -> DataFrame:
     return best.select(*key, F.col("b.target_id").alias("target_id"), F.when(F.col("n") == 1, RESOLVED).otherwise(AMBIGUOUS).alias("confidence"))
 
 
-def relationship_paths(paths: DataFrame, relations: DataFrame, most_steps: int = 5) -> DataFrame:
-    """Follows dotted relationship paths from a start object, a step a join, only where a step is unambiguous.
+def relationship_paths(paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """Follows dotted relationship paths from a start object, a step a join, only where a step is unambiguous; as many
+    steps as the longest path has.
 
     ``paths``: path_id, object, steps (array of relation names). ``relations``: object, relation, target.
     Returns path_id and object, the object at the end, for the paths that resolve whole.
@@ -60,7 +61,7 @@ def relationship_paths(paths: DataFrame, relations: DataFrame, most_steps: int =
     unique = relations.groupBy(F.lower("object").alias("object"), F.lower("relation").alias("relation")).agg(F.min("target").alias("target"), F.count_distinct("target").alias("n")).where("n = 1")
     now = paths.select("path_id", "object", "steps")
     done = now.where(F.size("steps") == 0).select("path_id", "object")
-    for _ in range(most_steps):
+    for _ in range(paths.agg(F.max(F.size("steps"))).first()[0] or 0):
         ahead = now.where(F.size("steps") > 0).select("path_id", F.lower("object").alias("object"), F.lower(F.get("steps", F.lit(0))).alias("relation"), F.slice("steps", F.lit(2), F.greatest(F.size("steps") - 1, F.lit(0))).alias("steps"))
         now = ahead.join(unique, ["object", "relation"]).select("path_id", F.col("target").alias("object"), "steps")
         done = done.unionByName(now.where(F.size("steps") == 0).select("path_id", "object"))

@@ -158,6 +158,12 @@ def test_resolution(spark):
     assert sorted(tuple(r) for r in resolve.first_found(b.select("k").distinct(), ["k"], [a, b]).collect()) == [("k1", 5), ("k2", 2)]
 
 
+def test_long_relationship_paths(spark):
+    relations = spark.createDataFrame([(f"O{i}", "Up", f"O{i + 1}") for i in range(9)], "object string, relation string, target string")
+    paths = spark.createDataFrame([(n, "O0", ["up"] * n) for n in (0, 5, 6, 9, 10)], "path_id long, object string, steps array<string>")
+    assert {r["path_id"]: r["object"] for r in resolve.relationship_paths(paths, relations).collect()} == {0: "O0", 5: "O5", 6: "O6", 9: "O9"}
+
+
 def test_best_match_over_every_part(spark, tmp_path):
     """Brute force over parts of which most have keys of 200 and more, and names with many targets."""
     refs = [(i // 3, i * 7 % 900, i % 5) for i in range(400)]

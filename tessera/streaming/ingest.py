@@ -94,11 +94,17 @@ def index_project(index: Index, root: str, mode: str = "incremental", at: int |
     graph = graph.mark_indexed(p, at)
     out = {
         "project_id": p, "files": found.count(), "files_parsed": n_changed, "files_removed": n_removed, "nodes": graph.project_nodes(p).count(),
-        "edges": graph.project_edges(p).count(), "warnings": [r["text"] for r in mine.where("rec = 'warning'").select("text", "file_path").orderBy("file_path", "text").limit(100).collect()],
+        "edges": graph.project_edges(p).count(), **_warnings(mine),
     }
     return Index(graph, records), out
 
 
+def _warnings(records: DataFrame) -> dict:
+    """The first 100 texts, and the number of all."""
+    some = records.where("rec = 'warning'").select("text", "file_path")
+    return {"warnings": [r["text"] for r in some.orderBy("file_path", "text").limit(100).collect()], "warning_count": some.count()}
+
+
 def _resolved(graph: PropertyGraph, p: int, records: DataFrame, found: DataFrame, at: int) -> PropertyGraph:
     hashes = found.select("file_path", "content_hash")
     real = F.struct(

@@ -115,6 +115,12 @@ def test_parse_failure_is_a_warning():
     assert [r["rec"] for r in parse("flow", "x.flow-meta.xml", None, [("x", "<Flow>")]).rows] == ["warning"]
 
 
+def test_warnings_are_counted(spark):
+    rows = [("warning", f"text {i:03}", f"f{i:03}") for i in range(130)] + [("node", None, "f")]
+    got = ingest._warnings(spark.createDataFrame(rows, "rec string, text string, file_path string"))
+    assert got == {"warnings": [f"text {i:03}" for i in range(100)], "warning_count": 130}
+
+
 def test_discovery(spark, indexed):
     found = {r["file_path"].split("main/default/")[1]: r for r in project.discover(spark, indexed[0]).collect()}
     assert len(found) == len([f for f in TREE if "/." not in f]) - 3  # two bundles of two files, one mail with its body

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import slices
 
 HEAD, MIDDLE, TAIL = b"### ", b" <turn>\n", b"</turn>\n"
 LOSS_ROLE = "assistant"
@@ -85,7 +85,7 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def _formatted(batches):
     """Rows sorted by conversation and turn -> conv_id, part, n_turns, formatted and loss_spans."""
     last, part = (), 0
-    for b in batches:
+    for b in slices(batches, 1_000):
         n = b.num_rows
         if not n:
             continue
@@ -112,8 +112,6 @@ def _formatted(batches):
 
 def format_conversations(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, part, n_turns, formatted and loss_spans (byte ranges) of every conversation, parts in order."""
-    small_batches(turns.sparkSession, 1_000)
-
     def string(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
@@ -148,7 +146,7 @@ def _read_back(batches):
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    for b in batches:
+    for b in slices(batches):
         for r in b.to_pylist():
             if r["part"] == 0:
                 if now:

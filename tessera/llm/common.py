@@ -1,11 +1,14 @@
-"""What the operators of this subpackage share: word splitting, Arrow batch size, labelled samples, input."""
+"""What the operators of this subpackage share: word splitting, slices of Arrow batches, labelled samples, input."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.staging import stage  # noqa: F401  (operators take it from here)
+from tessera.staging import drop_stage, stage  # noqa: F401  (operators take them from here)
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,9 +33,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Whole texts can be long: hand Python workers few rows at a time, so that a worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Whole texts can be long: ``batches`` in parts of few rows, so that what a Python worker holds beside the batch,
+    which Spark bounds in bytes, stays small whatever the session's settings are."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stage
+from tessera.llm.common import drop_stage, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = stage(edges.where("a != b").distinct())
     seen = None
     for _ in range(rounds):
-        now = stage(_small_star(_large_star(now)))
+        before, now = now, stage(_small_star(_large_star(now)))
+        drop_stage(before)
         mark = now.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)")).alias("s")).first()
         if mark["n"] == 0 or mark == seen:
             return now.select("a", F.col("b").alias("root"))

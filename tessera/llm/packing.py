@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, stage
+from tessera.llm.common import slices, stage
 
 CAPACITY, END_ID = 1024, 2
 #: Rows numbered together, about.
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", t
     path = tokenizer or default_tokenizer()
 
     def cut(batches):
-        for b in batches:
+        for b in slices(batches):
             rows, firsts, lengths, crcs, numbers = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 ids = token_ids(text, path)
@@ -255,10 +255,7 @@ def _ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
     rows = stage(pieces(docs, id_col=id_col, text_col=text_col, tokenizer=tokenizer, capacity=capacity))
-    small_batches(spark, 20_000)
     counts = stage(rows.groupBy("length").agg(F.count("*").alias("n")))
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.collect():

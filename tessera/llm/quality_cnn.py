@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample, small_batches
+from tessera.llm.common import labelled_sample, slices
 
 TRAIN_ROWS, TRAIN_CHARS, TRAIN_CHUNKS = 2_400, 20_000, 3
 HELD_OUT = "crc32(cast(doc_id as string)) % 5 = 0"
@@ -153,14 +153,12 @@ def probabilities(net: Network | None, texts: list[str | None], pairs: np.ndarra
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    spark = docs.sparkSession
     texts, y = labelled_sample(docs, labels, "quality", f"not ({HELD_OUT})", TRAIN_ROWS, TRAIN_CHARS)
     net = fit(texts, y)
-    small_batches(spark, 256)
 
     def run(batches):
         pairs = None if net is None else _pairs(net.table)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(probabilities(net, b.column("text").to_pylist(), pairs), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

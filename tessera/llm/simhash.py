@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, stage
+from tessera.llm.common import drop_stage, slices, stage
 from tessera.llm.components import components
 
 SEED, SHINGLE, MOST_BITS, SEGMENT = 42, 3, 3, 32
@@ -44,7 +44,7 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def _fingerprints(batches):
-    for b in batches:
+    for b in slices(batches):
         texts = b.column("text").cast(pa.binary()).to_pylist()
         fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp)], names=["doc_id", "th", "fp"])
@@ -132,10 +132,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th, fp and component_id (smallest doc_id reachable over links) of every row."""
-    spark = docs.sparkSession
-    small_batches(spark, 256)
     rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col))
-    small_batches(spark, 50_000)
     distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(stage(links(distinct)))
     member = linked.select(F.col("a").alias("fp"), "root").unionByName(linked.select(F.col("root").alias("fp"), "root").distinct())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, stage
+from tessera.llm.common import slices, stage
 
 SCALE, TOP, BLOCK = 64, 20, 128
 #: Distinct vectors of an index shard and queries of a group: what one cell of the grid holds.
@@ -62,7 +62,7 @@ def _order_key(q: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches):
-    for b in batches:
+    for b in slices(batches, 5_000):
         q = _matrix(b.column("q").to_pylist())
         key = _order_key(q) if len(q) else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key, pa.int64())], names=[*b.schema.names, "_key"])
@@ -130,7 +130,6 @@ def _floor(shard: _Shard, at: int, query: np.ndarray, own: int, k: int) -> int:
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = TOP, is_query: str = "vec_id % 20 = 0") -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every row for which ``is_query`` holds."""
     spark = vectors.sparkSession
-    small_batches(spark, 5_000)
     rows = quantized(vectors, id_col=id_col, vector_col=vector_col)
     # salting the ids first keeps a vector with very many copies from gathering them in one task
     times = rows.groupBy("q", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import labelled_sample, small_batches
+from tessera.llm.common import labelled_sample, slices
 
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 20_000
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -161,13 +161,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[tuple[set[str], set[str],
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    spark = docs.sparkSession
     learned, weights = learn(docs, labels)
-    small_batches(spark, 256)
 
     def run(batches):
         lexicon = _Lexicon(*learned)
-        for b in batches:
+        for b in slices(batches):
             x = np.asarray([matches(t or "", lexicon) for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(PRIOR) - 1)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p)], names=["doc_id", "score"])

@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -97,67 +98,70 @@ def test_simhash_links_are_complete(spark, divide, monkeypatch):
     assert union(len(f), pairs) == want and len(pairs) < 64 * len(f)
 
 
-def brute_repeats(rows, least=50):
-    """Every pair of distinct paragraphs is compared."""
-    paras = sorted({(-(2**63) if d is None else d, j, k, tuple(x.encode().lower().split()), t) for d, t in rows for k, (j, x) in enumerate((j, x) for j, x in enumerate((t or "").split("\n")) if x.encode().split())})
-    classes = sorted({p[3] for p in paras})
-    sets = [set(zip(*(w[i:] for i in range(5)))) for w in classes]
-    pairs = [(i, j) for i in range(len(classes)) for j in range(i) if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    root, at = union(len(classes), pairs), {w: i for i, w in enumerate(classes)}
-    keep = {}
-    for d, j, _, w, t in paras:
-        c = root[at[w]]
-        th = t
-        keep.setdefault(c, (d, j, th))
-    runs = defaultdict(list)
-    for d, j, k, w, t in paras:
-        if keep[root[at[w]]] != (d, j, t):
-            runs[d, t].append((k, j, len(w)))
-    out = set()
-    for (d, _), v in runs.items():
-        run = []
-        for x in [*sorted(v), (10**9, 0, 0)]:
-            if run and x[0] != run[-1][0] + 1:
-                if sum(y[2] for y in run) >= least:
-                    out |= {(d, y[1]) for y in run}
-                run = []
-            run.append(x)
+def brute_passages(docs, least=50):
+    """Word places that must go: of each run of ``least`` words that stood before, and did not overlap itself there, all.
+    ``docs``: (id, text), one for each text of an id."""
+    seen, out = {}, set()
+    for d, text in sorted({(-(2**63) if d is None else d, t or "") for d, t in docs}, key=lambda x: (x[0], xx(x[1]))):
+        w, last = text.encode().lower().split(), {}
+        for i in range(len(w) - least + 1):
+            run = tuple(w[i : i + least])
+            at = last.get(run)
+            first = i if at is None or i - at[1] >= least else at[0]
+            last[run] = (first, i)
+            if seen.setdefault(run, (d, text, first)) != (d, text, first):
+                out |= {(d, text, j) for j in range(first, i + least)}
     return out
 
 
-def test_paragraphs(corpus):
-    rows = [(r["doc_id"], r["text"]) for r in corpus.collect()]
-    want = brute_repeats(rows)
-    got = {(r["doc_id"], r["para"]) for r in paragraph_dedup.report(corpus).collect()}
-    assert got == want and len(want) > 60
-    left = paragraph_dedup.remove_repeats(corpus)
-    assert left.columns == corpus.columns
-    by_id = {r["doc_id"]: r for r in left.collect()}
-    for d, t in rows:
-        lines = [x for j, x in enumerate(t.split("\n")) if (d, j) not in want]
-        if "".join(lines).strip():
-            assert by_id[d]["text"] == "\n".join(lines) and by_id[d]["n_chars"] == len("\n".join(lines))
+def xx(text):
+    """Spark's xxhash64, which orders the texts of one id."""
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - 2**64 if h >= 2**63 else h
+
+
+def check_passages(df):
+    """Every run that must go does; what goes beside has been there before, to a near-equal paragraph."""
+    rows = {(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()}
+    want = brute_passages(rows)
+    ids = [d for d, _ in rows]
+    got = paragraph_dedup.report(df).collect()
+    text = {d: t or "" for d, t in rows if ids.count(d) == 1}
+    places = {(r["doc_id"], j) for r in got for j in range(r["first_word"], r["first_word"] + r["n_words"]) if r["doc_id"] in text}
+    assert {(d, j) for d, _, j in want if d in text} <= places
+    grams = lambda t: list(zip(*((t or "").encode().lower().split()[i:] for i in range(5))))
+    seen = {g for d, t in rows if d not in text for g in grams(t)}
+    order = sorted(text.items(), key=lambda x: -(2**63) if x[0] is None else x[0])
+    sets = {d: t.encode().lower().split() for d, t in order}
+    for d, w in sets.items():
+        gone = {j for e, j in places if e == d}
+        mine = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        for r in (r for r in got if r["doc_id"] == d):
+            some = mine[r["first_word"] : r["first_word"] + r["n_words"] - 4]
+            before = seen | {g for i, g in enumerate(mine) if i < r["first_word"]}
+            assert r["n_words"] >= 50 and sum(g in before for g in some) >= 0.6 * len(some)
+        seen |= set(mine)
+        assert gone <= set(range(len(w)))
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.remove_repeats(df).collect() if r["doc_id"] in text}
+    for d, w in sets.items():
+        stays = [x for j, x in enumerate(w) if (d, j) not in places]
+        if stays or not w:
+            assert (left[d] or "").encode().lower().split() == stays
         else:
-            assert d not in by_id
+            assert d not in left
+    return {(d, j) for d, _, j in want}, places
 
 
-def test_paragraphs_odd(odd, odd_rows, nothing):
-    want = {(None if d == -(2**63) else d, j) for d, j in brute_repeats([(r[0], r[1]) for r in odd_rows])}
-    rows = paragraph_dedup.report(odd).collect()
-    assert {(r["doc_id"], r["para"]) for r in rows if r["doc_id"] is not None} == {x for x in want if x[0] is not None}
-    assert paragraph_dedup.report(nothing).count() == 0 and paragraph_dedup.remove_repeats(nothing).count() == 0
-    assert paragraph_dedup.remove_repeats(odd).columns == odd.columns
+def test_passages_corpus(corpus):
+    want, places = check_passages(corpus)
+    assert len(want) > 3000 and len(places) < 1.2 * len(want)
+    assert paragraph_dedup.remove_repeats(corpus).columns == corpus.columns
 
 
-def brute_passages(docs, least=50):
-    """Word places to remove in texts without repeated lines: each run of ``least`` words that stood before."""
-    seen, out = {}, set()
-    for d, text in sorted(docs):
-        w = text.lower().split()
-        for i in range(len(w) - least + 1):
-            if seen.setdefault(tuple(w[i : i + least]), (d, i)) != (d, i):
-                out |= {(d, j) for j in range(i, i + least)}
-    return out
+def test_passages_odd(odd, nothing):
+    check_passages(odd)
+    assert paragraph_dedup.report(nothing).count() == 0 and paragraph_dedup.remove_repeats(nothing).count() == 0
+    assert paragraph_dedup.remove_repeats(odd).columns == odd.columns
 
 
 def test_passages_inside_lines(spark):
@@ -175,7 +179,7 @@ def test_passages_inside_lines(spark):
     ]
     rows = [(d, " ".join(w)) for d, w in docs]
     rows[4] = (5, " ".join(docs[4][1][:40]) + "  \n\n" + " ".join(docs[4][1][40:]))
-    want = {x for x in brute_passages(rows) if x[0] != 9}  # occurrences that overlap are one
+    want = {(d, j) for d, _, j in brute_passages(rows)}
     assert {d for d, _ in want} == {2, 3, 5, 8}
     df = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string").repartition(3)
     got = paragraph_dedup.report(df).collect()
@@ -186,6 +190,62 @@ def test_passages_inside_lines(spark):
     assert left[1] == rows[0][1] and left[2] == " ".join([*docs[1][1][:90], *docs[1][1][149:]])
 
 
+def test_equal_runs_always_meet():
+    """Every run of 50 words, wherever it stands, holds a paragraph, and the same one."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for n in (50, 51, 400)] * 20
+    run = [f"r{x}" for x in rng.integers(0, 300, 50)]
+    texts += [" ".join([*(f"w{x}" for x in rng.integers(0, 5000, int(n))), *run, "end"]) for n in rng.integers(0, 200, 200)]
+    h, text, place = paragraph_dedup._words(pa.array(texts))
+    at, _ = paragraph_dedup._cuts(h, text, 50, 25)
+    classes = paragraph_dedup._rolled(h, 25)[at]
+    assert set(text[at].tolist()) == set(range(len(texts)))
+    ends = np.bincount(text)
+    inside = (text[at] >= 60) & (place[at] >= ends[text[at]] - 51) & (place[at] + 25 < ends[text[at]])
+    common = set.intersection(*(set(classes[inside & (text[at] == t)].tolist()) for t in range(60, 260)))
+    assert common and len(at) < len(h) / 10
+
+
+def test_words_are_split_as_bytes_are():
+    texts = ["", " ", "a", "A b\tC\n\n d", None, "\u00c4x \u00e4x\u00a0y", "w" * 900 + " " * 500 + "z", "x"]
+    h, text, place = paragraph_dedup._words(pa.array(texts).slice(1))
+    want = [(i, k, w) for i, t in enumerate(texts[1:]) for k, w in enumerate((t or "").encode().lower().split())]
+    assert list(zip(text.tolist(), place.tolist())) == [(i, k) for i, k, _ in want]
+    assert len({(x, w) for x, (_, _, w) in zip(h.tolist(), want)}) == len({w for _, _, w in want}) == len(set(h.tolist()))
+
+
+@pytest.mark.parametrize("hot", [256, 4])
+def test_near_equal_paragraphs_are_linked(spark, hot, monkeypatch):
+    """Paragraphs with one word changed at an end: the links' components are those of all pairs."""
+    monkeypatch.setattr(paragraph_dedup, "HOT", hot)
+    monkeypatch.setattr(paragraph_dedup, "HELD", 4 * hot)
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(30):
+        base = [f"b{k}x{x}" for x in rng.integers(0, 9000, 90)]
+        for _ in range(25):
+            w = list(base)
+            for j in rng.choice(90, 2, replace=False):
+                w[j] = f"n{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    given = paragraph_dedup._given(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    got = paragraph_dedup.links(given, 0.8, 0.99).collect()
+    h, text, place = paragraph_dedup._words(pa.array([t for _, t in rows]))
+    at, alone = paragraph_dedup._cuts(h, text, 50, 25)
+    words = [t.split() for _, t in rows]
+    sets = {}
+    for c, i, p in zip(paragraph_dedup._rolled(h, 25)[at[alone]].view(np.int64).tolist(), text[at[alone]], place[at[alone]]):
+        w = words[i][p : p + 25]
+        sets[c] = frozenset(zip(*(w[j:] for j in range(5))))
+    ids = sorted(sets)
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[ids[i]] & sets[ids[j]]) >= 0.8 * len(sets[ids[i]] | sets[ids[j]])]
+    want, where = union(len(ids), pairs), {x: i for i, x in enumerate(ids)}
+    have = union(len(ids), [(where[r["a"]], where[r["b"]]) for r in got])
+    linked = [(i, j) for i, j in pairs]
+    assert len(linked) > 100 and all(want[where[r["a"]]] == want[where[r["b"]]] for r in got)
+    assert sum(have[i] == have[j] for i, j in linked) >= 0.98 * len(linked)
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999

@@ -223,7 +223,7 @@ def test_near_equal_paragraphs_are_linked(spark, hot, monkeypatch):
     rows = []
     for k in range(30):
         base = [f"b{k}x{x}" for x in rng.integers(0, 9000, 90)]
-        for _ in range(25):
+        for _ in range(45):
             w = list(base)
             for j in rng.choice(90, 2, replace=False):
                 w[j] = f"n{rng.integers(10**9)}"

@@ -82,10 +82,10 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, offsets, text_to, text_to + n_text
 
 
-def _formatted(batches):
+def _formatted(batches, rows=1_000):
     """Rows sorted by conversation and turn -> conv_id, part, n_turns, formatted and loss_spans."""
     last, part = (), 0
-    for b in slices(batches, 1_000):
+    for b in slices(batches, rows):
         n = b.num_rows
         if not n:
             continue

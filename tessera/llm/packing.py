@@ -29,9 +29,11 @@ CAPACITY, END_ID = 1024, 2
 #: Rows numbered together, about.
 RANK_ROWS = 4096
 #: Rounds of the weights; share of a length that one use covers; how near to the best a pattern must be; rate at which
-#: cover lowers weights; fullness below which a pattern isn't kept; scales at which the answer is rounded.
-ROUNDS, STEP, NEAR, ETA, FULL = 48, 0.25, 0.02, 0.5, 0.998
-SCALES = (1.0, 0.75, 0.5, 0.25, 0.1)
+#: cover lowers weights; share of what is left that one answer packs.
+ROUNDS, STEP, NEAR, ETA, PART = 14, 0.25, 0.02, 0.5, 0.3
+#: Of pieces of at most 1/SMALL of the capacity the share SPARE stays out of the program, to fill its last gaps.
+SMALL, SPARE = 4, 0.15
+LOSS = 0.01
 
 # The vocabulary's own split, for texts of ASCII and Latin letters only; any other text goes to the tokenizer whole.
 _L, _S = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", "\\t-\\r "
@@ -186,11 +188,28 @@ def _priced(need: np.ndarray, capacity: int, rounds: int) -> list[tuple[np.ndarr
     return [(np.frombuffer(k, np.int64), u) for k, u in used.items()]
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Patterns (copies of each length 0..capacity) and how often each is used; together they hold just ``counts``.
-
-    The fractional answer is scaled to the counts and rounded down, fullest patterns first, at each of ``SCALES``; what
-    a rounding leaves over is filled pattern by pattern. The rounding that needs the fewest sequences stands.
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """``solve_program``'s answer; where nearly every sequence holds one long piece, so that there is little to choose and
+    rounding loses, filling alone may need fewer sequences: it stands if that is ``LOSS`` of them or more."""
+    out, n_program = solve_program(counts, capacity, rounds)
+    left, plain = counts.astype(np.int64).copy(), []
+    while left.any():
+        pattern = _fill(left, capacity)
+        has = np.flatnonzero(pattern)
+        n = int((left[has] // pattern[has]).min())
+        plain.append((pattern, n))
+        left[has] -= n * pattern[has]
+    return (plain, 0) if sum(n for _, n in plain) < (1 - LOSS) * sum(n for _, n in out) else (out, n_program)
+
+
+def solve_program(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """Patterns (copies of each length 0..capacity) and how often each is used, which together hold just ``counts``; and
+    how many of those sequences, full pieces left out, the program gave.
+
+    Of a fractional answer a part is used, rounded down, and the largest uses are then rounded up until ``PART`` of the
+    pieces are packed. What is left is a program of its own, solved by the same pricing, with prices for what has become
+    scarce, until its answer holds no full pattern. What no full pattern took, and the short pieces that were spared for
+    it, are filled pattern by pattern.
     """
     left = counts.astype(np.int64).copy()
     out: list[tuple[np.ndarray, int]] = []
@@ -200,27 +219,36 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
         out.append((full, int(left[capacity])))
         left[capacity] = 0
     size = np.arange(capacity + 1)
-    uses = _priced(left, capacity, rounds) if (left > 0).sum() > 1 else []
-    mean = sum(float((p * size).sum()) * u for p, u in uses) / max(1, int((left * size).sum()))
-    uses = sorted(((p, u) for p, u in uses if int((p * size).sum()) >= FULL * capacity), key=lambda x: (-int((x[0] * size).sum()), -int(np.flatnonzero(x[0])[-1]), -x[1]))
-    best: list[tuple[np.ndarray, int]] | None = None
-    for scale in SCALES:
-        rest, made = left.copy(), []
-        for pattern, use in uses:
-            has = np.flatnonzero(pattern)
-            n = min(int(use * scale / mean), int((rest[has] // pattern[has]).min()))
-            if n > 0:
-                made.append((pattern, n))
-                rest -= n * pattern
-        while rest.any():
-            pattern = _fill(rest, capacity)
-            has = np.flatnonzero(pattern)
-            n = int((rest[has] // pattern[has]).min())
-            made.append((pattern, n))
-            rest -= n * pattern
-        if best is None or sum(n for _, n in made) < sum(n for _, n in best):
-            best = made
-    return out + best
+    n_program = 0
+
+    def take(pattern: np.ndarray, most: int) -> int:
+        has = np.flatnonzero(pattern)
+        n = min(most, int((np.maximum(left - spare, 0)[has] // pattern[has]).min()))
+        if n > 0:
+            out.append((pattern, n))
+            left[has] -= n * pattern[has]
+        return max(n, 0)
+
+    spare = np.where(size <= capacity // SMALL, np.ceil(SPARE * left).astype(np.int64), 0)
+    while True:
+        need = np.maximum(left - spare, 0)
+        if (need > 0).sum() < 2:
+            break
+        uses = _priced(need, capacity, rounds)
+        mean = sum(float((p * size).sum()) * u for p, u in uses) / int((need * size).sum())
+        whole = sorted(((p, u / mean) for p, u in uses if int((p * size).sum()) == capacity), key=lambda x: (-x[1], -int(np.flatnonzero(x[0])[-1])))
+        before, quota = n_program, PART * int((need * size).sum()) / capacity
+        for pattern, use in whole:
+            n_program += take(pattern, int(use))
+        for pattern, _ in whole:
+            if n_program - before < quota:
+                n_program += take(pattern, 1)
+        if n_program == before:
+            break
+    spare[:] = 0
+    while left.any():
+        take(_fill(left, capacity), int(left.sum()))
+    return out, n_program
 
 
 def _places(patterns: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,7 +288,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     histogram = np.zeros(capacity + 1, np.int64)
     for r in counts.collect():
         histogram[r["length"]] = r["n"]
-    keys, sequences, offsets = _places(solve(histogram, capacity))
+    keys, sequences, offsets = _places(solve(histogram, capacity)[0])
 
     def place(batches):
         for b in batches:

@@ -70,14 +70,55 @@ def test_grammar():
     lexicon = toxicity._Lexicon({"idiot"}, set(), set())
 
     def found(text):
-        return np.expm1(toxicity.matches(text, lexicon)).round().astype(int).tolist()
-
-    assert found("You are an idiot.") == [1, 0, 1, 0, 0]  # strong, weak, targeted, threats, mitigated
-    assert found("Such an idiot") == [1, 0, 0, 0, 0]
-    assert found("He is not an idiot.") == [0, 0, 0, 0, 1]
-    assert found("She said you are an idiot. What a clown!") == [0, 1, 0, 0, 1]
-    assert found("I will kill you.") == [0, 0, 0, 1, 0] and found("We kill time here.") == [0, 0, 0, 0, 0]
-    assert found("") == [0] * 5 and found("IDIOT\nidiot") == [2, 0, 0, 0, 0]
+        return np.expm1(toxicity.matches(text, lexicon)).round(4).tolist()
+
+    assert found("You are an idiot.") == [1, 0, 0]  # strong, weak, threats: targeted ones weigh 1
+    assert found("such idiot") == [0.25, 0, 0] and found("idiot, you") == [1, 0, 0]
+    assert found("He is not an idiot.") == [0.125, 0, 0] and found("Er ist nicht idiot. Sie ist nicht da.") == [0.125, 0, 0]
+    assert found("She said you are an idiot. What a clown!") == [0.125, 1, 0]
+    assert found("I will kill you.") == [0, 0, 1] and found("kill time here.") == [0, 0, 0]
+    assert found("Die Leute und der Mann. die and be gone, du") == found("la la") == [0, 0, 0]  # German: die is no threat
+    assert found("") == [0] * 3 and found("IDIOT\nidiot") == [0.5, 0, 0]
+
+
+def test_transducers_compose():
+    """The composed machine writes what its parts write one after another."""
+    rng = np.random.default_rng(7)
+    parts = [toxicity._scope(toxicity.REPORT, toxicity._SOFTER, None), toxicity._scope(toxicity.NEGATION, toxicity._SOFTER, 4), toxicity._scope(toxicity.TARGET, toxicity._AIMED, 8)]
+    for _ in range(300):
+        clause = bytes(rng.choice(list(b"IWTYNR......"), rng.integers(0, 30)).astype(np.uint8))
+        want = clause
+        for t in parts:
+            want = bytes(t.run(want))
+        assert bytes(toxicity.FORWARD.run(clause)) == want
+
+
+def test_clauses_matter(monkeypatch):
+    """The same words score differently in another order, and the patterns catch what bare words don't."""
+    lexicon = toxicity._Lexicon({"idiot"}, set(), set())
+    words = ["w"] * 30 + ["you", "idiot"]
+    apart = ["you", *words[:30], "idiot"]
+    assert (toxicity.matches(" ".join(words), lexicon) > toxicity.matches(" ".join(apart), lexicon)).any()
+    rng = np.random.default_rng(5)
+    texts, y = [], []
+    for i in range(600):
+        w = [f"t{x}" for x in rng.integers(0, 200, 40)]
+        kind = i % 3
+        w[20] = "idiot" if kind < 2 else "you"  # insults stand in clean texts too, in reported speech
+        w[17] = "you" if kind == 0 else w[17]
+        w[0] = "said" if kind == 1 else w[0]
+        texts.append(" ".join(w))
+        y.append(int(kind == 0))
+    y = np.asarray(y, float)
+
+    def accuracy():
+        x = np.stack([toxicity.matches(t, lexicon) for t in texts])
+        w = toxicity.fit_weights(x[::2], y[::2])
+        return ((x[1::2] @ w[:-1] + w[-1] > 0) == y[1::2]).mean()
+
+    assert accuracy() == 1
+    monkeypatch.setattr(toxicity, "rewritten", lambda clause: clause)
+    assert accuracy() < 0.8
 
 
 def labelled(spark, n=400):

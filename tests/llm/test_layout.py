@@ -107,13 +107,25 @@ def test_packing_program():
     rng = np.random.default_rng(2)
     for counts in (rng.integers(0, 400, 1025), np.bincount([700] * 50 + [324] * 50, minlength=1025), np.bincount([513] * 10, minlength=1025), np.zeros(1025, int)):
         counts[0] = 0
-        patterns = packing.solve(counts, rounds=40)
+        patterns, n_program = packing.solve(counts)
+        assert 0 <= n_program <= sum(n for _, n in patterns)
         assert (sum((p * n for p, n in patterns), np.zeros(1025, int)) == counts).all()
         assert all((p * np.arange(1025)).sum() <= 1024 for p, _ in patterns)
         used, least = sum(n for _, n in patterns), -(-int((counts * np.arange(1025)).sum()) // 1024)
         assert used <= max(least * 1.01 + 1, counts[513:].sum())
 
 
+@pytest.mark.parametrize(("docs", "share"), [(10_000, 0.75), (100_000, 0.9)])
+def test_packing_comes_from_the_program(docs, share):
+    """Of the sequences that aren't one full piece nearly all are patterns of the program, and few are wasted."""
+    n = np.maximum(2, np.random.default_rng(6).lognormal(6.0, 1.2, docs)).astype(int)
+    counts = np.bincount((n - 1) % 1024 + 1, minlength=1025)
+    counts[1024] += ((n - 1) // 1024).sum()
+    patterns, n_program = packing.solve(counts)
+    used, least = sum(k for _, k in patterns), -(-int((counts * np.arange(1025)).sum()) // 1024)
+    assert n_program >= share * (used - counts[1024]) and used <= 1.002 * least + 1
+
+
 def turns_of(spark):
     rows = [(1, 0, "user", "a\\b #1 <x>"), (1, 1, "assistant", None), (1, None, "assistant", "Ω end"), (2, 0, None, "</turn>\n### user <turn>\n"), (3, 1, "assistant", "\\" * 7), (3, 0, "assistant", ""), (None, 0, "user", "x"), (3, 0, "assistant", "")]
     rows += [(9, i, "user" if i % 2 else "assistant", f"turn {i} \\# <") for i in range(60)]
@@ -122,7 +134,7 @@ def turns_of(spark):
 
 @pytest.mark.parametrize("batch", [1000, 3])
 def test_chat(spark, batch, monkeypatch):
-    monkeypatch.setattr(chat, "small_batches", lambda s, n: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch)))
+    monkeypatch.setattr(chat._formatted, "__defaults__", (batch,))
     df = chat.with_probe(turns_of(spark))
     convs = defaultdict(list)
     for r in df.collect():

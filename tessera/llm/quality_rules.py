@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule rejects a document on its own. A rule's cost (seconds a document) and selectivity (share rejected) are
-estimated on a sample; the cascade tests rules in order of rejection per cost, and a CASE stops at the first that
-rejects. The order changes the work only: ``kept`` is the conjunction of all rules in any order.
+Each rule rejects a document on its own. A rule's cost and selectivity (share rejected) are estimated on a sample, in one
+job; the cascade tests rules in order of rejection per cost, and a CASE stops at the first that rejects. Cost is counted,
+not timed: the characters that the rule looks at beyond the base counts, times its steps for each, so one table has one
+order. The order changes the work only: ``kept`` is the conjunction of all rules in any order.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows each get their own row;
 an empty table gives an empty result; extra columns are left out of ``measure`` and kept by ``keep_documents``.
@@ -11,7 +12,6 @@ Windows of words are compared by a 64-bit hash over their five words.
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,18 +29,21 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 50_000
 class Rule:
     """``sql``: true of a document to reject, over the base counts and ``extra``.
 
-    ``extra``: name and builder of the one further count that the rule needs, from the text ``_t``, its words ``_w``
-    and its lines ``_l``. It stands inside the cascade's CASE and so is computed only if no earlier rule rejects.
+    ``extra``: name of the one further count that the rule needs, from the text ``_t``, its words ``_w`` and its lines
+    ``_l``. It stands inside the cascade's CASE and so is computed only if no earlier rule rejects.
+    ``work``: SQL of the steps that takes; a step is about what looking at one character costs.
     """
 
     name: str
     sql: str
     extra: str = ""
+    work: str = "1"
 
     @property
     def rejects(self) -> Column:
-        cond = self.sql
-        return F.expr(cond.replace(self.extra, f"({EXTRA[self.extra]})") if self.extra else cond)
+        if self.extra == "n_repeat_words":
+            return let(let(F.col("_w"), _repeat_words), lambda n: 100 * n > 20 * F.col("n_words"))
+        return F.expr(self.sql.replace(self.extra, f"({EXTRA[self.extra]})") if self.extra else self.sql)
 
 
 #: Counts beyond the base, as SQL over ``_t``, ``_w`` and ``_l``.
@@ -53,10 +56,15 @@ EXTRA = {
 RULES = (
     Rule("mean_word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
     Rule("symbol_share", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_lines"),
-    Rule("upper_case_share", "word_chars > 20 AND 10 * n_upper > 5 * word_chars", "n_upper"),
-    Rule("adjacent_repeats", "10 * n_adjacent > 4 * n_words", "n_adjacent"),
-    Rule("distinct_words", "n_words >= 50 AND 12 * n_distinct < n_words", "n_distinct"),
+    Rule("duplicate_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_lines", "2"),
+    Rule("upper_case_share", "word_chars > 20 AND 10 * n_upper > 5 * word_chars", "n_upper", "length(_t)"),
+    Rule("adjacent_repeats", "10 * n_adjacent > 4 * n_words", "n_adjacent", "2 * word_chars"),
+    Rule("distinct_words", "n_words >= 50 AND 12 * n_distinct < n_words", "n_distinct", "2 * word_chars"),
+)
+#: The base rule in two parts, for a cascade that need not return the base counts.
+BASE = (
+    Rule("few_words", "n_words < 10"),
+    Rule("repeated_windows", "100 * n_repeat_words > 20 * n_words", "n_repeat_words", "8 * word_chars"),
 )
 
 
@@ -92,8 +100,9 @@ def _repeat_words(w: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, carried: list[Column], *, text_col: str = "text") -> DataFrame:
-    """``carried``, the five base counts (long), and the arrays from which rules count further."""
+def measure(docs: DataFrame, carried: list[Column], *, text_col: str = "text", windows: bool = True) -> DataFrame:
+    """``carried``, the five base counts (long; that of repeated windows, the dear one, if wanted), and the arrays from
+    which rules count further."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0)
     # one projection after another, so that each array is built once
@@ -104,7 +113,7 @@ def measure(docs: DataFrame, carried: list[Column], *, text_col: str = "text") -
         F.length(F.concat_ws("", "_w")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        let(F.col("_w"), _repeat_words).alias("n_repeat_words"),
+        *([let(F.col("_w"), _repeat_words).alias("n_repeat_words")] if windows else []),
     )
 
 
@@ -113,38 +122,25 @@ def base_failed() -> Column:
 
 
 def order_rules(docs: DataFrame, *, text_col: str = "text", given: tuple[Rule, ...] = RULES) -> list[Rule]:
-    """The rules by rejection per cost, both estimated on a bounded random sample of the table."""
+    """The rules by rejection per cost, both estimated on a bounded sample of the table."""
     total = docs.count()
     t = F.col(text_col)
     sample = (
         docs.select(t.alias("text"))
         .sample(min(1.0, 3 * SAMPLE_ROWS / max(1, total)), seed=7)
         .where(t.isNotNull() & (F.length(t) <= SAMPLE_CHARS))
+        .orderBy(F.xxhash64("text"), "text")
         .limit(SAMPLE_ROWS)
     )
-    measured = measure(sample, []).persist()
-    try:
-        n = max(1, measured.count())
-
-        def timed(cond: Column) -> tuple[int, float]:
-            began = time.perf_counter()
-            hit = measured.agg(F.sum(F.when(cond, 1).otherwise(0)).alias("n")).first()["n"]
-            return hit or 0, time.perf_counter() - began
-
-        timed(F.lit(True))
-        idle = timed(F.lit(True))[1]
-        gain = {}
-        for r in given:
-            hit, took = timed(r.rejects)
-            gain[r.name] = (hit / n) / max((took - idle) / n, 1e-7)
-    finally:
-        measured.unpersist()
+    sums = [x for r in given for x in (F.count_if(r.rejects), F.sum(F.expr(f"cast({r.work} as long)")))]
+    found = measure(sample, [], windows=False).agg(*sums).first()
+    gain = {r.name: found[2 * i] / max(1, found[2 * i + 1] or 0) for i, r in enumerate(given)}
     return sorted(given, key=lambda r: (-gain[r.name], r.name))
 
 
-def cascade(ordered: list[Rule]) -> Column:
-    """Name of the first rule in the cascade that rejects, null if none does."""
-    out = F.when(base_failed(), F.lit("base"))
+def cascade(ordered: list[Rule], base: bool = True) -> Column:
+    """Name of the first rule in the cascade that rejects, null if none does; first of all the base rule, if wanted."""
+    out = F.when(base_failed() if base else F.lit(False), F.lit("base"))
     for r in ordered:
         out = out.when(r.rejects, F.lit(r.name))
     return out.otherwise(F.lit(None).cast("string"))
@@ -161,12 +157,11 @@ def verdicts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_documents(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, columns as they were."""
-    ordered = order_rules(docs, text_col=text_col)
+    ordered = order_rules(docs, text_col=text_col, given=(*RULES, *BASE))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    # pushed below the counts, the filter would compute each count anew wherever it is named; it can't be pushed below
-    # a column that isn't deterministic
-    measured = measure(docs, [row], text_col=text_col).withColumn("_mark", F.monotonically_increasing_id())
-    return measured.where(cascade(ordered).isNull() & (F.col("_mark") >= 0)).select("_row.*")
+    measured = measure(docs, [row], text_col=text_col, windows=False)
+    # a filter would be pushed below the counts and compute each anew wherever it is named; exploding none or one row isn't
+    return measured.select(F.explode(F.when(cascade(ordered, base=False).isNull(), F.array("_row"))).alias("_row")).select("_row.*")
 
 
 _DUCK_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

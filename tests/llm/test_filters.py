@@ -61,6 +61,13 @@ def test_labelled_rows_of_the_tables(spark):
     assert kept.get((0, False), 0) / (kept.get((0, True), 0) + kept.get((0, False), 0)) > 0.95
 
 
+def test_order_is_one(corpus):
+    """Costs are counted, so every call gives one order, whatever way the rows are dealt."""
+    given = (*quality_rules.RULES, *quality_rules.BASE)
+    orders = {tuple(r.name for r in quality_rules.order_rules(corpus.repartition(n), given=given)) for n in (1, 3, 5, 3, 1)}
+    assert len(orders) == 1 and len(next(iter(orders))) == len(given)
+
+
 def test_native_plan(odd):
     plan = quality_rules.verdicts(odd)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))

@@ -129,6 +129,13 @@ def _resolved(graph: PropertyGraph, p: int, records: DataFrame, found: DataFrame
     )
 
 
+def graph_of_files(spark: SparkSession, files: DataFrame) -> PropertyGraph:
+    """The graph, as project 1, of a table of discovered files: kind, file_path, parent, content_hash and parts."""
+    graph, p = PropertyGraph.empty(spark).upsert_project("files", "files")
+    records = stage(tree.parse_files(files).withColumn("project_id", F.lit(p).cast("long")))
+    return _resolved(graph, p, records, files, 0)
+
+
 def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
     """Edges (source_id, target_id, edge_type, confidence, properties, source_file, source_line) of all records whose
     ends exist; what isn't found is dropped."""

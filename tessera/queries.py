@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import ingest_queries
 from tessera.graph import PropertyGraph
 from tessera.operators import diff, reports, resolve, schema, search, trace
 from tessera.operators.search import Degree
@@ -215,3 +216,5 @@ _add(
 )
 #: Over every part, where a name has more targets the larger the table; its SQL would list all of their pairs.
 QUERIES["resolve_best_match_all"] = _best_match
+QUERIES |= ingest_queries.QUERIES
+ORACLE |= ingest_queries.ORACLE

@@ -56,6 +56,11 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
     return {"packages": packages, "namespace": data.get("namespace") or None, "api_version": data.get("sourceApiVersion")}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _kind(inside: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(_FILE_KINDS):
@@ -65,10 +70,13 @@ def _kind(inside: Column) -> Column:
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """kind, file_path (below ``root``), parent, content_hash (SHA-1) and parts (name, text; the main one first) of
-    every logical file of the project's packages. Absent packages and dot files are passed over."""
+    every logical file of the project's packages; nothing else is read. Absent packages and dot files are passed over,
+    and so are files whose name begins with ``_``, which Spark's readers leave out."""
     root = root.rstrip("/")
     packages = read_manifest(spark, root)["packages"]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    folders = {f"{root}/{p.strip('/')}/main/default" for p in packages}
+    there = [at for at in sorted(folders) if not any(at.startswith(f"{f}/") for f in folders) and _exists(spark, at)]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there or [f"{root}/sfdx-project.json"])
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     local = "/" + root.split("://")[-1].lstrip("/") if "://" in root else root
     below = F.expr(f"substr(_base, {len(local.rstrip('/')) + 2})")

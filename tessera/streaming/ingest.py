@@ -22,6 +22,7 @@ from tessera.sources.parsers.records import DDL
 from tessera.staging import stage
 
 _RECORDS = "project_id long, " + DDL
+_WHOLE = "COMPLETE"  # the file that a version of the store gets last
 
 
 @dataclass(frozen=True)
@@ -36,20 +37,15 @@ class Index:
         return Index(PropertyGraph.empty(spark), spark.createDataFrame([], _RECORDS))
 
     def save(self, path: str) -> None:
-        """A new version beside the old one, then the pointer to it: readers see one or the other."""
+        """A new version beside the old ones, then the marker that it is whole: readers take the last whole version, so
+        a run that dies at any step leaves the one before."""
         spark = self.graph.spark
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        at = fs_path(path)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs, at = _store(spark, path)
         version = _current(spark, path) + 1
         self.graph.save(f"{path}/v{version}")
         self.records.write.mode("overwrite").parquet(f"{path}/v{version}/records.parquet")
-        out = fs.create(fs_path(f"{path}/CURRENT.new"), True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        fs.delete(fs_path(f"{path}/CURRENT"), False)
-        fs.rename(fs_path(f"{path}/CURRENT.new"), fs_path(f"{path}/CURRENT"))
-        fs.delete(fs_path(f"{path}/v{version - 2}"), True)
+        fs.create(_store(spark, f"{path}/v{version}/{_WHOLE}")[1], True).close()
+        fs.delete(_store(spark, f"{path}/v{version - 2}")[1], True)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
@@ -59,11 +55,19 @@ class Index:
         return Index(PropertyGraph.load(spark, f"{path}/v{version}"), spark.read.parquet(f"{path}/v{version}/records.parquet"))
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _current(spark: SparkSession, path: str) -> int:
-    try:
-        return int(spark.read.text(f"{path}/CURRENT").first()["value"])
-    except Exception:
+    """The last whole version in the store; 0 if there is none. An error of the storage is an error here too."""
+    fs, at = _store(spark, path)
+    if not fs.exists(at):
         return 0
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    versions = sorted((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), reverse=True)
+    return next((v for v in versions if fs.exists(_store(spark, f"{path}/v{v}/{_WHOLE}")[1])), 0)
 
 
 def index_project(index: Index, root: str, mode: str = "incremental", at: int | None = None) -> tuple[Index, dict]:

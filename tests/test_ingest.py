@@ -207,6 +207,21 @@ def test_corpus_and_sinks(spark, tmp_path):
     assert sinks.bench_summary([{"tokens": 1, "other_tokens": 4, "ms": 1, "other_ms": 10, "found": [1, 2], "expected": [1]}]) == {"token_ratio": 0.25, "speed_up": 10, "recall": 1.0, "false_positives": 1}
 
 
+def test_a_save_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    root, store = write(tmp_path / "p", {"classes/Base.cls": TREE["classes/Base.cls"]}), str(tmp_path / "store")
+    index, _ = index_project(Index.empty(spark), root)
+    index.save(store)
+    whole = graph_facts(Index.load(spark, store).graph)
+    for step in ("v2", "v2/records.parquet"):  # what a run that dies between its steps leaves
+        (tmp_path / "store" / step).mkdir()
+        assert graph_facts(Index.load(spark, store).graph) == whole
+    index.save(store)
+    assert graph_facts(Index.load(spark, store).graph) == whole and (tmp_path / "store" / "v2" / "COMPLETE").exists()
+    (tmp_path / "store" / "v2" / "nodes.parquet").rename(tmp_path / "gone")
+    with pytest.raises(Exception, match="nodes"):  # a store that can't be read isn't an empty one
+        Index.load(spark, store).graph.nodes.count()
+
+
 def test_watch(spark, tmp_path):
     root, store = write(tmp_path / "w", {"classes/Base.cls": TREE["classes/Base.cls"]}), str(tmp_path / "store")
     query = ingest.watch(spark, store, root, str(tmp_path / "ck"))

@@ -176,7 +176,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("diff_changes", lambda s, d: _changes(s, d).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch")
-_add("diff_metadata_only", lambda s, d: diff.changes(bind_tables(s, d, snapshot=True), 1, 2, include_source=False).where("kind = 'node'").select("identity", "change"), _DIFF + "SELECT identity, change FROM ch WHERE kind = 'node'")
+_add("diff_metadata_only", lambda s, d: diff.changes(bind_tables(s, d, snapshot=True), 1, 2, include_source=False).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch")
 _add("diff_summary", lambda s, d: diff.summary(_changes(s, d)), _DIFF + "SELECT change, count(*) AS count FROM ch GROUP BY change")
 _add("diff_page2", lambda s, d: diff.page(_changes(s, d), 20, 20).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch ORDER BY kind, identity LIMIT 20 OFFSET 20")
 
@@ -197,24 +197,21 @@ _add(
 )
 
 
-def _best_match(spark: SparkSession, d: str, some: str = "true") -> DataFrame:
+def _best_match(spark: SparkSession, d: str) -> DataFrame:
     refs = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("ref_id"), F.concat(F.lit("t"), F.col("l_partkey") % 50).alias("name"), (F.col("l_linenumber") % 4).alias("arity")).distinct()
     found = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("t"), F.col("p_partkey") % 60).alias("name"), (F.col("p_size") % 4).alias("arity"), F.col("p_partkey").alias("target_id"))
-    return resolve.best_overload(refs, found.where(some))
+    return resolve.best_overload(refs, found)
 
 
-_add(
-    "resolve_best_match",
-    lambda s, d: _best_match(s, d, "target_id < 200"),
-    """WITH r AS (SELECT DISTINCT l_orderkey AS ref_id, 't' || (l_partkey % 50) AS name, l_linenumber % 4 AS arity FROM lineitem),
-    t AS (SELECT 't' || (p_partkey % 60) AS name, p_size % 4 AS arity, p_partkey AS target_id FROM part WHERE p_partkey < 200),
-    m AS (SELECT ref_id, r.name, r.arity, target_id, t.arity = r.arity AS exact, t.arity = 0 AS bare,
-      sum((t.arity = r.arity)::INTEGER) OVER w AS n_exact, row_number() OVER (PARTITION BY ref_id, r.name, r.arity ORDER BY (t.arity = r.arity) DESC, (t.arity = 0) DESC, target_id) AS rn
+#: Over every part. The ranks are made of the distinct (name, arity), so no reference meets every target of its name.
+_BEST_SQL = """WITH r AS (SELECT DISTINCT l_orderkey AS ref_id, 't' || (l_partkey % 50) AS name, l_linenumber % 4 AS arity FROM lineitem),
+    t AS (SELECT 't' || (p_partkey % 60) AS name, p_size % 4 AS arity, min(p_partkey) AS target_id, count(*) AS n FROM part GROUP BY ALL),
+    m AS (SELECT ref_id, r.name, r.arity, target_id,
+      sum(CASE WHEN t.arity = r.arity THEN n ELSE 0 END) OVER w AS n_exact,
+      row_number() OVER (PARTITION BY ref_id, r.name, r.arity ORDER BY (t.arity = r.arity) DESC, (t.arity = 0) DESC, target_id) AS rn
       FROM r JOIN t ON t.name = r.name WINDOW w AS (PARTITION BY ref_id, r.name, r.arity))
-    SELECT ref_id, name, arity, target_id, CASE WHEN n_exact = 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence FROM m WHERE rn = 1""",
-    prefix="",
-)
-#: Over every part, where a name has more targets the larger the table; its SQL would list all of their pairs.
-QUERIES["resolve_best_match_all"] = _best_match
+    SELECT ref_id, name, arity, target_id, CASE WHEN n_exact = 1 THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence FROM m WHERE rn = 1"""
+_add("resolve_best_match", _best_match, _BEST_SQL, prefix="")
+_add("resolve_best_match_all", _best_match, _BEST_SQL, prefix="")
 QUERIES |= ingest_queries.QUERIES
 ORACLE |= ingest_queries.ORACLE

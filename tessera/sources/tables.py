@@ -87,8 +87,8 @@ def bind_tables(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> Pro
         _edge(orders, PLACED, "PLACED", col("o_orderkey"), _at(CUSTOMER, "o_custkey"), _at(ORDER, "o_orderkey")),
         _edge(items, CONTAINS_PART, "CONTAINS_PART", line_key, _at(ORDER, "l_orderkey"), _at(PART, "l_partkey"), sure, line_props, col("l_linenumber")),
         _edge(items, SUPPLIED_BY, "SUPPLIED_BY", line_key, _at(ORDER, "l_orderkey"), _at(SUPPLIER, "l_suppkey"), sure, line_props, col("l_linenumber")),
-        _edge(table("events").join(F.broadcast(types), "event_type"), DID, "DID", col("event_id"), _at(USER, "user_id"), _at(EVENT_TYPE, "rank"), None, {"k": k}),
-        _edge(table("documents").join(F.broadcast(sources), "source"), FROM_SOURCE, "FROM_SOURCE", col("doc_id"), _at(DOCUMENT, "doc_id"), _at(SOURCE, "rank")),
+        _edge(table("events").join(types, "event_type"), DID, "DID", col("event_id"), _at(USER, "user_id"), _at(EVENT_TYPE, "rank"), None, {"k": k}),
+        _edge(table("documents").join(sources, "source"), FROM_SOURCE, "FROM_SOURCE", col("doc_id"), _at(DOCUMENT, "doc_id"), _at(SOURCE, "rank")),
     ]
     projects = spark.range(1, 3 if snapshot else 2).select("id", F.concat(lit("tables/"), "id").alias("root_path"), F.concat(lit("tables"), "id").alias("name"), lit(0).cast("long").alias("indexed_at"), lit(None).cast("string").alias("api_version"))
     if snapshot:

@@ -59,7 +59,8 @@ RULES = (
     Rule("duplicate_lines", "n_dup_lines >= 3 AND 10 * n_dup_lines > 3 * n_lines", "n_lines", "2"),
     Rule("upper_case_share", "word_chars > 20 AND 10 * n_upper > 5 * word_chars", "n_upper", "length(_t)"),
     Rule("adjacent_repeats", "10 * n_adjacent > 4 * n_words", "n_adjacent", "2 * word_chars"),
-    Rule("distinct_words", "n_words >= 50 AND 12 * n_distinct < n_words", "n_distinct", "2 * word_chars"),
+    # distinct words grow about as the root of the length, so beyond 2,304 words the root takes over from a twelfth
+    Rule("distinct_words", "n_words >= 50 AND n_distinct < least(n_words / 12e0, 4e0 * sqrt(n_words))", "n_distinct", "2 * word_chars"),
 )
 #: The base rule in two parts, for a cascade that need not return the base counts.
 BASE = (

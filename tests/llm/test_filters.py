@@ -46,6 +46,13 @@ def test_rules_reject_what_they_name(spark):
     assert all(r["name"] == r["by"] for r in got)
 
 
+def test_length_alone_rejects_nothing(spark):
+    rng = np.random.default_rng(5)
+    long, poor = (" ".join(f"word{i}" for i in rng.integers(0, n, 60_000)) for n in (4_000, 40))
+    docs = spark.createDataFrame([(1, long), (2, poor)], "doc_id long, text string")
+    assert [r["doc_id"] for r in quality_rules.keep_documents(docs).collect()] == [1]
+
+
 def test_keep_documents(odd, nothing):
     kept = quality_rules.keep_documents(odd)
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {5, 7, 8, 17, 18}

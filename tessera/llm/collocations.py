@@ -1,11 +1,15 @@
 """Phrase collocations by stripes.
 
-A stripe is an associative counter: a prefix of up to three words, and for each next word how often it follows. Tasks
-count the windows of whole texts into stripes and ship those, each prefix once with all its counters; stripes of one
-prefix are merged elementwise. The end of a piece is a next word too (the empty word), so a stripe's total is how often
-its prefix occurs: the total of "a b c" is the count of c in the stripe of "a b", and so on down to single words. One
-structure gives the extensions (a stripe's entries), the totals of prefixes, and the most frequent extension of each
-phrase, to the right (a stripe's largest entry) and to the left (the largest entry that ends in the phrase).
+A stripe is an associative counter: a prefix and, for each next word, how often it follows. Tasks count the windows of
+whole texts into stripes and ship those, each prefix once with all its counters; stripes of one prefix are merged
+elementwise. Prefixes grow level by level, from none to three words. A level takes only prefixes that are frequent, and
+counts as their next word only one that makes a frequent end (a phrase is no commoner than its parts); all other
+endings, the end of a piece too, count as the empty word, so a stripe's total is how often its prefix occurs. One
+structure gives the extensions (a stripe's entries), the totals of prefixes (its sum), and the most frequent extension
+of each phrase, to the right (its largest entry) and to the left (the largest entry that ends in the phrase).
+
+Which phrases are frequent is told to the tasks by a bitmap of their hashes, sized by their number. It may let
+infrequent phrases pass, which only costs work: every count that is reported is exact.
 
 A phrase that any longer candidate subsumes is subsumed by one that is one word longer: what lies between a phrase and a
 longer candidate occurs at least as often as that candidate, hence is a candidate itself.
@@ -13,8 +17,9 @@ longer candidate occurs at least as often as that candidate, hence is a candidat
 Defined results: a null text is empty; a null lang is ``und``; a doc_id or any other column takes no part; repeated rows
 count each time; texts of any length are read in parts, whole; a text without words adds nothing; an empty table gives
 an empty result; of equally scored phrases the more frequent, then the smaller in UTF-8 byte order, comes first.
-Memory: a task holds the windows of WINDOWS words and one text; a stripe is cut into SLICES by its next words, so that
-the stripes of one very common prefix meet in several tasks; counts are merged before and after the shuffle.
+Memory: a task holds the windows of WINDOWS words, one text and the bitmap, of MOST_BITS at most; beyond MOST_BITS / 16
+frequent phrases the bitmap lets more pass. A stripe is cut into SLICES by its next words, so that the stripes of one
+very common prefix meet in several tasks; counts are merged before and after the shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,16 +39,74 @@ from tessera.llm.joins import join_hot
 LEAST, MOST_WORDS, TOP, SUBSUMED_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Words whose windows a task counts before it ships the stripes, bytes of a text read at once, slices of a stripe.
 WINDOWS, PART_BYTES, SLICES = 2_000_000, 8_000_000, 16
+#: Bits of the bitmap of frequent phrases, by their number, and at most.
+BITS_EACH, MOST_BITS = 16, 2**28
 _END = b"."  # ends a piece: it separates pieces, so no word is equal to it
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_SEPARATORS + b"\t", _END * len(_SEPARATORS) + b" ")
 STRIPE = "lang string, prefix string, slice int, stripe array<struct<next:string,n:long>>"
 
 
+class _Sieve:
+    """Bitmap of the hashes of frequent phrases: two bits each."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplying by it loses nothing
+
+    def __init__(self, size: int, bits: np.ndarray | None = None):
+        self.size = size  # a power of two
+        self.bits = bits
+
+    @classmethod
+    def places(cls, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        return hashes & np.uint64(size - 1), (hashes >> np.uint64(32)) & np.uint64(size - 1)
+
+    @classmethod
+    def fold(cls, lang: str, words: list[np.ndarray]) -> np.ndarray:
+        """Hash of each phrase from the hashes of its words."""
+        out = np.full(len(words[0]), xxhash.xxh64_intdigest(lang.encode()), np.uint64)
+        for w in words:
+            out = (out ^ w) * cls.MIX
+            out ^= out >> np.uint64(29)
+        return out
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = self.places(hashes, self.size)
+        bit = lambda p: (self.bits[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1)
+        return (bit(a) & bit(b)).astype(bool)
+
+
+def _hashes(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _sieve(frequent: DataFrame, m: int) -> _Sieve:
+    """Of the phrases of ``m`` words in (lang, phrase)."""
+    n = frequent.count()
+    size = min(MOST_BITS, max(64, 1 << (BITS_EACH * n - 1).bit_length()))
+
+    def run(batches):
+        for b in batches:
+            for lang in b.column("lang").unique().to_pylist():
+                own = b.filter(pc.equal(b.column("lang"), lang)).column("phrase").to_pylist()
+                split = [p.encode().split(b" ") for p in own]
+                hashes = _Sieve.fold(lang, [_hashes([w[k] for w in split]) for k in range(m)])
+                at = np.concatenate(_Sieve.places(hashes, size))
+                word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+                bits = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    told = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(size // 64, np.uint64)
+    bitmap[told.column("at").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
+    return _Sieve(size, bitmap)
+
+
 class _Counter:
-    """Word ids of one language since the last shipment; id 0 ends a piece."""
+    """Word ids of one language since the last shipment; id 0 ends a piece. Windows are of ``m`` words."""
 
-    def __init__(self):
+    def __init__(self, lang: str, m: int, sieve: _Sieve | None):
+        self.lang, self.m, self.sieve = lang, m, sieve
         self.parts: list[np.ndarray] = []
         self.size = 0
         self.forget()
@@ -56,46 +120,58 @@ class _Counter:
         self.parts.append(np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens)))
         self.size += len(tokens)
 
-    def ship(self, lang: str, last: bool):
-        """Stripes of the windows that start here; without ``last``, the three words whose windows go on are kept."""
-        ids = np.concatenate([*self.parts, np.zeros(MOST_WORDS if last else 0, np.int64)])
-        starts = max(0, len(ids) - (MOST_WORDS - 1))
-        words = pa.array([b"", *list(self.ids)[1:]], pa.binary()).cast(pa.string())
-        vocabulary = list(self.ids)
-        tail = [vocabulary[i] for i in ids[starts:]] if not last else []
+    def ship(self, last: bool):
+        """Stripes of the windows that start here; without ``last``, the words whose windows go on are kept."""
+        ids = np.concatenate([*self.parts, np.zeros(self.m if last else 0, np.int64)])
+        starts = max(0, len(ids) - (self.m - 1))
+        words = list(self.ids)
+        tail = [words[i] for i in ids[starts:]] if not last else []
         self.parts, self.size = [], 0
         self.forget()
         if tail:
             self.read(tail)
-        columns, going = [], np.ones(starts, bool)
-        for k in range(MOST_WORDS):
-            word = ids[k : k + starts]
-            going = going & (word > 0)
-            columns.append(np.where(going, word, 0))
-        begun = columns[0] > 0
-        if not begun.any():
-            return None
-        return _stripes(lang, [c[begun] for c in columns], words)
+        columns = self._windows(ids, starts, words)
+        return _stripes(self.lang, columns, pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())) if len(columns[0]) else None
+
+    def _windows(self, ids: np.ndarray, starts: int, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of the words of each window that counts, 0 for a next word that does not."""
+        if self.m == 1:
+            return [ids[ids > 0]]
+        k = self.m - 1
+        if not starts:
+            return [np.empty(0, np.int64)] * self.m
+        hashes = _hashes(words)
+        ends = starts + 1  # phrases of k words: one from each start, and the end of the last window
+        whole = np.ones(ends, bool)
+        for j in range(k):
+            whole &= ids[j : j + ends] > 0
+        at = np.flatnonzero(whole)
+        whole[at] = self.sieve.has(_Sieve.fold(self.lang, [hashes[ids[at + j]] for j in range(k)]))
+        begun = np.flatnonzero(whole[:starts])
+        return [*(ids[begun + j] for j in range(k)), np.where(whole[begun + 1], ids[begun + k], 0)]
 
 
 def _stripes(lang: str, columns: list[np.ndarray], words: pa.Array) -> pa.RecordBatch:
     """Counts equal windows and lays those of one prefix and slice into one row."""
-    v = len(words)
+    v, m = len(words), len(columns)
     if v < 65_536:
         key = columns[0].astype(np.uint64)
         for c in columns[1:]:
             key = (key << np.uint64(16)) | c.astype(np.uint64)
         key, n = np.unique(key, return_counts=True)
-        found = [(key >> np.uint64(16 * (MOST_WORDS - 1 - k)) & np.uint64(65_535)).astype(np.int64) for k in range(MOST_WORDS)]
+        found = [(key >> np.uint64(16 * (m - 1 - k)) & np.uint64(65_535)).astype(np.int64) for k in range(m)]
     else:  # rank after each word: ranks and words both stay far below 2^31
-        rank = columns[0]
-        for c in columns[1:]:
+        rank = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
             _, first, rank = np.unique(rank * v + c, return_index=True, return_inverse=True)
         n = np.bincount(rank)
         found = [c[first] for c in columns]
     prefix, nxt = found[:-1], found[-1]
     # the slice must be the same in every task: it goes by the word, not by its id here
-    part = np.fromiter((sum(w) % SLICES for w in words.cast(pa.binary()).to_pylist()), np.int64, v)[nxt]
+    used = np.unique(nxt)
+    part = np.zeros(v, np.int64)
+    part[used] = [sum(w) % SLICES for w in words.take(pa.array(used)).cast(pa.binary()).to_pylist()]
+    part = part[nxt]
     order = np.lexsort((nxt, part, *prefix[::-1]))
     prefix, nxt, part, n = [p[order] for p in prefix], nxt[order], part[order], n[order]
     new = np.ones(len(n), bool)
@@ -103,10 +179,7 @@ def _stripes(lang: str, columns: list[np.ndarray], words: pa.Array) -> pa.Record
     for p in prefix:
         new[1:] |= p[1:] != p[:-1]
     at = np.flatnonzero(new)
-    text = words.take(pa.array(prefix[0][at]))
-    for p in prefix[1:]:
-        more = pa.array(p[at])
-        text = pc.if_else(pc.equal(more, 0), text, pc.binary_join_element_wise(text, words.take(more), " "))
+    text = pc.binary_join_element_wise(*(words.take(pa.array(p[at])) for p in prefix), " ") if prefix else pa.repeat("", len(at))
     entries = pa.StructArray.from_arrays([words.take(pa.array(nxt)), pa.array(n, pa.int64())], names=["next", "n"])
     stripe = pa.ListArray.from_arrays(pa.array(np.r_[at, len(n)], pa.int32()), entries)
     return pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), text, pa.array(part[at], pa.int32()), stripe], names=["lang", "prefix", "slice", "stripe"])
@@ -124,61 +197,62 @@ def _parts(text: bytes):
     yield text[at:]
 
 
-def _count(batches):
-    held: dict[str, _Counter] = defaultdict(_Counter)
-    for b in slices(batches):
-        texts = b.column("text").cast(pa.binary())
-        for lang, text in zip(b.column("lang").to_pylist(), texts, strict=True):
-            own = held[lang]
-            for part in _parts(text.as_py().lower().translate(_TABLE)):  # bytes: A-Z only
-                own.read(part.replace(_END, b" . ").split())
-                if own.size >= WINDOWS and (out := own.ship(lang, last=False)) is not None:
-                    yield out
-            own.read([_END])
-        if sum(c.size for c in held.values()) >= 2 * WINDOWS:  # many languages: their sum is what fills memory
-            for lang, c in held.items():
-                if (out := c.ship(lang, last=True)) is not None:
-                    yield out
-            held.clear()
-    for lang, c in held.items():
-        if (out := c.ship(lang, last=True)) is not None:
-            yield out
-
-
-def stripes(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """lang, prefix, slice and stripe, not merged yet: several rows a prefix."""
-    given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return given.mapInArrow(_count, STRIPE)
+def _count(m: int, told):
+    """``told``: the broadcast sieve, or None."""
+
+    def run(batches):
+        sieve = told.value if told else None
+        held: dict[str, _Counter] = {}
+        for b in slices(batches):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                if lang not in held:
+                    held[lang] = _Counter(lang, m, sieve)
+                own = held[lang]
+                for part in _parts(text.as_py().lower().translate(_TABLE)):  # bytes: A-Z only
+                    own.read(part.replace(_END, b" . ").split())
+                    if own.size >= WINDOWS and (out := own.ship(last=False)) is not None:
+                        yield out
+                own.read([_END])
+            if sum(c.size for c in held.values()) >= 2 * WINDOWS:  # many languages: their sum is what fills memory
+                yield from filter(None, (c.ship(last=True) for c in held.values()))
+                held.clear()
+        yield from filter(None, (c.ship(last=True) for c in held.values()))
+
+    return run
 
 
-def _level(entries: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """From (lang, prefix, next, n), unique: the prefixes' totals with their largest extension, and frequent extensions."""
-    extension = F.when(F.col("next") != "", F.col("n"))
-    totals = entries.groupBy("lang", "prefix").agg(F.sum("n").alias("n"), F.max(extension).alias("right"))
-    return totals, entries.where((F.col("next") != "") & (F.col("n") >= least))
+def stripes(docs: DataFrame, m: int, sieve: _Sieve | None, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
+    """lang, prefix of m - 1 words, slice; n, the sum of that slice's counters; right, its largest; frequent, its
+    counters (next, n) of ``least`` or more."""
+    told = docs.sparkSession.sparkContext.broadcast(sieve) if sieve else None
+    given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shipped = given.mapInArrow(_count(m, told), STRIPE)
+    met = shipped.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.inline("stripe"))
+    # elementwise: the stripes of a prefix lie together, so this sum needs no second shuffle
+    merged = met.groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n"))
+    word = F.col("next") != ""
+    frequent = F.collect_list(F.when(word & (F.col("n") >= least), F.struct("next", "n")))
+    return merged.groupBy("lang", "prefix", "slice").agg(F.sum("n").alias("n"), F.max(F.when(word, F.col("n"))).alias("right"), frequent.alias("frequent"))
 
 
 def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m words, a occurrences, right: occurrences of its commonest extension) of every phrase of up to
     four words that occurs ``least`` times, and (lang, n words)."""
-    shipped = stripes(docs, text_col=text_col, lang_col=lang_col)
-    met = shipped.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.inline("stripe"))
-    # elementwise: stripes of a prefix lie together, so this sum needs no second shuffle
-    merged = met.groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n"))
-    by_slice = merged.groupBy("lang", "prefix", "slice").agg(F.sum("n").alias("n"), F.max(F.when(F.col("next") != "", F.col("n"))).alias("right"), F.filter(F.collect_list(F.when(F.col("n") >= least, F.struct("next", "n"))), lambda x: x["next"] != "").alias("frequent"))
-    sliced = stage(by_slice)
-    longest = sliced.select("lang", "prefix", F.inline("frequent")).select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.lit(MOST_WORDS).alias("m"), F.col("n").alias("a"), F.lit(None).cast("long").alias("right"))
-    level = stage(sliced.groupBy("lang", "prefix").agg(F.sum("n").alias("n"), F.max("right").alias("right")))
-    found = [longest]
-    for m in range(MOST_WORDS - 1, 0, -1):
-        # rows of ``level``: prefixes of up to m words with their totals; those of m words are phrases of m words
-        own = level.where(F.size(F.split("prefix", " ")) == m)
-        found.append(own.where(F.col("n") >= least).select("lang", F.col("prefix").alias("phrase"), F.lit(m).alias("m"), F.col("n").alias("a"), "right"))
-        if m > 1:
-            cut = F.substring_index("prefix", " ", m - 1)
-            entries = level.select("lang", cut.alias("prefix"), F.when(F.size(F.split("prefix", " ")) == m, F.substring_index("prefix", " ", -1)).otherwise("").alias("next"), "n")
-            level = stage(_level(entries, least)[0])
-    total = level.groupBy("lang").agg(F.sum("n").alias("n"))
+    sieve, total, found = None, None, []
+    for m in range(1, MOST_WORDS + 1):
+        level = stage(stripes(docs, m, sieve, text_col=text_col, lang_col=lang_col, least=least))
+        own = level.select("lang", "prefix", F.inline("frequent")).select(
+            "lang", F.when(F.lit(m == 1), F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase"), F.lit(m).alias("m"), F.col("n").alias("a")
+        )
+        if m == 1:
+            total = level.groupBy("lang").agg(F.sum("n").alias("n"))
+        else:
+            right = level.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("right").alias("right"))
+            found[-1] = found[-1].join(right, ["lang", "phrase"], "left")
+        found.append(own)
+        if m < MOST_WORDS:
+            sieve = _sieve(own, m)
+    found[-1] = found[-1].withColumn("right", F.lit(None).cast("long"))
     frequent = found[0]
     for f in found[1:]:
         frequent = frequent.unionByName(f)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, collocations, hard_negatives, mixing, packing, paragraph_dedup, quality_cnn, quality_rules, sharding, simhash, topk_search, toxicity
+from tessera.llm import chat, collocations, hard_negatives, mixing, packing, paragraph_dedup, quality_cnn, quality_rules, sharding, simhash, topk_search, toxicity, warc
 from tessera.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.report(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
@@ -60,7 +64,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_quality_rules, op2_topk_search, op3_sharding, op4_simhash, op5_toxicity, op6_chat_format, op7_quality_cnn,
-    op8_mixing, op9_packing, op10_paragraph_dedup, op12_hard_negatives, op13_collocations,
+    op8_mixing, op9_packing, op10_paragraph_dedup, op11_warc, op12_hard_negatives, op13_collocations,
 )
 
 
@@ -74,6 +78,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_topk_search": topk_search.ORACLE,
         "op6_chat_format": chat.ORACLE,
         "op8_mixing": mixing.ORACLE,
+        "op11_warc": warc.ORACLE,
         "op12_hard_negatives": hard_negatives.ORACLE,
         "op13_collocations": collocations.ORACLE,
     }

@@ -141,9 +141,9 @@ def _arc_header(line: bytes, version: int) -> dict[str, str] | None:
     return found if _DATE.fullmatch(found["Archive-date"]) and found["Archive-length"].isdigit() and cut[0] else None
 
 
-def _arc_records(stream, path: str) -> Iterator[tuple]:
-    """(archive, place, version, url, date, content type, block, damage) of an archive's records, version block first."""
-    archive, version, place, stray = path, 1, 0, b""
+def _arc_records(stream) -> Iterator[tuple]:
+    """(place, version, url, date, content type, block, damage) of an archive's records, version block first."""
+    version, place, stray = 1, 0, b""
     while True:
         line = stream.readline()
         head = _arc_header(line, version) if line.strip() else None
@@ -154,7 +154,7 @@ def _arc_records(stream, path: str) -> Iterator[tuple]:
             stray += line
             continue
         if stray:
-            yield archive, place, version, NO_URL, "", "application/octet-stream", stray, "no header"
+            yield place, version, NO_URL, "", "application/octet-stream", stray, "no header"
             place, stray = place + 1, b""
         if not line:
             return
@@ -162,9 +162,8 @@ def _arc_records(stream, path: str) -> Iterator[tuple]:
             continue
         block = stream.read(int(head["Archive-length"]))
         if place == 0 and line.startswith(b"filedesc://"):
-            archive = head["URL"].removeprefix("filedesc://") or path
             version = 2 if block[:1] == b"2" else 1
-        yield archive, place, version, head["URL"], head["Archive-date"], head["Content-type"], block, None if len(block) == int(head["Archive-length"]) else "cut off"
+        yield place, version, head["URL"], head["Archive-date"], head["Content-type"], block, None if len(block) == int(head["Archive-length"]) else "cut off"
         place += 1
 
 
@@ -190,17 +189,18 @@ _READ = "archive string, place long, version int, url string, date string, conte
 
 
 def read_arc(spark: SparkSession, folder: str, *, blocks: bool = True) -> DataFrame:
-    """A row for each record of the legacy archives below ``folder``, with what WARC says of it; without ``blocks``, no block."""
+    """A row for each record of the legacy archives below ``folder``, with what WARC says of it; without ``blocks``, no
+    block. ``archive`` is the file's path: names in version blocks may be used twice."""
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 rows, held = [], 0
-                for archive, place, version, url, date, kind, block, damage in _arc_records(_opened(content.as_py()), path):
+                for place, version, url, date, kind, block, damage in _arc_records(_opened(content.as_py())):
                     head, payload, http = _payload(block)
                     what = "warcinfo" if url.startswith("filedesc://") else "response" if http and not damage else "resource"
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{place} {url} {date}")
-                    rows.append((archive, place, version, url, date, kind, what, f"<urn:uuid:{name}>", _head_value(head, ID_HEADER), len(payload), digest32(payload), damage, block if blocks else None))
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{place} {url} {date}")
+                    rows.append((path, place, version, url, date, kind, what, f"<urn:uuid:{name}>", _head_value(head, ID_HEADER), len(payload), digest32(payload), damage, block if blocks else None))
                     held += len(block) if blocks else 200
                     if held > 4 * 2**20:
                         yield _batch(rows, _READ)

@@ -18,8 +18,8 @@ Defined results: a null text is empty; a null lang is ``und``; a doc_id or any o
 count each time; texts of any length are read in parts, whole; a text without words adds nothing; an empty table gives
 an empty result; of equally scored phrases the more frequent, then the smaller in UTF-8 byte order, comes first.
 Memory: a task holds the windows of WINDOWS words, one text and the bitmap, of MOST_BITS at most; beyond MOST_BITS / 16
-frequent phrases the bitmap lets more pass. A stripe is cut into SLICES by its next words, so that the stripes of one
-very common prefix meet in several tasks; counts are merged before and after the shuffle.
+frequent phrases the bitmap lets more pass. The stripe of a hot prefix, one with a HOT_SHARE-th of all words or more, is
+cut into SLICES by its next words, so that it meets in several tasks; counts are merged before and after the shuffle.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from tessera.llm.joins import join_hot
 LEAST, MOST_WORDS, TOP, SUBSUMED_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Words whose windows a task counts before it ships the stripes, bytes of a text read at once, slices of a stripe.
 WINDOWS, PART_BYTES, SLICES = 2_000_000, 8_000_000, 16
+#: A prefix is hot from this many occurrences, and this share of all words, on: there are HOT_SHARE at most of each length.
+HOT_LEAST, HOT_SHARE = 1_000, 20_000
 #: Bits of the bitmap of frequent phrases, by their number, and at most.
 BITS_EACH, MOST_BITS = 16, 2**28
 _END = b"."  # ends a piece: it separates pieces, so no word is equal to it
@@ -52,9 +54,10 @@ class _Sieve:
 
     MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: multiplying by it loses nothing
 
-    def __init__(self, size: int, bits: np.ndarray | None = None):
+    def __init__(self, size: int, bits: np.ndarray, hot: np.ndarray):
         self.size = size  # a power of two
         self.bits = bits
+        self.hot = hot  # hashes of hot phrases
 
     @classmethod
     def places(cls, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,27 +82,33 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def _sieve(frequent: DataFrame, m: int) -> _Sieve:
-    """Of the phrases of ``m`` words in (lang, phrase)."""
+def _phrase_hashes(batch: pa.RecordBatch, m: int) -> np.ndarray:
+    out = np.zeros(batch.num_rows, np.uint64)
+    for lang in batch.column("lang").unique().to_pylist():
+        own = pc.equal(batch.column("lang"), lang)
+        split = [p.encode().split(b" ") for p in batch.column("phrase").filter(own).to_pylist()]
+        out[own.to_numpy(zero_copy_only=False)] = _Sieve.fold(lang, [_hashes([w[k] for w in split]) for k in range(m)])
+    return out
+
+
+def _sieve(frequent: DataFrame, m: int, hot_from: float) -> _Sieve:
+    """Of the phrases of ``m`` words in (lang, phrase, a); hot are those of ``hot_from`` occurrences."""
     n = frequent.count()
     size = min(MOST_BITS, max(64, 1 << (BITS_EACH * n - 1).bit_length()))
 
     def run(batches):
         for b in batches:
-            for lang in b.column("lang").unique().to_pylist():
-                own = b.filter(pc.equal(b.column("lang"), lang)).column("phrase").to_pylist()
-                split = [p.encode().split(b" ") for p in own]
-                hashes = _Sieve.fold(lang, [_hashes([w[k] for w in split]) for k in range(m)])
-                at = np.concatenate(_Sieve.places(hashes, size))
-                word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
-                bits = np.zeros(len(word), np.uint64)
-                np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+            at = np.concatenate(_Sieve.places(_phrase_hashes(b, m), size))
+            word, inverse = np.unique(at >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
 
     told = frequent.select("lang", "phrase").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(size // 64, np.uint64)
     bitmap[told.column("at").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
-    return _Sieve(size, bitmap)
+    hot = frequent.where(F.col("a") >= hot_from).select("lang", "phrase").toArrow().combine_chunks().to_batches()
+    return _Sieve(size, bitmap, _phrase_hashes(hot[0], m) if hot else np.empty(0, np.uint64))
 
 
 class _Counter:
@@ -130,54 +139,59 @@ class _Counter:
         self.forget()
         if tail:
             self.read(tail)
-        columns = self._windows(ids, starts, words)
-        return _stripes(self.lang, columns, pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())) if len(columns[0]) else None
+        columns, hot = self._windows(ids, starts, words)
+        return _stripes(self.lang, columns, hot, pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())) if len(columns[0]) else None
 
-    def _windows(self, ids: np.ndarray, starts: int, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of the words of each window that counts, 0 for a next word that does not."""
+    def _windows(self, ids: np.ndarray, starts: int, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of the words of each window that counts, 0 for a next word that does not; and whether its prefix is hot."""
         if self.m == 1:
-            return [ids[ids > 0]]
+            own = ids[ids > 0]
+            return [own], np.ones(len(own), bool)
         k = self.m - 1
         if not starts:
-            return [np.empty(0, np.int64)] * self.m
+            return [np.empty(0, np.int64)] * self.m, np.empty(0, bool)
         hashes = _hashes(words)
         ends = starts + 1  # phrases of k words: one from each start, and the end of the last window
         whole = np.ones(ends, bool)
         for j in range(k):
             whole &= ids[j : j + ends] > 0
         at = np.flatnonzero(whole)
-        whole[at] = self.sieve.has(_Sieve.fold(self.lang, [hashes[ids[at + j]] for j in range(k)]))
-        begun = np.flatnonzero(whole[:starts])
-        return [*(ids[begun + j] for j in range(k)), np.where(whole[begun + 1], ids[begun + k], 0)]
+        phrase = _Sieve.fold(self.lang, [hashes[ids[at + j]] for j in range(k)])
+        passes = self.sieve.has(phrase)
+        whole[at] = passes
+        at, phrase = at[passes], phrase[passes]
+        begun = at < starts
+        at, phrase = at[begun], phrase[begun]
+        return [*(ids[at + j] for j in range(k)), np.where(whole[at + 1], ids[at + k], 0)], np.isin(phrase, self.sieve.hot)
 
 
-def _stripes(lang: str, columns: list[np.ndarray], words: pa.Array) -> pa.RecordBatch:
-    """Counts equal windows and lays those of one prefix and slice into one row."""
+def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+    """Counts equal windows and lays those of one prefix, of a hot one those of one slice, into one row."""
     v, m = len(words), len(columns)
     if v < 65_536:
         key = columns[0].astype(np.uint64)
         for c in columns[1:]:
             key = (key << np.uint64(16)) | c.astype(np.uint64)
-        key, n = np.unique(key, return_counts=True)
-        found = [(key >> np.uint64(16 * (m - 1 - k)) & np.uint64(65_535)).astype(np.int64) for k in range(m)]
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
     else:  # rank after each word: ranks and words both stay far below 2^31
         rank = np.zeros(len(columns[0]), np.int64)
         for c in columns:
             _, first, rank = np.unique(rank * v + c, return_index=True, return_inverse=True)
         n = np.bincount(rank)
-        found = [c[first] for c in columns]
-    prefix, nxt = found[:-1], found[-1]
-    # the slice must be the same in every task: it goes by the word, not by its id here
-    used = np.unique(nxt)
-    part = np.zeros(v, np.int64)
-    part[used] = [sum(w) % SLICES for w in words.take(pa.array(used)).cast(pa.binary()).to_pylist()]
-    part = part[nxt]
-    order = np.lexsort((nxt, part, *prefix[::-1]))
-    prefix, nxt, part, n = [p[order] for p in prefix], nxt[order], part[order], n[order]
-    new = np.ones(len(n), bool)
-    new[1:] = part[1:] != part[:-1]
+    # both leave the windows in order of prefix, then next word
+    prefix, nxt, hot = [c[first] for c in columns[:-1]], columns[-1][first], hot[first]
+    new = np.zeros(len(n), bool)
+    new[0] = True
     for p in prefix:
         new[1:] |= p[1:] != p[:-1]
+    part = np.zeros(len(n), np.int64)
+    if hot.any():
+        # a slice must be the same in every task: it goes by the word, not by its id here
+        used, inverse = np.unique(nxt[hot], return_inverse=True)
+        part[hot] = np.asarray([sum(w) % SLICES for w in words.take(pa.array(used)).cast(pa.binary()).to_pylist()])[inverse]
+        order = np.argsort((np.cumsum(new) - 1) * SLICES + part, kind="stable")
+        prefix, nxt, part, n = [p[order] for p in prefix], nxt[order], part[order], n[order]
+        new[1:] |= part[1:] != part[:-1]
     at = np.flatnonzero(new)
     text = pc.binary_join_element_wise(*(words.take(pa.array(p[at])) for p in prefix), " ") if prefix else pa.repeat("", len(at))
     entries = pa.StructArray.from_arrays([words.take(pa.array(nxt)), pa.array(n, pa.int64())], names=["next", "n"])
@@ -245,13 +259,14 @@ def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
             "lang", F.when(F.lit(m == 1), F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next")).alias("phrase"), F.lit(m).alias("m"), F.col("n").alias("a")
         )
         if m == 1:
-            total = level.groupBy("lang").agg(F.sum("n").alias("n"))
+            total = stage(level.groupBy("lang").agg(F.sum("n").alias("n")))
+            hot_from = max(HOT_LEAST, (total.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE)
         else:
             right = level.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.max("right").alias("right"))
             found[-1] = found[-1].join(right, ["lang", "phrase"], "left")
         found.append(own)
         if m < MOST_WORDS:
-            sieve = _sieve(own, m)
+            sieve = _sieve(own, m, hot_from)
     found[-1] = found[-1].withColumn("right", F.lit(None).cast("long"))
     frequent = found[0]
     for f in found[1:]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
+from tessera.kept import once
 from tessera.plans.compiler import compile_query
 from tessera.streaming.ingest import graph_of_files
 
@@ -81,15 +82,9 @@ def files_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("content_hash", F.sha1(F.to_json("parts")))
 
 
-_GRAPHS: dict[tuple, PropertyGraph] = {}
-
-
 def indexed_tables(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The graph of that tree, made once a session and folder."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key not in _GRAPHS:
-        _GRAPHS[key] = graph_of_files(spark, files_of_tables(spark, sf_dir))
-    return _GRAPHS[key]
+    """The graph of that tree, made once for as long as the tables stay as they are."""
+    return once(spark, sf_dir, "index", lambda: graph_of_files(spark, files_of_tables(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -1,41 +1,97 @@
-"""Semantic difference of two snapshots: one full outer join of canonical forms."""
+"""Semantic difference of two snapshots by commutative fingerprints.
+
+A fingerprint of the multiset of entries under a key is their number, the sums of both halves of a 64-bit hash of each,
+and the exclusive or of a second one; entries of one snapshot count in full, those of the other negatively, so one
+aggregate over both snapshots tells the keys that may differ: those for which anything is left. Only for these are
+names, canonical JSON and lists made, and what proves equal in canonical form is dropped. Keys are 128-bit hashes of
+names. So a difference goes unseen only if 64-bit hashes collide in both.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.values import canonical_json
 from tessera.graph import PropertyGraph
+from tessera.staging import stage
+
+_KEY = ["k1", "k2"]
+
+
+def _snapshots(table: DataFrame, base: int, target: int) -> DataFrame:
+    """Rows of both snapshots; ``sign`` is 1 for the base and -1 for the target."""
+    return table.where(F.col("project_id").isin([base, target])).withColumn("sign", F.when(F.col("project_id") == base, 1).otherwise(-1))
+
+
+def _named(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumns({"k1": F.xxhash64("label", "qualified_name"), "k2": F.xxhash64(F.lit(1), "qualified_name", "label")})
 
 
-def _node_forms(graph: PropertyGraph, project_id: int, include_source: bool) -> DataFrame:
-    """identity (JSON array) and content of every node: properties, and the content hash if wanted."""
-    form = F.struct(canonical_json(F.col("properties")).alias("properties"), (F.col("content_hash") if include_source else F.lit(None).cast("string")).alias("content_hash"))
-    return graph.project_nodes(project_id).select(F.lit("node").alias("kind"), F.to_json(F.array("label", "qualified_name")).alias("identity"), F.to_json(form).alias("content"))
+def _prints(content: list[Column]) -> dict[str, Column]:
+    """The signed fingerprint of one entry, in narrow columns: its content is not carried any further."""
+    first, second = F.xxhash64(*content), F.xxhash64(F.lit(1), *content)
+    return {"n": F.col("sign"), "s": F.col("sign") * F.shiftright(first, 32), "t": F.col("sign") * first.bitwiseAND(F.lit(0xFFFFFFFF)), "x": second}
 
 
-def _edge_forms(graph: PropertyGraph, project_id: int) -> DataFrame:
-    """Edges by the names of their ends and their type; parallel ones are one entry, the sorted multiset of their
-    (properties, confidence). Edges with an end in another project are left out."""
-    ends = graph.project_nodes(project_id).select("id", "label", "qualified_name")
-    out = graph.project_edges(project_id)
-    for side in ("source", "target"):
-        out = out.join(ends.select(F.col("id").alias(f"{side}_id"), F.col("label").alias(f"_{side}_l"), F.col("qualified_name").alias(f"_{side}_q")), f"{side}_id")
+def _left_over(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys under which the signed fingerprints of the entries do not cancel out."""
+    sums = entries.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "nst"], F.bit_xor("x").alias("x"))
+    return sums.where("n != 0 or s != 0 or t != 0 or x != 0").select(*keys)
+
+
+def _sides(entries: DataFrame, keys: list[str], content: Column) -> DataFrame:
+    """keys, before and after: the content of each side."""
+    return entries.groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, content)).alias("before"), F.max(F.when(F.col("sign") == -1, content)).alias("after"))
+
+
+def _node_changes(graph: PropertyGraph, base: int, target: int, include_source: bool) -> DataFrame:
+    nodes = _snapshots(graph.nodes, base, target)
+    source = F.col("content_hash") if include_source else F.lit(None).cast("string")
+    differ = stage(_left_over(_named(nodes).withColumns(_prints([F.col("properties"), source])).select(*_KEY, *"nstx"), _KEY))
+    form = F.to_json(F.struct(canonical_json(F.col("properties")).alias("properties"), source.alias("content_hash")))
+    few = _named(nodes).join(differ, _KEY, "left_semi").select("sign", F.to_json(F.array("label", "qualified_name")).alias("identity"), form.alias("content"))
+    return _sides(few, ["identity"], F.col("content")).select(F.lit("node").alias("kind"), "identity", "before", "after")
+
+
+def _edge_changes(graph: PropertyGraph, base: int, target: int) -> DataFrame:
+    nodes = _snapshots(graph.nodes, base, target)
+    names = _named(nodes).select("id", "project_id", "k1", "k2")
+    entries = _snapshots(graph.edges, base, target).withColumns(_prints([F.col("properties"), F.col("confidence")])).select("source_id", "target_id", "edge_type", "project_id", *"nstx")
+    for side, (a, b) in (("source_id", ("a1", "a2")), ("target_id", ("b1", "b2"))):
+        entries = entries.join(names.select(F.col("id").alias(side), "project_id", F.col("k1").alias(a), F.col("k2").alias(b)), [side, "project_id"])
+    keys = ["a1", "a2", "b1", "b2", "edge_type"]
+    differ = stage(_left_over(entries, keys))
+    ends = names.join(differ.select(F.explode(F.array(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("k")).select("k.*").distinct(), _KEY, "left_semi")
+    ends = stage(ends.join(nodes.select("id", "label", "qualified_name"), "id"))
+    few = _snapshots(graph.edges, base, target)
+    for side, (a, b) in (("source", ("a1", "a2")), ("target", ("b1", "b2"))):
+        told = ends.select(F.col("id").alias(f"{side}_id"), "project_id", F.col("k1").alias(a), F.col("k2").alias(b), F.col("label").alias(f"_{side}_l"), F.col("qualified_name").alias(f"_{side}_q"))
+        few = few.join(told, [f"{side}_id", "project_id"])
+    few = few.join(differ, keys, "left_semi")
     identity = F.to_json(F.array("_source_l", "_source_q", "edge_type", "_target_l", "_target_q"))
     one = F.struct(canonical_json(F.col("properties")).alias("properties"), "confidence")
-    return out.groupBy(identity.alias("identity")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("content")).select(F.lit("edge").alias("kind"), "identity", "content")
+    lists = few.groupBy(identity.alias("identity"), "sign").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("content"))
+    return _sides(lists, ["identity"], F.col("content")).select(F.lit("edge").alias("kind"), "identity", "before", "after")
 
 
 def changes(graph: PropertyGraph, base: int, target: int, include_source: bool = True) -> DataFrame:
-    """kind, identity, change (added, removed or changed), before and after of all that differs."""
+    """kind, identity, change (added, removed or changed), before and after of all that differs.
+
+    A node is known by label and qualified name, and differs in properties or, if ``include_source``, content hash; an
+    edge by the names of its ends and its type, and parallel ones are one entry, the sorted list of their properties
+    and confidences. Edges with an end in another project are left out.
+    """
     known = {r["id"] for r in graph.projects.where(F.col("id").isin([base, target])).select("id").collect()}
     for p in (base, target):
         if p not in known:
             raise ValueError(f"Unknown project {p}")
-    forms = [_node_forms(graph, p, include_source).unionByName(_edge_forms(graph, p)) for p in (base, target)]
-    left, right = forms[0].withColumnRenamed("content", "before"), forms[1].withColumnRenamed("content", "after")
-    both = left.join(right, ["kind", "identity"], "full_outer").where("not (before <=> after)")
+    found = [] if base == target else [_node_changes(graph, base, target, include_source), _edge_changes(graph, base, target)]
+    if not found:
+        return graph.spark.createDataFrame([], "kind string, identity string, change string, before string, after string")
+    both = reduce(DataFrame.unionByName, found).where("not (before <=> after)")
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
     return both.select("kind", "identity", change.alias("change"), "before", "after")
 

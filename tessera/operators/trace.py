@@ -1,15 +1,19 @@
-"""Bounded breadth-first tracing, one join a level."""
+"""Bounded breadth-first tracing over an adjacency: a level reads the buckets of its frontier."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
 from tessera.model import DEFAULT_CONFIDENCE
+from tessera.operators.adjacency import Adjacency
 from tessera.staging import stage
 
 DEFAULT_DEPTH, MOST_DEPTH = 2, 5
+_WAYS = {"out": [0], "in": [1], "both": [0, 1]}
 
 
 def start_node(graph: PropertyGraph, project_id: int, qualified_name: str, label: str | None = None) -> DataFrame:
@@ -30,43 +34,33 @@ def trace(
     edge_types: list[str] | None = None,
     depth: int | None = None,
     min_confidence: float = DEFAULT_CONFIDENCE,
+    adjacency: Adjacency | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) reached within ``depth`` levels, each with the level ``depth`` at which it came.
 
     The start node is level 0; an edge has the level of the step that crosses it first. Edges of an expanded node are
     all returned, also those to nodes seen before; nodes of the last level aren't expanded. An unknown start is an
-    empty result.
+    empty result. ``adjacency``: that of the project, to be built once for many traces; without it one is built here.
     """
     depth = min(DEFAULT_DEPTH if depth is None else depth, MOST_DEPTH)
-    edges = graph.project_edges(project_id).where(F.col("confidence") >= min_confidence)
+    near = adjacency or Adjacency.build(graph, project_id)
+    wanted = F.col("way").isin(_WAYS[direction]) & (F.col("confidence") >= min_confidence)
     if edge_types:
-        edges = edges.where(F.col("edge_type").isin(edge_types))
-    ways = {"out": [("source_id", "target_id")], "in": [("target_id", "source_id")]}
-    ways["both"] = ways["out"] + ways["in"]
-    frontier = stage(start_node(graph, project_id, qualified_name, label).select("id"))
-    seen = [frontier.withColumn("depth", F.lit(0))]
-    crossed: list[DataFrame] = []
+        wanted = wanted & F.col("edge_type").isin(edge_types)
+    frontier = stage(start_node(graph, project_id, qualified_name, label).select("id", F.lit(0).alias("depth")))
+    seen, crossed = [frontier], []
     for level in range(1, depth + 1):
-        steps = [edges.join(frontier.withColumnRenamed("id", near), near).select("id", F.col(far).alias("_far")) for near, far in ways[direction]]
-        step = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-        step = stage(step)
-        new = step.select("id").distinct()
-        for old in crossed:
-            new = new.join(old.select("id"), "id", "left_anti")
-        crossed.append(stage(new.withColumn("depth", F.lit(level))))
-        ahead = step.select(F.col("_far").alias("id")).distinct()
-        for old in seen:
-            ahead = ahead.join(old.select("id"), "id", "left_anti")
-        frontier = stage(ahead.join(graph.project_nodes(project_id).select("id"), "id", "left_semi"))
-        if frontier.isEmpty():
+        buckets = near.halves.buckets_of(frontier)
+        if not buckets:
             break
-        seen.append(frontier.withColumn("depth", F.lit(level)))
-
-    def whole(table: DataFrame, parts: list[DataFrame]) -> DataFrame:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        return table.join(found, "id")
-
-    none = frontier.where("false").withColumn("depth", F.lit(0))
-    return whole(graph.project_nodes(project_id), seen), whole(graph.project_edges(project_id), crossed or [none])
+        there = near.halves.read(buckets).where(wanted)
+        step = stage(there.join(frontier.select(F.col("id").alias("near")), "near").select("edge_id", F.when(F.col("known"), F.col("far")).alias("id")))
+        crossed.append(step.select(F.col("edge_id").alias("id"), F.lit(level).alias("depth")))
+        # nodes of earlier levels come first: one aggregate finds the new ones
+        both = reduce(DataFrame.unionByName, [*seen, step.where("id is not null").select("id", F.lit(level).alias("depth"))])
+        frontier = stage(both.groupBy("id").agg(F.min("depth").alias("depth")).where(F.col("depth") == level))
+        seen.append(frontier)
+    nodes = reduce(DataFrame.unionByName, seen)
+    edges = reduce(DataFrame.unionByName, crossed, frontier.where("false"))
+    first = stage(edges.groupBy("id").agg(F.min("depth").alias("depth")))
+    return near.nodes.fetch(nodes), near.edges.fetch(first)

@@ -9,21 +9,22 @@ from pyspark.sql import functions as F
 
 from tessera import ingest_queries
 from tessera.graph import PropertyGraph
+from tessera.kept import once
 from tessera.operators import diff, reports, resolve, schema, search, trace
+from tessera.operators.adjacency import Adjacency
 from tessera.operators.search import Degree
 from tessera.plans.compiler import compile_query
 from tessera.sources import tables
 from tessera.sources.tables import ORACLE_PREFIX
 
-_BOUND: dict[tuple, PropertyGraph] = {}
+def bind_tables(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> PropertyGraph:
+    """The bound graph; its plans are lazy, only file footers are read."""
+    return once(spark, sf_dir, f"graph {snapshot}", lambda: tables.bind_tables(spark, sf_dir, snapshot))
 
 
-def bind_tables(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> PropertyGraph:
-    """The bound graph, remembered by session and folder: its plans are lazy, only file footers are read."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, snapshot)
-    if key not in _BOUND:
-        _BOUND[key] = tables.bind_tables(spark, sf_dir, snapshot)
-    return _BOUND[key]
+def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The stored adjacency of the bound graph: built once, read by every trace."""
+    return once(spark, sf_dir, "adjacency", lambda: Adjacency.build(bind_tables(spark, sf_dir), 1))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,10 +130,11 @@ def _trace(name: str, start: str, direction: str, depth: int, where: str = "conf
     for kind in ("nodes", "edges") if depth else ("nodes",):
         columns = ["id", "label", "qualified_name", "depth"] if kind == "nodes" else ["id", "depth"]
 
-        def run(g, kind=kind, columns=columns):
-            return trace.trace(g, 1, start, direction=direction, depth=depth, **how)[kind == "edges"].select(*columns)
+        def run(spark, d, kind=kind, columns=columns):
+            found = trace.trace(bind_tables(spark, d), 1, start, direction=direction, depth=depth, adjacency=adjacency(spark, d), **how)
+            return found[kind == "edges"].select(*columns)
 
-        _add(f"trace_{name}_{kind}", _graph(run), _bfs_sql(start, direction, depth, kind, where))
+        _add(f"trace_{name}_{kind}", run, _bfs_sql(start, direction, depth, kind, where))
 
 
 _trace("out_d2", "Order#3", "out", 2)
@@ -180,6 +182,20 @@ _add("diff_metadata_only", lambda s, d: diff.changes(bind_tables(s, d, snapshot=
 _add("diff_summary", lambda s, d: diff.summary(_changes(s, d)), _DIFF + "SELECT change, count(*) AS count FROM ch GROUP BY change")
 _add("diff_page2", lambda s, d: diff.page(_changes(s, d), 20, 20).select("kind", "identity", "change"), _DIFF + "SELECT * FROM ch ORDER BY kind, identity LIMIT 20 OFFSET 20")
 
+# what changed, with the content of both sides as canonical JSON
+_CONTENT = """, node_form AS (SELECT o_orderkey AS k, '["SalesOrder","Order#' || o_orderkey || '"]' AS identity,
+  json_object('properties', '{"open":' || CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END || ',"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}')::VARCHAR AS was,
+  json_object('properties', '{"open":' || CASE WHEN o_orderstatus = 'O' THEN 'false' ELSE 'true' END || ',"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}')::VARCHAR AS became FROM orders),
+edge_form AS (SELECT '["' || a.label || '","' || a.qname || '","' || e.type || '","' || b.label || '","' || b.qname || '"]' AS identity,
+  CASE WHEN e.flag IS NULL THEN '{}' ELSE '{"flag":"' || e.flag || '","line":' || e.line || '}' END AS props, e.conf
+  FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst
+  WHERE (a.label = 'SalesOrder' AND (a.id - 6000000000000) % 97 = 0) OR (b.label = 'SalesOrder' AND (b.id - 6000000000000) % 97 = 0))
+SELECT 'node' AS kind, identity, CASE WHEN k % 97 = 0 THEN 'removed' ELSE 'changed' END AS change, was AS before, CASE WHEN k % 97 <> 0 THEN became END AS after
+FROM node_form WHERE k % 97 = 0 OR k % 89 = 0
+UNION ALL SELECT 'edge', identity, 'removed', '[' || string_agg('{"properties":' || to_json(props)::VARCHAR || ',"confidence":' || conf || '}', ',' ORDER BY props, conf) || ']', NULL FROM edge_form GROUP BY identity
+"""
+_add("diff_contents", _changes, _CONTENT)
+
 
 # ingest and resolution
 def _changed_files(spark: SparkSession, d: str) -> DataFrame:

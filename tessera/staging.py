@@ -25,16 +25,32 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _folder(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def file_versions(spark: SparkSession, paths: list[str]) -> tuple:
+    """(name, bytes, time of change) of every file at or directly below ``paths``: equal as long as no file changes."""
+    out = []
+    for path in paths:
+        fs, where = _folder(spark, path)
+        if fs.exists(where):
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)]
+    return tuple(sorted(out))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts its lineage, survives lost executors, has true sizes.
 
     The files go with ``drop_stage``, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = temporary_folder(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
-    fs, where = _folder(spark, path)
-    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -6,7 +6,7 @@ import pytest
 from tessera import model, queries
 from tessera.functions.values import glob_pattern
 from tessera.graph import PropertyGraph, SchemaVersionError
-from tessera.operators import diff, reports, resolve, schema, search, trace
+from tessera.operators import adjacency, diff, reports, resolve, schema, search, trace
 from tessera.operators.search import Degree
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,6 +74,38 @@ def test_trace(chain):
     assert set(names(small)) <= set(names(large))
 
 
+def test_level_reads_the_buckets_of_its_frontier(spark, tmp_path):
+    """A ring of 400 nodes with a hub that every node calls: the hub spans buckets, a look-up skips the others."""
+    nodes = [(i, 1, "M", f"m{i}", "{}", None) for i in range(401)]
+    edges = [(i, 1, i, (i + 1) % 400, "CALLS", 1.0, "{}") for i in range(400)] + [(1000 + i, 1, i, 400, "USES", 1.0, "{}") for i in range(400)]
+    g = make(spark, nodes, edges)
+    built = adjacency.Adjacency.build(g, 1, str(tmp_path / "a"), rows=100)
+    halves = built.halves
+    assert len(halves.bucket) >= 12 and halves.table.count() == 1600
+    hub, one = (halves.buckets_of(spark.createDataFrame([(i,)], "id long")) for i in (400, 7))
+    assert len(hub) >= 3 and len(one) == 1 and halves.buckets_of(spark.createDataFrame([(999,), (None,)], "id long")) == []
+    read = halves.read(one)
+    assert len(read.inputFiles()) == len(halves.table.inputFiles())  # the folder is the same, the plan prunes it
+    files = [r[0] for r in read.selectExpr("input_file_name()").distinct().collect()]
+    assert len(files) == 1 and f"bucket={one[0]}/" in files[0]
+    assert "bucket" in read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+    again = adjacency.Adjacency.open(spark, str(tmp_path / "a"))
+    for how in (dict(direction="out", depth=3), dict(direction="in", depth=2), dict(direction="both", depth=2), dict(direction="in", depth=1, edge_types=["USES"])):
+        answers = []
+        for near in (built, again, None):
+            n, e = trace.trace(g, 1, "m7", adjacency=near, **how)
+            answers.append((sorted((r["id"], r["depth"]) for r in n.collect()), sorted((r["id"], r["depth"], r["edge_type"]) for r in e.collect())))
+        assert answers[0] == answers[1] == answers[2]
+        seen, level, crossed = {7: 0}, {7}, {}
+        for d in range(1, how["depth"] + 1):
+            step = [(i, a, b) for i, _, s, t, kind, _, _ in edges if kind in how.get("edge_types", ["CALLS", "USES"]) for a, b, way in ((s, t, "out"), (t, s, "in")) if how["direction"] in (way, "both") and a in level]
+            for i, _, _ in step:
+                crossed.setdefault(i, d)
+            level = {b for _, _, b in step} - seen.keys()
+            seen |= dict.fromkeys(level, d)
+        assert answers[0][0] == sorted(seen.items()) and [(i, d) for i, d, _ in answers[0][1]] == sorted(crossed.items())
+
+
 def test_summaries(chain):
     assert {r["id"]: (r["node_count"], r["edge_count"]) for r in schema.project_list(chain).collect()} == {1: (3, 5), 2: (1, 0)}
     assert schema.schema_summary(chain, 1)["edges"] == {"CALLS": 4, "USES": 1}
@@ -117,10 +149,22 @@ def test_diff(spark):
     changed = diff.changes(PropertyGraph(g.nodes, low, g.projects), 1, 2)
     assert {r["change"]: r["count"] for r in diff.summary(changed).collect()} == {"added": 1, "removed": 1, "changed": 1}
     assert [r["kind"] for r in diff.page(changed, 1, 0).collect()] == ["edge"] and diff.page(changed, 5, 9).count() == 0
+    (edge,) = diff.changes(PropertyGraph(g.nodes, low, g.projects), 1, 2).where("kind = 'edge'").collect()
+    one = '{{"properties":"{{\\"v\\":{}}}","confidence":{}}}'
+    assert edge["before"] == f"[{one.format(1, 1.0)},{one.format(2, 1.0)}]" and edge["after"] == f"[{one.format(1, 1.0)},{one.format(2, 0.5)}]"
     with pytest.raises(ValueError):
         diff.changes(g, 1, 9)
 
 
+def test_diff_counts_parallel_edges(spark):
+    """Multisets: the same entry once, twice and three times; and hashes that cancel under exclusive or alone."""
+    nodes = [(p * 10 + i, p, "F", f"f{i}", "{}", None) for p in (1, 2) for i in range(3)]
+    entries = {1: [(0, 1, "a")] * 2 + [(1, 2, "b")] + [(2, 0, "c")] * 3, 2: [(0, 1, "a")] * 2 + [(1, 2, "b")] * 3 + [(2, 0, "c")]}
+    edges = [(p * 100 + i, p, p * 10 + a, p * 10 + b, "E", 1.0, f'{{"{k}":1}}') for p, rows in entries.items() for i, (a, b, k) in enumerate(rows)]
+    got = diff.changes(make(spark, nodes, edges, (1, 2)), 1, 2).collect()
+    assert {(r["identity"], r["change"], r["before"].count("confidence"), r["after"].count("confidence")) for r in got} == {('["F","f1","E","F","f2"]', "changed", 1, 3), ('["F","f2","E","F","f0"]', "changed", 3, 1)}
+
+
 def test_writes_and_storage(spark, tmp_path):
     g = PropertyGraph.empty(spark)
     g, p = g.upsert_project("/root", "one", "60.0")
@@ -180,7 +224,7 @@ def test_best_match_over_every_part(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) and any(x[3] >= 200 and x[4] == 1.0 for x in want)
 
 
-@pytest.mark.parametrize("name", ["cy_count_group", "cy_optional_where", "cy_with_distinct", "cy_numeric_property", "search_degree_zero", "trace_in_d2_nodes", "schema_samples", "reverse_index", "diff_changes", "resolve_best_match", "ingest_refs"])
+@pytest.mark.parametrize("name", ["cy_count_group", "cy_optional_where", "cy_with_distinct", "cy_numeric_property", "search_degree_zero", "trace_in_d2_nodes", "schema_samples", "reverse_index", "diff_changes", "diff_contents", "resolve_best_match", "ingest_refs"])
 def test_table_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents pages".split():

@@ -38,7 +38,7 @@ from tessera.llm.joins import join_hot
 
 LEAST, MOST_WORDS, TOP, SUBSUMED_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Words whose windows a task counts before it ships the stripes, bytes of a text read at once, slices of a stripe.
-WINDOWS, PART_BYTES, SLICES = 2_000_000, 8_000_000, 16
+WINDOWS, PART_BYTES, SLICES = 4_000_000, 8_000_000, 16
 #: A prefix is hot from this many occurrences, and this share of all words, on: there are HOT_SHARE at most of each length.
 HOT_LEAST, HOT_SHARE = 1_000, 20_000
 #: Bits of the bitmap of frequent phrases, by their number, and at most.
@@ -125,9 +125,11 @@ class _Counter:
         self.ids.default_factory = self.ids.__len__
         self.ids[_END]
 
-    def read(self, tokens: list[bytes]):
-        self.parts.append(np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens)))
-        self.size += len(tokens)
+    def read(self, words: list[bytes], ids: np.ndarray):
+        """More text: the words at ``ids`` - 1 of a list without repeats, or the end of a piece where ``ids`` is 0."""
+        known = np.fromiter(map(self.ids.__getitem__, [_END, *words]), np.int64, len(words) + 1)
+        self.parts.append(known[ids])
+        self.size += len(ids)
 
     def ship(self, last: bool):
         """Stripes of the windows that start here; without ``last``, the words whose windows go on are kept."""
@@ -138,7 +140,8 @@ class _Counter:
         self.parts, self.size = [], 0
         self.forget()
         if tail:
-            self.read(tail)
+            distinct = list(dict.fromkeys(w for w in tail if w != _END))
+            self.read(distinct, np.asarray([0 if w == _END else distinct.index(w) + 1 for w in tail]))
         columns, hot = self._windows(ids, starts, words)
         return _stripes(self.lang, columns, hot, pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())) if len(columns[0]) else None
 
@@ -168,7 +171,11 @@ class _Counter:
 def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Array) -> pa.RecordBatch:
     """Counts equal windows and lays those of one prefix, of a hot one those of one slice, into one row."""
     v, m = len(words), len(columns)
-    if v < 65_536:
+    if m == 1:
+        n = np.bincount(columns[0], minlength=v)
+        columns = [np.flatnonzero(n)]
+        n, first, hot = n[columns[0]], np.arange(len(columns[0])), np.ones(len(columns[0]), bool)
+    elif v < 65_536:
         key = columns[0].astype(np.uint64)
         for c in columns[1:]:
             key = (key << np.uint64(16)) | c.astype(np.uint64)
@@ -199,16 +206,44 @@ def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Ar
     return pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), text, pa.array(part[at], pa.int32()), stripe], names=["lang", "prefix", "slice", "stripe"])
 
 
-def _parts(text: bytes):
-    """``text`` in parts that end between words."""
-    at = 0
-    while len(text) - at > PART_BYTES:
-        end = at + PART_BYTES
-        while end < len(text) and text[end : end + 1] not in (b" ", _END):
-            end += 1
-        yield text[at:end]
-        at = end
-    yield text[at:]
+def tokens(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of ``text``, and for each of its words in turn 1 + the word's place among those; 0 where one
+    or more pieces end."""
+    raw = np.frombuffer(text.lower().translate(_TABLE), np.uint8)  # bytes: A-Z only
+    end = raw == _END[0]
+    inside = ~(end | (raw == 32))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = np.flatnonzero(begins)
+    if not len(first):
+        return [], np.zeros(int(end.any()), np.int64)
+    offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
+    told = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
+    piece = np.cumsum(end)
+    ended = np.diff(np.concatenate([[0], piece[first], piece[-1:]])) > 0  # before each word, and after the last
+    out = np.zeros(len(first) + np.count_nonzero(ended), np.int64)
+    out[np.arange(len(first)) + np.cumsum(ended[:-1])] = told.indices.to_numpy(zero_copy_only=False) + 1
+    return told.dictionary.to_pylist(), out
+
+
+def _parts(texts: list[bytes]):
+    """The texts, each ended, in parts of about PART_BYTES; a long text is cut between words."""
+    held, size = [], 0
+    for text in texts:
+        at = 0
+        while len(text) - at > PART_BYTES:
+            end = at + PART_BYTES
+            while end < len(text) and text[end] != 32 and text[end] not in _SEPARATORS:
+                end += 1
+            yield b"".join([*held, text[at:end]])
+            held, size, at = [], 0, end
+        held += [text[at:], _END]
+        size += len(text) - at + 1
+        if size >= PART_BYTES:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
 
 
 def _count(m: int, told):
@@ -218,15 +253,13 @@ def _count(m: int, told):
         sieve = told.value if told else None
         held: dict[str, _Counter] = {}
         for b in slices(batches):
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                if lang not in held:
-                    held[lang] = _Counter(lang, m, sieve)
-                own = held[lang]
-                for part in _parts(text.as_py().lower().translate(_TABLE)):  # bytes: A-Z only
-                    own.read(part.replace(_END, b" . ").split())
+            langs, texts = b.column("lang"), b.column("text").cast(pa.binary())
+            for lang in langs.unique().to_pylist():
+                own = held.setdefault(lang, _Counter(lang, m, sieve))
+                for part in _parts(texts.filter(pc.equal(langs, lang)).to_pylist()):
+                    own.read(*tokens(part))
                     if own.size >= WINDOWS and (out := own.ship(last=False)) is not None:
                         yield out
-                own.read([_END])
             if sum(c.size for c in held.values()) >= 2 * WINDOWS:  # many languages: their sum is what fills memory
                 yield from filter(None, (c.ship(last=True) for c in held.values()))
                 held.clear()

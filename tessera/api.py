@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tessera.operators import diff, reports, schema, search, snippet, trace
+from tessera.operators.adjacency import Adjacency
 from tessera.plans.compiler import compile_query
 from tessera.plans.errors import CypherError
-from tessera.streaming.ingest import Index, index_project
+from tessera.streaming.ingest import Index, index_into, index_project
 
 
 class Engine:
@@ -16,16 +18,19 @@ class Engine:
     def __init__(self, spark: SparkSession, store: str | None = None):
         self.spark, self.store = spark, store
         self.index = Index.load(spark, store) if store else Index.empty(spark)
+        self._near: dict[int, Adjacency] = {}
 
     @property
     def graph(self):
         return self.index.graph
 
     def index_project(self, project_root: str, mode: str = "incremental") -> dict:
-        self.index, counts = index_project(self.index, project_root, mode)
+        """The run's counts. With a store, other writers' versions are built upon, never written over."""
         if self.store:
-            self.index.save(self.store)
-            self.index = Index.load(self.spark, self.store)
+            self.index, counts = index_into(self.spark, self.store, project_root, mode, self.index)
+        else:
+            self.index, counts = index_project(self.index, project_root, mode)
+        self._near.clear()
         return counts
 
     def list_projects(self) -> list[dict]:
@@ -38,7 +43,9 @@ class Engine:
         return search.search_page(self.graph, project_id, **filters)
 
     def trace_references(self, project_id: int, qualified_name: str, **how) -> dict:
-        nodes, edges = trace.trace(self.graph, project_id, qualified_name, **how)
+        if project_id not in self._near:
+            self._near[project_id] = Adjacency.build(self.graph, project_id)
+        nodes, edges = trace.trace(self.graph, project_id, qualified_name, adjacency=self._near[project_id], **how)
         return {"nodes": [r.asDict() for r in nodes.orderBy("depth", "id").collect()], "edges": [r.asDict() for r in edges.orderBy("depth", "id").collect()]}
 
     def get_source_snippet(self, project_id: int, qualified_name: str, context_lines: int = 0) -> dict:
@@ -56,7 +63,10 @@ class Engine:
             result = compile_query(self.graph, project_id, text)
         except CypherError as e:
             return {"error": str(e), "suggestion": e.suggestion}
-        rows = [[c.asDict() if hasattr(c, "asDict") else c for c in r] for r in result.frame.collect()]
+        try:
+            rows = [[c.asDict() if hasattr(c, "asDict") else c for c in r] for r in result.frame.collect()]
+        except PySparkException as e:
+            return {"error": f"the query failed: {str(e).splitlines()[0]}", "suggestion": "ask for fewer rows, or for one label or edge type at a time"}
         return {"columns": result.columns, "rows": rows, "row_count": len(rows), "warnings": result.warnings}
 
     def diff_projects(self, base: int, target: int, include_source: bool = True, limit: int = 50, offset: int = 0) -> dict:

@@ -94,16 +94,16 @@ class PropertyGraph:
         stamp = F.when(F.col("id") == project_id, F.lit(at or now_ms())).otherwise(F.col("indexed_at"))
         return replace(self, projects=self.projects.withColumn("indexed_at", stamp))
 
-    def upsert_nodes(self, incoming: DataFrame, at: int | None = None) -> PropertyGraph:
+    def upsert_nodes(self, incoming: DataFrame, at: int | None = None, above: int = 0) -> PropertyGraph:
         """Merges nodes on (project_id, label, qualified_name): a known one keeps id and creation time and takes the
-        rest; new ones get ids above the largest, in order of their key. ``incoming`` needs no id."""
+        rest; new ones get ids above the largest, and above ``above``, in order of their key. ``incoming`` needs no id."""
         at = at or now_ms()
         key = ["project_id", "label", "qualified_name"]
         rest = ["name", "file_path", "start_line", "end_line", "properties", "content_hash"]
         new = incoming.select(*key, *rest, F.lit(True).alias("_new"))
         old = self.nodes.select(*model.NODES.fieldNames())
         both = old.join(new.select(*key, *[F.col(c).alias("n_" + c) for c in rest], "_new"), key, "full_outer")
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+        top = old.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(above)).alias("_top"))
         fresh = number_rows(both.where("id is null"), [F.col(k) for k in key], "_nth").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_nth")).drop("_nth", "_top")
         merged = both.where("id is not null").unionByName(fresh)
         picked = [F.when(F.col("_new"), F.col("n_" + c)).otherwise(F.col(c)).alias(c) for c in rest]

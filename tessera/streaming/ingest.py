@@ -1,8 +1,9 @@
 """Indexing of project trees, whole or incremental, and the stream that follows a tree.
 
-The index keeps the records of every file beside the graph. An incremental run parses only files whose content hash
-changed, drops those of files that are gone, and resolves all records anew by joins; so it ends in the same graph as a
-full run, and edges from unchanged files into changed ones survive.
+Beside the graph the index keeps the records of every file, the symbols that each reference looks up, by symbol, and
+the record that each edge came from. An incremental run parses files whose content hash changed, merges the nodes that
+these files tell of, resolves the references that a changed node can affect, and replaces their edges; so it ends in the
+same graph as a full run, and edges from unchanged files into changed ones survive.
 """
 
 from __future__ import annotations
@@ -14,60 +15,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model
-from tessera.graph import PropertyGraph, now_ms
-from tessera.operators import resolve
+from tessera.graph import PropertyGraph, now_ms, number_rows
+from tessera.operators import incremental, resolve
 from tessera.operators.schema import reverse_index
 from tessera.sources import project as tree
 from tessera.sources.parsers.records import DDL
 from tessera.staging import stage
+from tessera.streaming import commits
 
-_RECORDS = "project_id long, " + DDL
-_WHOLE = "COMPLETE"  # the file that a version of the store gets last
+_RECORDS = "project_id long, rec_id string, " + DDL
+_LOOKUPS = "project_id long, bucket int, key string, rec_id string, file_path string"
+_LINKS = "project_id long, edge_id long, rec_id string, file_path string"
 
 
 @dataclass(frozen=True)
 class Index:
-    """A graph with the file records that it was resolved from."""
+    """A graph with the file ``records`` it was resolved from, the symbols their references look up (``lookups``), and
+    the record of each edge (``links``). ``version``: that of the store it was read from."""
 
     graph: PropertyGraph
     records: DataFrame
+    lookups: DataFrame
+    links: DataFrame
+    version: int = 0
 
     @staticmethod
     def empty(spark: SparkSession) -> Index:
-        return Index(PropertyGraph.empty(spark), spark.createDataFrame([], _RECORDS))
-
-    def save(self, path: str) -> None:
-        """A new version beside the old ones, then the marker that it is whole: readers take the last whole version, so
-        a run that dies at any step leaves the one before."""
-        spark = self.graph.spark
-        fs, at = _store(spark, path)
-        version = _current(spark, path) + 1
-        self.graph.save(f"{path}/v{version}")
-        self.records.write.mode("overwrite").parquet(f"{path}/v{version}/records.parquet")
-        fs.create(_store(spark, f"{path}/v{version}/{_WHOLE}")[1], True).close()
-        fs.delete(_store(spark, f"{path}/v{version - 2}")[1], True)
+        return Index(PropertyGraph.empty(spark), *(spark.createDataFrame([], ddl) for ddl in (_RECORDS, _LOOKUPS, _LINKS)))
+
+    def save(self, path: str) -> int:
+        """Commits this index as the version after its own; ``CommitConflict`` if another writer did so meanwhile."""
+        data = commits.new_data(path)
+        self.graph.save(data)
+        for name, by in (("records", ["project_id"]), ("lookups", ["project_id", "bucket"]), ("links", ["project_id"])):
+            getattr(self, name).write.partitionBy(*by).parquet(f"{data}/{name}.parquet")
+        return commits.commit(self.graph.spark, path, self.version, data)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        version = _current(spark, path)
+        version, data = commits.current(spark, path)
         if not version:
             return Index.empty(spark)
-        return Index(PropertyGraph.load(spark, f"{path}/v{version}"), spark.read.parquet(f"{path}/v{version}/records.parquet"))
-
-
-def _store(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _current(spark: SparkSession, path: str) -> int:
-    """The last whole version in the store; 0 if there is none. An error of the storage is an error here too."""
-    fs, at = _store(spark, path)
-    if not fs.exists(at):
-        return 0
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    versions = sorted((int(n[1:]) for n in names if n[0] == "v" and n[1:].isdigit()), reverse=True)
-    return next((v for v in versions if fs.exists(_store(spark, f"{path}/v{v}/{_WHOLE}")[1])), 0)
+        tables = (spark.read.schema(ddl).parquet(f"{data}/{name}.parquet") for name, ddl in (("records", _RECORDS), ("lookups", _LOOKUPS), ("links", _LINKS)))
+        return Index(PropertyGraph.load(spark, data), *tables, version)
 
 
 def index_project(index: Index, root: str, mode: str = "incremental", at: int | None = None) -> tuple[Index, dict]:
@@ -86,21 +76,36 @@ def index_project(index: Index, root: str, mode: str = "incremental", at: int |
     n_changed = changed.count()
     n_removed = resolve.removed_files(found, known).count()
     stale = not graph.projects.where((F.col("id") == p) & F.col("indexed_at").isNotNull()).count()
+    touched = 0
     if n_changed or n_removed or stale or mode == "full":
-        kept = index.records.where(F.col("project_id") == p).join(found.select("file_path", "content_hash").join(known.select("file_path", "content_hash"), ["file_path", "content_hash"]).select("file_path"), "file_path", "left_semi")
-        columns = [c.split()[0] for c in _RECORDS.split(", ")]
-        fresh = tree.parse_files(changed).withColumn("project_id", F.lit(p).cast("long"))
-        mine = stage(kept.select(*columns).unionByName(fresh.select(*columns)))
-        graph = _resolved(graph, p, mine, found, at)
-        records = stage(index.records.where(F.col("project_id") != p).select(*columns).unionByName(mine))
-    else:
-        mine, records = index.records.where(F.col("project_id") == p), index.records
+        old = index.records.where(F.col("project_id") == p)
+        kept_files = found.select("file_path", "content_hash").join(known.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select("file_path")
+        fresh = stage(_told(tree.parse_files(changed), p))
+        index, touched = _maintained(replace(index, graph=graph), p, old, fresh, stage(kept_files), found, at)
+        graph = index.graph
+    mine = index.records.where(F.col("project_id") == p)
     graph = graph.mark_indexed(p, at)
     out = {
         "project_id": p, "files": found.count(), "files_parsed": n_changed, "files_removed": n_removed, "nodes": graph.project_nodes(p).count(),
-        "edges": graph.project_edges(p).count(), **_warnings(mine),
+        "edges": graph.project_edges(p).count(), "references_resolved": touched, "new_project": bool(stale), **_warnings(mine),
     }
-    return Index(graph, records), out
+    return replace(index, graph=graph), out
+
+
+def index_into(spark: SparkSession, store: str, root: str, mode: str = "incremental", index: Index | None = None, tries: int = 20) -> tuple[Index, dict]:
+    """Indexes the tree and commits to ``store``; if another writer came first, again on top of what it wrote. Returns
+    the index as stored. A run that changes nothing commits nothing. ``index``: the store's, where it is at hand."""
+    index = index or Index.load(spark, store)
+    for _ in range(tries):
+        after, counts = index_project(index, root, mode)
+        if index.version and mode != "full" and not (counts["files_parsed"] or counts["files_removed"] or counts["new_project"]):
+            return index, counts
+        try:
+            after.save(store)
+            return Index.load(spark, store), counts
+        except commits.CommitConflict:
+            index = Index.load(spark, store)
+    raise commits.CommitConflict(f"{store} changed under {tries} runs")
 
 
 def _warnings(records: DataFrame) -> dict:
@@ -109,52 +114,104 @@ def _warnings(records: DataFrame) -> dict:
     return {"warnings": [r["text"] for r in some.orderBy("file_path", "text").limit(100).collect()], "warning_count": some.count()}
 
 
-def _resolved(graph: PropertyGraph, p: int, records: DataFrame, found: DataFrame, at: int) -> PropertyGraph:
-    hashes = found.select("file_path", "content_hash")
+def _told(records: DataFrame, p: int) -> DataFrame:
+    """Parsed records with the project and an id each."""
+    return records.withColumns({"project_id": F.lit(p).cast("long"), "rec_id": F.expr("uuid()")}).select(*[c.split()[0] for c in _RECORDS.split(", ")])
+
+
+def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_files: DataFrame, found: DataFrame, at: int) -> tuple[Index, int]:
+    """The index after the records ``fresh`` have taken the place of those of all files but ``kept_files``, and the
+    number of edge and reference records that were resolved. All of ``found`` are the project's files now."""
+    graph, name = index.graph, ["label", "qualified_name"]
+    kept, gone = (stage(old.join(kept_files, "file_path", how).select(*old.columns)) for how in ("left_semi", "left_anti"))
+    mine = kept.unionByName(fresh)
+
+    # nodes: those that changed files told or tell of
+    names = stage(gone.unionByName(fresh).where("rec = 'node'").select(*name).distinct())
+    incoming = stage(_merged_nodes(mine.join(names, name, "left_semi"), found, p))
+    before = stage(graph.project_nodes(p).join(names, name, "left_semi").select(*model.NODES.fieldNames()))
+    rest = graph.nodes.join(before.select("id"), "id", "left_anti").select(*model.NODES.fieldNames())
+    above = graph.nodes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    after = replace(graph, nodes=before.join(incoming.select(*name), name, "left_semi").select(*model.NODES.fieldNames())).upsert_nodes(incoming, at, above=above)
+    after = stage(after.nodes)
+    graph = replace(graph, nodes=stage(rest.unionByName(after)))
+
+    # references: those of changed files, and those that a changed node can affect
+    own = lambda t: t.where(F.col("project_id") == p)
+    lookups = own(index.lookups)
+    hit = stage(incremental.affected(lookups, stage(incremental.changed_symbols(before, after))).join(kept.select("rec_id"), "rec_id", "left_semi"))
+    again = stage(kept.join(hit, "rec_id", "left_semi").select(*kept.columns).unionByName(fresh).where("rec in ('edge', 'ref')"))
+    lost = own(index.links).join(hit, "rec_id", "left_semi").unionByName(own(index.links).join(kept_files, "file_path", "left_anti").select(*index.links.columns))
+    lost = stage(lost.select("edge_id").distinct())
+    edges = graph.edges.join(lost.withColumnRenamed("edge_id", "id"), "id", "left_anti").select(*model.EDGES.fieldNames())
+    top = graph.edges.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = resolve_records(graph.project_nodes(p), again).withColumn("project_id", F.lit(p).cast("long"))
+    order = [F.col(c) for c in ("source_id", "target_id", "edge_type", "source_line", "properties", "rec_id")]
+    new = stage(number_rows(new, order, "_nth").withColumn("id", F.col("_nth") + top).join(again.select("rec_id", "file_path"), "rec_id"))
+    graph = replace(graph, edges=stage(edges.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in model.EDGES]))))
+    links = index.links.join(lost, "edge_id", "left_anti").select(*index.links.columns).unionByName(new.select("project_id", F.col("id").alias("edge_id"), "rec_id", "file_path"))
+    looked = incremental.symbols_in(fresh).select(F.lit(p).cast("long").alias("project_id"), incremental.bucket().alias("bucket"), "key", "rec_id", "file_path")
+    others = lambda t: t.where(F.col("project_id") != p)
+    lookups = others(index.lookups).unionByName(lookups.join(kept_files, "file_path", "left_semi").select(*index.lookups.columns)).unionByName(looked)
+
+    # files: their state, and which of them refer to which
+    state = found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "content_hash", F.lit(at).alias("indexed_at"))
+    moved = before.select("file_path").unionByName(after.select("file_path")).unionByName(again.select("file_path")).unionByName(gone.select("file_path"))
+    moved = stage(moved.where("file_path is not null").distinct())
+    back = own(graph.file_backrefs)
+    for side in ("target_file", "referring_file"):
+        back = back.join(moved.withColumnRenamed("file_path", side), side, "left_anti")
+    back = back.unionByName(_file_pairs(graph, p, moved).withColumn("project_id", F.lit(p).cast("long")))
+    graph = replace(
+        graph,
+        file_hashes=stage(others(graph.file_hashes).unionByName(state)),
+        file_backrefs=stage(others(graph.file_backrefs).unionByName(back.select(*graph.file_backrefs.columns))),
+    )
+    records = others(index.records).unionByName(mine.select(*index.records.columns))
+    return Index(graph, stage(records), stage(lookups), stage(links), index.version), again.count()
+
+
+def _file_pairs(graph: PropertyGraph, p: int, files: DataFrame) -> DataFrame:
+    """The pairs of the reverse index with one of ``files`` in them, from the edges at these files' nodes."""
+    ids = stage(graph.project_nodes(p).join(files, "file_path", "left_semi").select("id"))
+    near = graph.project_edges(p)
+    near = near.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(near.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(*near.columns), allowMissingColumns=False)
+    return reverse_index(replace(graph, edges=near), p)
+
+
+def _merged_nodes(records: DataFrame, found: DataFrame, p: int) -> DataFrame:
+    """One row for each node that the records tell of: a real one beats a placeholder, then the first file."""
     real = F.struct(
         F.coalesce(F.get_json_object("properties", "$.isPlaceholder") == "true", F.lit(False)).alias("placeholder"), "file_path", F.coalesce("start_line", F.lit(0)).alias("_l"),
         "name", "start_line", "end_line", "properties",
     )
-    merged = records.where("rec = 'node'").groupBy("label", "qualified_name").agg(F.min(real).alias("n"))  # a real one beats a placeholder
-    incoming = merged.select(F.lit(p).cast("long").alias("project_id"), "label", "qualified_name", "n.*").join(hashes, "file_path", "left")
-    incoming = stage(incoming)
-    others = graph.nodes.where(F.col("project_id") != p)
-    own = graph.project_nodes(p).join(incoming.select("label", "qualified_name"), ["label", "qualified_name"], "left_semi").select(*graph.nodes.columns)
-    graph = replace(graph, nodes=others.unionByName(own), edges=graph.edges.where(F.col("project_id") != p)).upsert_nodes(incoming, at)
-    graph = replace(graph, nodes=stage(graph.nodes))
-    graph = graph.append_edges(resolve_records(graph.project_nodes(p), records).withColumn("project_id", F.lit(p).cast("long")))
-    graph = replace(graph, edges=stage(graph.edges))
-    state = found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "content_hash", F.lit(at).alias("indexed_at"))
-    back = reverse_index(graph, p).select(F.lit(p).cast("long").alias("project_id"), "target_file", "referring_file")
-    return replace(
-        graph,
-        file_hashes=stage(graph.file_hashes.where(F.col("project_id") != p).unionByName(state)),
-        file_backrefs=stage(graph.file_backrefs.where(F.col("project_id") != p).unionByName(back)),
-    )
+    merged = records.where("rec = 'node'").groupBy("label", "qualified_name").agg(F.min(real).alias("n"))
+    return merged.select(F.lit(p).cast("long").alias("project_id"), "label", "qualified_name", "n.*").join(found.select("file_path", "content_hash"), "file_path", "left")
 
 
 def graph_of_files(spark: SparkSession, files: DataFrame) -> PropertyGraph:
     """The graph, as project 1, of a table of discovered files: kind, file_path, parent, content_hash and parts."""
     graph, p = PropertyGraph.empty(spark).upsert_project("files", "files")
-    records = stage(tree.parse_files(files).withColumn("project_id", F.lit(p).cast("long")))
-    return _resolved(graph, p, records, files, 0)
+    index = replace(Index.empty(spark), graph=graph)
+    nothing = files.where("false").select("file_path")
+    return _maintained(index, p, index.records, stage(_told(tree.parse_files(files), p)), nothing, files, 0)[0].graph
 
 
 def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
-    """Edges (source_id, target_id, edge_type, confidence, properties, source_file, source_line) of all records whose
-    ends exist; what isn't found is dropped."""
+    """Edges (rec_id, source_id, target_id, edge_type, confidence, properties, source_file, source_line) of all records
+    whose ends exist; what isn't found is dropped."""
     named = nodes.select("id", "label", "qualified_name", "name", "properties")
     source = named.select(F.col("id").alias("source_id"), "label", "qualified_name")
     target = named.select(F.col("id").alias("target_id"), F.col("label").alias("t_label"), F.col("qualified_name").alias("t_name"))
 
     def edges(df: DataFrame, kind: Column | str, confidence: Column, file: Column, line: Column, props: Column) -> DataFrame:
-        return df.select("source_id", "target_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), confidence.cast("double").alias("confidence"), props.alias("properties"), file.alias("source_file"), line.cast("int").alias("source_line"))
+        return df.select(F.col("ref_id").alias("rec_id"), "source_id", "target_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("edge_type"), confidence.cast("double").alias("confidence"), props.alias("properties"), file.alias("source_file"), line.cast("int").alias("source_line"))
 
     sure, none, empty = F.lit(model.RESOLVED), F.lit(None).cast("string"), F.lit("{}")
-    direct = records.where("rec = 'edge'").join(source, ["label", "qualified_name"]).join(target, ["t_label", "t_name"])
+    direct = records.where("rec = 'edge'").withColumnRenamed("rec_id", "ref_id").join(source, ["label", "qualified_name"]).join(target, ["t_label", "t_name"])
     out = edges(direct, F.col("edge_type"), F.col("confidence"), none, F.col("line"), F.col("properties"))
 
-    refs = stage(records.where("rec = 'ref'").join(source, ["label", "qualified_name"]).select("ref", "label", "text", "arity", "owner", "line", "file_path", "source_id", F.col("properties").alias("how"), F.monotonically_increasing_id().alias("ref_id")))
+    refs = stage(records.where("rec = 'ref'").join(source, ["label", "qualified_name"]).select("ref", "label", "text", "arity", "owner", "line", "file_path", "source_id", F.col("properties").alias("how"), F.col("rec_id").alias("ref_id")))
 
     def types(*labels: str) -> DataFrame:
         some = named.where(F.col("label").isin(*labels))
@@ -166,8 +223,8 @@ def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
     extends = refs.where("ref = 'extends'").select("source_id", "label", "ref_id", key)
     parents = resolve.first_found(extends, ["ref_id"], [extends.join(c, "key").select("ref_id", "target_id") for c in (classes, interfaces)])
     out = out.unionByName(edges(parents, "EXTENDS", sure, none, F.lit(None), empty))
-    out = out.unionByName(edges(refs.where("ref = 'implements'").select("source_id", key).join(interfaces, "key"), "IMPLEMENTS", sure, none, F.lit(None), empty))
-    made = refs.where("ref = 'new' and label = 'ApexMethod'").select("source_id", key, "file_path", "line").join(classes, "key")
+    out = out.unionByName(edges(refs.where("ref = 'implements'").select("ref_id", "source_id", key).join(interfaces, "key"), "IMPLEMENTS", sure, none, F.lit(None), empty))
+    made = refs.where("ref = 'new' and label = 'ApexMethod'").select("ref_id", "source_id", key, "file_path", "line").join(classes, "key")
     out = out.unionByName(edges(made, "INSTANTIATES", sure, F.col("file_path"), F.col("line"), empty))
 
     methods = named.where("label = 'ApexMethod'").select(
@@ -196,11 +253,10 @@ def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
 def _soql_edges(named: DataFrame, refs: DataFrame, edges) -> DataFrame:
     """Edges of queries' relationship paths and child queries, where every step has one meaning."""
     fields = named.where("label = 'Field'").select(
-        F.regexp_extract("qualified_name", r"^([^.]+)\.", 1).alias("object"), "name", F.get_json_object("properties", "$.referenceTo").alias("to"), F.get_json_object("properties", "$.relationshipName").alias("children")
+        F.regexp_extract("qualified_name", r"^([^.]+)\.", 1).alias("object"), F.get_json_object("properties", "$.referenceTo").alias("to"), incremental.up_relation().alias("up"), incremental.down_relation().alias("down")
     ).where("to is not null")
-    custom = F.col("name").endswith("__c")
-    up = fields.select("object", F.when(custom, F.regexp_replace("name", "__c$", "__r")).otherwise(F.regexp_replace("name", "Id$", "")).alias("relation"), F.col("to").alias("target"))
-    down = fields.where("children is not null").select(F.col("to").alias("object"), F.when(custom, F.concat("children", F.lit("__r"))).otherwise(F.col("children")).alias("relation"), F.col("object").alias("target"))
+    up = fields.select("object", F.col("up").alias("relation"), F.col("to").alias("target"))
+    down = fields.where("down is not null").select(F.col("to").alias("object"), F.col("down").alias("relation"), F.col("object").alias("target"))
     relations = stage(up.unionByName(down))
     asked = refs.where("ref in ('soql', 'soql_object')").select("ref_id", "ref", "source_id", "line", "how", F.split("text", r"\|")[0].alias("from"), F.split("text", r"\|").alias("_p"))
     chain = F.concat(F.slice(F.split("from", ">"), F.lit(2), F.greatest(F.size(F.split("from", ">")) - 1, F.lit(0))), F.when(F.col("ref") == "soql", F.expr("slice(split(_p[1], '[.]'), 1, size(split(_p[1], '[.]')) - 1)")).otherwise(F.array().cast("array<string>")))
@@ -224,10 +280,7 @@ def watch(spark: SparkSession, store: str, root: str, checkpoint: str, every: st
     """
 
     def step(batch: DataFrame, _: int) -> None:
-        before = Index.load(spark, store)
-        after, counts = index_project(before, root)
-        if counts["files_parsed"] or counts["files_removed"] or after.graph.projects.count() != before.graph.projects.count():
-            after.save(store)
+        index_into(spark, store, root)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return ticks.writeStream.foreachBatch(step).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()

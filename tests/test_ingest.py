@@ -1,6 +1,7 @@
 """Project trees: parsers, discovery, resolution, incremental runs, the stream, the tools."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,7 @@ from tessera.sources import corpus, project, sinks
 from tessera.sources.parsers import parse
 from tessera.sources.parsers.metadata import formula_references
 from tessera.sources.parsers.soql import extract, sosl_objects
-from tessera.streaming import ingest
+from tessera.streaming import commits, ingest
 from tessera.streaming.ingest import Index, index_project
 
 TREE = {
@@ -207,21 +208,85 @@ def test_corpus_and_sinks(spark, tmp_path):
     assert sinks.bench_summary([{"tokens": 1, "other_tokens": 4, "ms": 1, "other_ms": 10, "found": [1, 2], "expected": [1]}]) == {"token_ratio": 0.25, "speed_up": 10, "recall": 1.0, "false_positives": 1}
 
 
-def test_a_save_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+def test_a_save_that_dies_leaves_the_version_before(spark, tmp_path):
     root, store = write(tmp_path / "p", {"classes/Base.cls": TREE["classes/Base.cls"]}), str(tmp_path / "store")
     index, _ = index_project(Index.empty(spark), root)
+    index.graph.save(f"{store}/data/dead")  # what a run that dies before its commit leaves
+    assert Index.load(spark, store).version == 0
     index.save(store)
     whole = graph_facts(Index.load(spark, store).graph)
-    for step in ("v2", "v2/records.parquet"):  # what a run that dies between its steps leaves
-        (tmp_path / "store" / step).mkdir()
-        assert graph_facts(Index.load(spark, store).graph) == whole
-    index.save(store)
-    assert graph_facts(Index.load(spark, store).graph) == whole and (tmp_path / "store" / "v2" / "COMPLETE").exists()
-    (tmp_path / "store" / "v2" / "nodes.parquet").rename(tmp_path / "gone")
+    (tmp_path / "store/commits/.draft-x").write_text("{")
+    again = Index.load(spark, store)
+    assert again.version == 1 and graph_facts(again.graph) == whole and again.save(store) == 2
+    last = commits.current(spark, store)[1]
+    (Path(last) / "nodes.parquet").rename(tmp_path / "gone")
     with pytest.raises(Exception, match="nodes"):  # a store that can't be read isn't an empty one
         Index.load(spark, store).graph.nodes.count()
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    store = str(tmp_path / "store")
+    one, two = (write(tmp_path / n, {f"classes/{n}.cls": f"public class {n} {{}}"}) for n in ("One", "Two"))
+    engines = [Engine(spark, store), Engine(spark, store)]  # both have read the empty store
+    late = Index.load(spark, store)
+    counts = [e.index_project(root) for e, root in zip(engines, (one, two), strict=True)]
+    assert [c["project_id"] for c in counts] == [1, 2]  # the second was told of the first, and ran again
+    stored = Index.load(spark, store)
+    assert stored.version == 2 and {r["name"] for r in stored.graph.nodes.collect()} == {"One", "Two"}
+    mine, _ = index_project(late, one)
+    with pytest.raises(commits.CommitConflict):
+        mine.save(store)
+    assert Index.load(spark, store).version == 2 and len(list((tmp_path / "store/data").iterdir())) == 2
+
+    def race(n):
+        return commits._put_if_absent(spark, f"{tmp_path}/race/00", f"{n}\n")
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(race, range(16))) == 1
+
+
+def peers(n, **changed):
+    """Classes that call, extend and query in a ring: few of them depend on one."""
+    made = {f"classes/C{i}.cls": f"public class C{i} {'extends C' + str(i - 1) if i % 3 == 1 else ''} {{ public static void go(Integer a) {{ C{(i + 1) % n}.go(1); helper(); List<Account> x = [SELECT Id, Owner{i}__r.Name FROM Account]; }} static void helper() {{}} }}" for i in range(n)}
+    for i in range(0, n, 5):
+        made[f"objects/Account/fields/Owner{i}__c.field-meta.xml"] = f"<CustomField><fullName>Owner{i}__c</fullName><type>Lookup</type><referenceTo>User</referenceTo></CustomField>"
+    made["objects/User/fields/Name.field-meta.xml"] = "<CustomField><fullName>Name</fullName><type>Text</type></CustomField>"
+    return made | changed
+
+
+def test_only_affected_references_are_resolved(spark, tmp_path):
+    """Each edit ends in the graph and the file pairs of a full run, and resolves no more than what it can affect."""
+    n, root = 20, tmp_path / "t"
+    write(root, peers(n))
+    index, counts = index_project(Index.empty(spark), str(root), at=1)
+    everything = counts["references_resolved"]
+    base = root / "force-app/main/default"
+    new_method = "public class C4 extends C3 { public static void go(Integer a) { C5.go(1); } public static void go(Integer b, Integer c) {} public static void go(Integer d) {} }"
+    edits = [
+        ({"classes/C4.cls": new_method}, [], 10),  # an overload more: its callers are ambiguous now
+        ({"classes/C4.cls": new_method + " // a comment"}, [], 6),  # nothing that others can see
+        ({}, ["classes/C9.cls"], 3),  # gone: C8 calls it, C10 extends it
+        ({"classes/C9.cls": peers(n)["classes/C9.cls"]}, [], 12),  # back
+        ({"objects/Account/fields/Owner7__c.field-meta.xml": peers(n)["objects/Account/fields/Owner5__c.field-meta.xml"].replace("Owner5", "Owner7")}, [], 4),  # a path that leads on
+        ({}, ["objects/User/fields/Name.field-meta.xml"], 65),
+    ]
+    for at, (put, gone, most) in enumerate(edits, 2):
+        write(root, put)
+        for g in gone:
+            (base / g).unlink()
+        index, counts = index_project(index, str(root), at=at)
+        assert counts["files_parsed"] == len(put) and counts["files_removed"] == len(gone)
+        full, _ = index_project(Index.empty(spark), str(root), "full", at=at)
+        assert graph_facts(index.graph) == graph_facts(full.graph), at
+        pairs = [sorted((r["target_file"], r["referring_file"]) for r in x.graph.file_backrefs.collect()) for x in (index, full)]
+        assert pairs[0] == pairs[1]
+        for table, key in (("links", "edge_id"), ("lookups", "key"), ("records", "text")):
+            a, b = (getattr(x, table) for x in (index, full))
+            assert a.count() == b.count() and a.select(key).distinct().count() == b.select(key).distinct().count()
+        assert 0 < counts["references_resolved"] <= most < everything / 2, (at, counts["references_resolved"], everything)
+    assert index.graph.edges.select("id").distinct().count() == index.graph.edges.count()
+
+
 def test_watch(spark, tmp_path):
     root, store = write(tmp_path / "w", {"classes/Base.cls": TREE["classes/Base.cls"]}), str(tmp_path / "store")
     query = ingest.watch(spark, store, root, str(tmp_path / "ck"))

@@ -112,40 +112,39 @@ def _sieve(frequent: DataFrame, m: int, hot_from: float) -> _Sieve:
 
 
 class _Counter:
-    """Word ids of one language since the last shipment; id 0 ends a piece. Windows are of ``m`` words."""
+    """Words of one language since the last shipment. Windows are of ``m`` words."""
 
     def __init__(self, lang: str, m: int, sieve: _Sieve | None):
         self.lang, self.m, self.sieve = lang, m, sieve
-        self.parts: list[np.ndarray] = []
+        self.parts: list[tuple[pa.Array, np.ndarray]] = []
         self.size = 0
-        self.forget()
 
-    def forget(self):
-        self.ids: dict[bytes, int] = defaultdict()
-        self.ids.default_factory = self.ids.__len__
-        self.ids[_END]
-
-    def read(self, words: list[bytes], ids: np.ndarray):
-        """More text: the words at ``ids`` - 1 of a list without repeats, or the end of a piece where ``ids`` is 0."""
-        known = np.fromiter(map(self.ids.__getitem__, [_END, *words]), np.int64, len(words) + 1)
-        self.parts.append(known[ids])
+    def read(self, words: pa.Array, ids: np.ndarray):
+        """More text, as ``tokens`` tells it."""
+        self.parts.append((words, ids))
         self.size += len(ids)
 
     def ship(self, last: bool):
         """Stripes of the windows that start here; without ``last``, the words whose windows go on are kept."""
-        ids = np.concatenate([*self.parts, np.zeros(self.m if last else 0, np.int64)])
+        if not self.parts:
+            return None
+        every = pa.concat_arrays([w for w, _ in self.parts]).dictionary_encode()
+        number = every.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        own, at = [], 0
+        for w, ids in self.parts:
+            own.append(np.r_[0, number[at : at + len(w)]][ids])
+            at += len(w)
+        ids = np.concatenate([*own, np.zeros(self.m if last else 0, np.int64)])
         starts = max(0, len(ids) - (self.m - 1))
-        words = list(self.ids)
-        tail = [words[i] for i in ids[starts:]] if not last else []
+        words = pa.concat_arrays([pa.array([b""], pa.binary()), every.dictionary])  # id 0 ends a piece
         self.parts, self.size = [], 0
-        self.forget()
-        if tail:
-            distinct = list(dict.fromkeys(w for w in tail if w != _END))
-            self.read(distinct, np.asarray([0 if w == _END else distinct.index(w) + 1 for w in tail]))
+        if not last:
+            tail = ids[starts:]
+            self.read(words.take(pa.array(tail)), np.where(tail > 0, np.arange(1, len(tail) + 1), 0))
         columns, hot = self._windows(ids, starts, words)
-        return _stripes(self.lang, columns, hot, pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())) if len(columns[0]) else None
+        return _stripes(self.lang, columns, hot, words.cast(pa.string())) if len(columns[0]) else None
 
-    def _windows(self, ids: np.ndarray, starts: int, words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    def _windows(self, ids: np.ndarray, starts: int, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of the words of each window that counts, 0 for a next word that does not; and whether its prefix is hot."""
         if self.m == 1:
             own = ids[ids > 0]
@@ -153,7 +152,7 @@ class _Counter:
         k = self.m - 1
         if not starts:
             return [np.empty(0, np.int64)] * self.m, np.empty(0, bool)
-        hashes = _hashes(words)
+        hashes = _hashes(words.to_pylist())
         ends = starts + 1  # phrases of k words: one from each start, and the end of the last window
         whole = np.ones(ends, bool)
         for j in range(k):
@@ -206,7 +205,7 @@ def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Ar
     return pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), text, pa.array(part[at], pa.int32()), stripe], names=["lang", "prefix", "slice", "stripe"])
 
 
-def tokens(text: bytes) -> tuple[list[bytes], np.ndarray]:
+def tokens(text: bytes) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of ``text``, and for each of its words in turn 1 + the word's place among those; 0 where one
     or more pieces end."""
     raw = np.frombuffer(text.lower().translate(_TABLE), np.uint8)  # bytes: A-Z only
@@ -216,14 +215,14 @@ def tokens(text: bytes) -> tuple[list[bytes], np.ndarray]:
     begins[1:] &= ~inside[:-1]
     first = np.flatnonzero(begins)
     if not len(first):
-        return [], np.zeros(int(end.any()), np.int64)
+        return pa.array([], pa.binary()), np.zeros(int(end.any()), np.int64)
     offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
     told = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
     piece = np.cumsum(end)
     ended = np.diff(np.concatenate([[0], piece[first], piece[-1:]])) > 0  # before each word, and after the last
     out = np.zeros(len(first) + np.count_nonzero(ended), np.int64)
     out[np.arange(len(first)) + np.cumsum(ended[:-1])] = told.indices.to_numpy(zero_copy_only=False) + 1
-    return told.dictionary.to_pylist(), out
+    return told.dictionary, out
 
 
 def _parts(texts: list[bytes]):

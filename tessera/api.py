@@ -52,7 +52,7 @@ class Engine:
         return snippet.source_snippet(self.graph, project_id, qualified_name, context_lines)
 
     def get_field_usage(self, project_id: int, field: str, include_indirect: bool = True) -> dict:
-        return reports.impact_report(self.graph, project_id, field, include_indirect)
+        return reports.field_report(self.graph, project_id, field, include_indirect)
 
     def get_permission_access(self, project_id: int, target_type: str, qualified_name: str) -> dict:
         return reports.access_report(self.graph, project_id, target_type, qualified_name)

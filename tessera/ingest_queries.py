@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.graph import PropertyGraph
 from tessera.kept import once
 from tessera.plans.compiler import compile_query
+from tessera.operators import reports
 from tessera.streaming.ingest import graph_of_files
 
 # Fixed files beside those of the tables.
@@ -201,6 +202,31 @@ _add(
 )
 
 
+# all uses of all fields of the tree, and, with those of its object, of one of them
+_USES = f"""WITH u AS (
+  SELECT target AS field, 'apex_methods' AS list, source AS qualified_name, context FROM ({ORACLE["ingest_soql_fields"]})
+  UNION ALL SELECT target, 'formula_fields', source, edge_type FROM ({ORACLE["ingest_formula_fields"]})
+  UNION ALL SELECT DISTINCT target, 'flows', source, edge_type FROM ({ORACLE["ingest_flow_fields"]})
+  UNION ALL SELECT target, 'validation_rules', source, edge_type FROM ({ORACLE["ingest_rule_fields"]}) WHERE edge_type = 'VALIDATION_REFERENCES_FIELD'
+  UNION ALL SELECT target, 'lwc_bundles', source, edge_type FROM ({ORACLE["ingest_components"]}) WHERE edge_type = 'LWC_USES_FIELD'
+  UNION ALL SELECT target, 'vf_pages', source, edge_type FROM ({ORACLE["ingest_pages"]}) WHERE edge_type = 'VF_USES_FIELD'
+  UNION ALL SELECT target, 'permission_sets', source, edge_type FROM (SELECT edge_type, source, target FROM ({ORACLE["ingest_grants"]})) WHERE edge_type = 'GRANTS_FIELD_ACCESS')
+"""
+
+
+def _usages(g: PropertyGraph, fields: DataFrame, include_indirect: bool) -> DataFrame:
+    return reports.field_usages(g, 1, fields, include_indirect).select("field", "list", "qualified_name", "context")
+
+
+_add("field_usage", lambda g: _usages(g, g.nodes.where("label = 'Field'").select(F.col("qualified_name").alias("field")), False), _USES + "SELECT * FROM u")
+_add(
+    "field_usage_indirect", lambda g: _usages(g, g.nodes.where("label = 'Field' and qualified_name = 'Region__c.Title__c' or qualified_name = 'Part__c.F7__c'").select(F.col("qualified_name").alias("field")), True),
+    _USES + f"""SELECT * FROM u WHERE field IN ('Region__c.Title__c', 'Part__c.F7__c')
+    UNION ALL SELECT 'Part__c.F7__c', 'apex_methods', source, 'SOQL' FROM ({ORACLE["ingest_soql_objects"]}) WHERE target = 'Part__c'
+    UNION ALL SELECT 'Part__c.F7__c', 'flows', source, operation FROM ({ORACLE["ingest_flow_objects"]}) WHERE target = 'Part__c'""",
+)
+
+
 # writes
 def _without_sevenths(g: PropertyGraph) -> PropertyGraph:
     gone = g.nodes.where(F.col("label") == "ApexClass").where("cast(substr(name, 2) as long) % 7 = 0").select("file_path")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
-from tessera.model import DEFAULT_CONFIDENCE
 
 
 @dataclass(frozen=True)
@@ -113,8 +112,58 @@ def access_report(graph: PropertyGraph, project_id: int, target_type: str, quali
     }
 
 
-def impact_report(graph: PropertyGraph, project_id: int, qualified_name: str, include_indirect: bool = True, min_confidence: float = DEFAULT_CONFIDENCE) -> dict:
-    out: dict[str, list] = {name: [] for name in dict.fromkeys(FIELD_USAGE.buckets.values())} | {"other": []}
-    for r in impact(graph, project_id, qualified_name, include_indirect=include_indirect).where(F.col("confidence") >= min_confidence).collect():
-        out[r["bucket"]].append(r.asDict())
+# The lists of the field report by source label, the edge types behind each, and what it says of itself.
+FIELD_LISTS = {
+    "ApexMethod": "apex_methods", "LwcBundle": "lwc_bundles", "LwcModule": "lwc_bundles", "VisualforcePage": "vf_pages", "VisualforceComponent": "vf_components",
+    "ValidationRule": "validation_rules", "Field": "formula_fields", "AuraBundle": "aura_components", "AuraComponent": "aura_components", "Flow": "flows",
+    "Layout": "layouts", "FlexiPage": "layouts", "PermissionSet": "permission_sets", "Profile": "permission_sets", "EmailTemplate": "email_templates", "ApexTrigger": "apex_triggers",
+}
+FIELD_COVERAGE = {
+    "authoritative": ["lwc_bundles", "vf_pages", "vf_components", "validation_rules", "layouts"],
+    "indirect": ["apex_methods", "flows"],
+    "pending": ["aura_components", "permission_sets", "email_templates", "formula_fields", "flow_relationship_traversal", "flow_screen_choice_fields"],
+}
+
+
+def field_usages(graph: PropertyGraph, project_id: int, fields: DataFrame, include_indirect: bool = True) -> DataFrame:
+    """(field, list, qualified_name, name, file_path, line, context) of whatever uses the fields named in the ``field``
+    column, for any number of fields in one plan.
+
+    Direct uses are edges into the field, each once; their context is the clause for Apex, else the edge type. Indirect
+    ones are queries and changes of its object: SOQL or DML by Apex methods, and a flow's operation. Sources of labels
+    without a list are left out; confidence plays no part.
+    """
+    list_of = F.lit(None).cast("string")
+    for label, name in FIELD_LISTS.items():
+        list_of = F.when(F.col("label") == label, name).otherwise(list_of)
+    sources = graph.project_nodes(project_id).select(F.col("id").alias("source_id"), "label", "qualified_name", "name", "file_path")
+    named = graph.project_nodes(project_id).select(F.col("id").alias("target_id"), F.col("label").alias("_label"), F.col("qualified_name").alias("_name"))
+    edges = graph.project_edges(project_id).select("source_id", "target_id", "edge_type", F.col("source_line").alias("line"), "properties")
+    columns = ["field", list_of.alias("list"), "qualified_name", "name", "file_path", "line", "context"]
+    wanted = fields.select("field").distinct()
+
+    to_field = named.where(F.col("_label") == "Field").join(wanted, F.col("_name") == F.col("field")).select("target_id", "field")
+    clause = F.when(F.col("label").isin("ApexMethod", "ApexTrigger"), F.coalesce(F.get_json_object("properties", "$.context"), F.lit("SOQL_SELECT"))).otherwise(F.col("edge_type"))
+    direct = edges.where(F.col("edge_type").isin(list(FIELD_USAGE.direct))).join(to_field, "target_id").join(sources, "source_id").withColumn("context", clause)
+    out = direct.select("edge_type", *columns).distinct().drop("edge_type")
+    if include_indirect:
+        to_object = named.where(F.col("_label") == "SObject").join(wanted, F.col("_name") == F.substring_index("field", ".", 1)).select("target_id", "field")
+        by = {"SOQL_QUERIES": F.lit("SOQL"), "DML_ON": F.lit("DML"), "FLOW_DML_ON": F.coalesce(F.get_json_object("properties", "$.operation"), F.lit("FLOW_DML"))}
+        context = F.lit(None).cast("string")
+        for kind, said in by.items():
+            context = F.when(F.col("edge_type") == kind, said).otherwise(context)
+        near = edges.where(F.col("edge_type").isin(list(by))).join(to_object, "target_id").join(sources, "source_id").withColumn("context", context)
+        fits = ((F.col("label") == "Flow") & (F.col("edge_type") == "FLOW_DML_ON")) | (F.col("label").isin("ApexMethod", "ApexTrigger") & (F.col("edge_type") != "FLOW_DML_ON"))
+        out = out.unionByName(near.where(fits).select(*columns))
+    return out.where("list is not null")
+
+
+def field_report(graph: PropertyGraph, project_id: int, field: str, include_indirect: bool = True) -> dict:
+    """The report on one field: its name, its object, the lists of uses, and what each list can be trusted for."""
+    if "." not in field:
+        return {"error": f'field must be in "Object.Field" form (got "{field}")'}
+    out: dict = {"field": field, "parent_sobject": field.split(".")[0]} | {name: [] for name in dict.fromkeys(FIELD_LISTS.values())} | {"coverage": FIELD_COVERAGE}
+    asked = graph.spark.createDataFrame([(field,)], "field string")
+    for r in field_usages(graph, project_id, asked, include_indirect).orderBy("qualified_name", "line", "context").toLocalIterator():
+        out[r["list"]].append({k: r[k] for k in ("qualified_name", "name", "file_path", "line", "context")})
     return out

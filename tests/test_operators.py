@@ -126,10 +126,14 @@ def test_impact_and_access(spark):
         (7, 1, 7, 5, "INCLUDES_PERMSET", 1.0, "{}"), (8, 1, 8, 1, "EMAIL_REFERENCES_FIELD", 0.6, "{}"),
     ]
     g = make(spark, nodes, edges)
-    found = reports.impact_report(g, 1, "Account.X")
-    assert [(r["kind"], r["context"]) for r in found["apex_methods"]] == [("direct", "SOQL_SELECT"), ("indirect", None)] or len(found["apex_methods"]) == 2
-    assert len(found["flows"]) == 1 and len(found["email_templates"]) == 1 and len(found["permission_sets"]) == 2
-    assert len(reports.impact_report(g, 1, "Account.X", include_indirect=False)["flows"]) == 0
+    found = reports.field_report(g, 1, "Account.X")
+    assert (found["field"], found["parent_sobject"]) == ("Account.X", "Account") and found["coverage"]["indirect"] == ["apex_methods", "flows"]
+    assert [(r["qualified_name"], r["context"], r["file_path"]) for r in found["apex_methods"]] == [("C.m()", "SOQL", "c.cls"), ("C.m()", "SOQL_SELECT", "c.cls")]
+    assert [r["context"] for r in found["flows"]] == ["FLOW_DML"] and len(found["email_templates"]) == 1 and len(found["permission_sets"]) == 2
+    assert set(found) >= {"lwc_bundles", "vf_pages", "vf_components", "validation_rules", "formula_fields", "aura_components", "layouts"}
+    direct = reports.field_report(g, 1, "Account.X", include_indirect=False)
+    assert direct["flows"] == [] and [r["context"] for r in direct["apex_methods"]] == ["SOQL_SELECT"]
+    assert reports.field_report(g, 1, "X") == {"error": 'field must be in "Object.Field" form (got "X")'}
     with pytest.raises(ValueError):
         reports.impact(g, 1, "X")
     access = reports.access_report(g, 1, "field", "Account.X")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.parsers.records import COLUMNS, DDL
+from tessera.staging import stage
 
 # Kind of a file by its place below a package's main/default, as a pattern over that part of the path.
 _FILE_KINDS = (
@@ -68,15 +69,14 @@ def _kind(inside: Column) -> Column:
     return out
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """kind, file_path (below ``root``), parent, content_hash (SHA-1) and parts (name, text; the main one first) of
-    every logical file of the project's packages; nothing else is read. Absent packages and dot files are passed over,
-    and so are files whose name begins with ``_``, which Spark's readers leave out."""
-    root = root.rstrip("/")
-    packages = read_manifest(spark, root)["packages"]
-    folders = {f"{root}/{p.strip('/')}/main/default" for p in packages}
-    there = [at for at in sorted(folders) if not any(at.startswith(f"{f}/") for f in folders) and _exists(spark, at)]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there or [f"{root}/sfdx-project.json"])
+#: Changed files up to this number are read by name; of more, all that are as new as the oldest of them.
+READ_BY_NAME = 1_000
+#: A file that changed this short a time before it was looked at may change again within the clock's resolution.
+RACY_SECONDS = 1
+
+
+def _logical(files: DataFrame, root: str, packages: list[str]) -> DataFrame:
+    """``files`` (path, ...; narrow rows) that belong to a package, with kind, file_path, parent, and place and name within it."""
     base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
     local = "/" + root.split("://")[-1].lstrip("/") if "://" in root else root
     below = F.expr(f"substr(_base, {len(local.rstrip('/')) + 2})")
@@ -86,19 +86,75 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         prefix = f"{p.strip('/')}/main/default/"
         here = F.when(F.col("_below").startswith(prefix), F.expr(f"substr(_below, {len(prefix) + 1})"))
         inside = here if inside is None else F.coalesce(inside, here)
-    files = files.withColumn("_in", inside).where(F.col("_in").isNotNull() & ~F.col("_in").rlike(r"(^|/)\.")).withColumn("kind", _kind(F.col("_in"))).where("kind is not null")
+    # stored, so that the many patterns of a kind meet a column and not the expressions behind it
+    files = stage(files.withColumn("_in", inside).where(F.col("_in").isNotNull() & ~F.col("_in").rlike(r"(^|/)\.")).drop("_base"))
+    files = files.withColumn("kind", _kind(F.col("_in"))).where("kind is not null")
     folder = F.regexp_replace("_below", r"/[^/]+$", "")
     mail = F.regexp_replace("_below", r"\.email(-meta\.xml)?$", ".email-meta.xml")
     of = F.when(F.col("kind").isin("lwc", "aura"), folder).when(F.col("kind") == "email_template", mail).otherwise(F.col("_below"))
     parent = F.when(F.col("_in").startswith("objects/"), F.regexp_extract("_in", r"^objects/([^/]+)/", 1)).when(F.col("kind") == "email_template", F.regexp_extract("_in", r"^email/([^/]+)/", 1))
-    part = F.struct(
-        F.when(F.col("_below") == of, 0).otherwise(1).alias("place"), F.regexp_extract("_below", r"([^/]+)$", 1).alias("name"),
-        F.decode("content", "UTF-8").alias("text"), F.sha1("content").alias("sha"),
-    )
-    whole = files.select("kind", of.alias("file_path"), parent.alias("parent"), part.alias("p")).groupBy("kind", "file_path", "parent").agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    joined = F.concat_ws("\n", F.transform("parts", lambda x: F.concat(x["name"], F.lit(":"), x["sha"])))
-    hashed = F.when(F.col("kind").isin(*_BUNDLES), F.sha1(joined)).otherwise(F.col("parts")[0]["sha"])
-    return whole.select("kind", "file_path", "parent", hashed.alias("content_hash"), F.transform("parts", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))).alias("parts"))
+    told = {"file_path": of, "parent": parent, "place": F.when(F.col("_below") == of, 0).otherwise(1), "name": F.regexp_extract("_below", r"([^/]+)$", 1)}
+    return files.withColumns(told)
+
+
+def _places(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
+    """(packages, paths to read) of a project."""
+    packages = read_manifest(spark, root)["packages"]
+    folders = {f"{root}/{p.strip('/')}/main/default" for p in packages}
+    there = [at for at in sorted(folders) if not any(at.startswith(f"{f}/") for f in folders) and _exists(spark, at)]
+    return packages, there
+
+
+def _reader(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths or [f"{root}/sfdx-project.json"])
+
+
+def _racy(at: Column) -> Column:
+    """Whether a file of that time (ms) may still change within the clock's resolution."""
+    return at > F.unix_millis(F.current_timestamp()) - 1000 * RACY_SECONDS
+
+
+def settled(spark: SparkSession, root: str) -> bool:
+    """Whether no file of the project changed just now; reads the listing alone."""
+    root = root.rstrip("/")
+    packages, paths = _places(spark, root)
+    files = _logical(_reader(spark, root, paths).select("path", "modificationTime"), root, packages)
+    return files.where(_racy(F.unix_millis("modificationTime"))).isEmpty()
+
+
+def discover(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
+    """kind, file_path (below ``root``), parent, content_hash (SHA-1), parts (name, text; the main one first) and stamp
+    of every logical file of the project's packages. Absent packages and dot files are passed over,
+    and so are files whose name begins with ``_``, which Spark's readers leave out even where they are named, and
+    empty files, which they leave out too.
+
+    A stamp tells the times and lengths of a file's parts; it is null if one changed just before it was looked at.
+    ``known`` (file_path, content_hash, stamp): files whose stamp is known are not read; they come with the known hash
+    and without parts. The listing itself reads no bytes.
+    """
+    root = root.rstrip("/")
+    packages, paths = _places(spark, root)
+    whole = ["kind", "file_path", "parent"]
+    part = F.struct("place", "name", F.unix_millis("modificationTime").alias("at"), "length", "path")
+    listed = _logical(_reader(spark, root, paths).select("path", "modificationTime", "length"), root, packages).groupBy(*whole).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    racy = _racy(F.array_max(F.transform("p", lambda x: x["at"])))
+    stamp = F.when(~racy, F.sha1(F.to_json(F.transform("p", lambda x: F.struct(x["name"], x["at"], x["length"])))))
+    listed = stage(listed.withColumn("stamp", stamp))
+    told = spark.createDataFrame([], "file_path string, content_hash string, stamp string") if known is None else known.select("file_path", "content_hash", "stamp")
+    same = listed.join(told.where("stamp is not null"), ["file_path", "stamp"])
+    texts = "array<struct<name:string,text:string>>"
+    same = stage(same.select(*whole, "content_hash", F.lit(None).cast(texts).alias("parts"), "stamp"))
+    new = listed.join(same.select("file_path"), "file_path", "left_anti").select(*whole, "stamp", F.explode("p").alias("p"))
+    few = [r["path"] for r in new.select("p.path").limit(READ_BY_NAME + 1).collect()]
+    if len(few) <= READ_BY_NAME and not any(c in p for p in few for c in "*?[]{}\\"):  # a reader takes these as patterns
+        content = _reader(spark, root, few) if few else _reader(spark, root, []).where("false")
+    else:
+        content = _reader(spark, root, paths).where(F.col("modificationTime") >= F.lit(new.agg(F.min(F.timestamp_millis("p.at"))).first()[0]))
+    body = F.struct("place", "name", F.decode("content", "UTF-8").alias("text"), F.sha1("content").alias("sha"))
+    read = content.select("path", "content").join(new.select(*whole, "stamp", "p.*"), "path").groupBy(*whole, "stamp").agg(F.array_sort(F.collect_list(body)).alias("p"))
+    joined = F.concat_ws("\n", F.transform("p", lambda x: F.concat(x["name"], F.lit(":"), x["sha"])))
+    hashed = F.when(F.col("kind").isin(*_BUNDLES), F.sha1(joined)).otherwise(F.col("p")[0]["sha"])
+    return read.select(*whole, hashed.alias("content_hash"), F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))).alias("parts"), "stamp").unionByName(same)
 
 
 def parse_files(files: DataFrame) -> DataFrame:

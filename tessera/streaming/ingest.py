@@ -26,28 +26,30 @@ from tessera.streaming import commits
 _RECORDS = "project_id long, rec_id string, " + DDL
 _LOOKUPS = "project_id long, bucket int, key string, rec_id string, file_path string"
 _LINKS = "project_id long, edge_id long, rec_id string, file_path string"
+_STAMPS = "project_id long, file_path string, stamp string"
 
 
 @dataclass(frozen=True)
 class Index:
     """A graph with the file ``records`` it was resolved from, the symbols their references look up (``lookups``), and
-    the record of each edge (``links``). ``version``: that of the store it was read from."""
+    the record of each edge (``links``); ``stamps``: times and lengths of the files as they were read. ``version``: that of the store it was read from."""
 
     graph: PropertyGraph
     records: DataFrame
     lookups: DataFrame
     links: DataFrame
+    stamps: DataFrame
     version: int = 0
 
     @staticmethod
     def empty(spark: SparkSession) -> Index:
-        return Index(PropertyGraph.empty(spark), *(spark.createDataFrame([], ddl) for ddl in (_RECORDS, _LOOKUPS, _LINKS)))
+        return Index(PropertyGraph.empty(spark), *(spark.createDataFrame([], ddl) for ddl in (_RECORDS, _LOOKUPS, _LINKS, _STAMPS)))
 
     def save(self, path: str) -> int:
         """Commits this index as the version after its own; ``CommitConflict`` if another writer did so meanwhile."""
         data = commits.new_data(path)
         self.graph.save(data)
-        for name, by in (("records", ["project_id"]), ("lookups", ["project_id", "bucket"]), ("links", ["project_id"])):
+        for name, by in (("records", ["project_id"]), ("lookups", ["project_id", "bucket"]), ("links", ["project_id"]), ("stamps", ["project_id"])):
             getattr(self, name).write.partitionBy(*by).parquet(f"{data}/{name}.parquet")
         return commits.commit(self.graph.spark, path, self.version, data)
 
@@ -56,22 +58,23 @@ class Index:
         version, data = commits.current(spark, path)
         if not version:
             return Index.empty(spark)
-        tables = (spark.read.schema(ddl).parquet(f"{data}/{name}.parquet") for name, ddl in (("records", _RECORDS), ("lookups", _LOOKUPS), ("links", _LINKS)))
+        tables = (spark.read.schema(ddl).parquet(f"{data}/{name}.parquet") for name, ddl in (("records", _RECORDS), ("lookups", _LOOKUPS), ("links", _LINKS), ("stamps", _STAMPS)))
         return Index(PropertyGraph.load(spark, data), *tables, version)
 
 
 def index_project(index: Index, root: str, mode: str = "incremental", at: int | None = None) -> tuple[Index, dict]:
-    """The index after a run over the tree at ``root``, and the run's counts; totals are those of the whole project."""
+    """The index after a run over the tree at ``root``, and the run's counts; totals are those of the whole project.
+    An incremental run reads files whose times or lengths changed, parses those of them whose content did."""
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be incremental or full")
     graph = index.graph
     spark, at = graph.spark, at or now_ms()
     manifest = tree.read_manifest(spark, root)
     graph, p = graph.upsert_project(root.rstrip("/"), os.path.basename(root.rstrip("/")), manifest["api_version"])
-    found = stage(tree.discover(spark, root))
     known = graph.file_hashes.where(F.col("project_id") == p)
     if mode == "full":
         known = known.where("false")
+    found = stage(tree.discover(spark, root, known.join(index.stamps.where(F.col("project_id") == p).select("file_path", "stamp"), "file_path", "left")))
     changed = resolve.changed_files(found, known)
     n_changed = changed.count()
     n_removed = resolve.removed_files(found, known).count()
@@ -87,7 +90,7 @@ def index_project(index: Index, root: str, mode: str = "incremental", at: int |
     graph = graph.mark_indexed(p, at)
     out = {
         "project_id": p, "files": found.count(), "files_parsed": n_changed, "files_removed": n_removed, "nodes": graph.project_nodes(p).count(),
-        "edges": graph.project_edges(p).count(), "references_resolved": touched, "new_project": bool(stale), **_warnings(mine),
+        "edges": graph.project_edges(p).count(), "files_read": found.where("parts is not null").count(), "references_resolved": touched, "new_project": bool(stale), **_warnings(mine),
     }
     return replace(index, graph=graph), out
 
@@ -168,7 +171,8 @@ def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_fil
         file_backrefs=stage(others(graph.file_backrefs).unionByName(back.select(*graph.file_backrefs.columns))),
     )
     records = others(index.records).unionByName(mine.select(*index.records.columns))
-    return Index(graph, stage(records), stage(lookups), stage(links), index.version), again.count()
+    stamps = others(index.stamps).unionByName(found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "stamp"))
+    return Index(graph, stage(records), stage(lookups), stage(links), stage(stamps), index.version), again.count()
 
 
 def _file_pairs(graph: PropertyGraph, p: int, files: DataFrame) -> DataFrame:
@@ -194,6 +198,7 @@ def graph_of_files(spark: SparkSession, files: DataFrame) -> PropertyGraph:
     graph, p = PropertyGraph.empty(spark).upsert_project("files", "files")
     index = replace(Index.empty(spark), graph=graph)
     nothing = files.where("false").select("file_path")
+    files = files.withColumn("stamp", F.lit(None).cast("string"))
     return _maintained(index, p, index.records, stage(_told(tree.parse_files(files), p)), nothing, files, 0)[0].graph
 
 
@@ -272,14 +277,25 @@ def _soql_edges(named: DataFrame, refs: DataFrame, edges) -> DataFrame:
     return edges(to_fields, "REFERENCES_FIELD", sure, none, F.col("line"), F.col("how")).unionByName(edges(to_objects, "SOQL_QUERIES", sure, none, F.col("line"), F.lit("{}")))
 
 
+#: Looks at the tree that may pass while files keep changing before they are indexed as they are.
+PATIENCE = 10
+
+
 def watch(spark: SparkSession, store: str, root: str, checkpoint: str, every: str = "1 second"):
     """A streaming query that keeps the index in ``store`` up to date with the tree at ``root``.
 
-    File streams don't report files that change in place, so a rate source only keeps time; each micro-batch looks for
-    changed hashes and indexes what changed. One query is one writer; a batch that runs again finds nothing to do.
+    File streams don't report files that change in place, so a rate source only keeps time. Each micro-batch lists the
+    tree, without reading a file; once what changed has settled, all of it is read and indexed in one run, or after
+    PATIENCE looks. A batch that runs again finds nothing to do, and other writers' versions are built upon.
     """
+    waited = 0
 
     def step(batch: DataFrame, _: int) -> None:
+        nonlocal waited
+        if not tree.settled(spark, root) and waited < PATIENCE:
+            waited += 1
+            return
+        waited = 0
         index_into(spark, store, root)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

@@ -1,6 +1,8 @@
 """Project trees: parsers, discovery, resolution, incremental runs, the stream, the tools."""
 
 import json
+import os
+import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
@@ -224,6 +226,30 @@ def test_a_save_that_dies_leaves_the_version_before(spark, tmp_path):
         Index.load(spark, store).graph.nodes.count()
 
 
+def test_only_changed_files_are_read(spark, tmp_path):
+    root = write(tmp_path / "t", {"classes/A.cls": "public class A {}", "classes/B.cls": "public class B extends A {}", "lwc/card/card.js": "import x from 'c/other';", "lwc/card/util.js": "export const a = 1;", "lwc/own/own.js": "//", "classes/.C.cls": "public class C {}"})
+    old = time.time() - 100
+    for f in Path(root).rglob("*.*"):
+        os.utime(f, (old, old))
+    index, counts = index_project(Index.empty(spark), root)
+    assert counts["files_read"] == 4 and {r["name"] for r in index.graph.nodes.where("label = 'ApexClass'").collect()} == {"A", "B"}
+    parts = {r["file_path"].rsplit("/", 1)[-1]: [p["name"] for p in r["parts"]] for r in project.discover(spark, root).collect()}
+    assert parts == {"A.cls": ["A.cls"], "B.cls": ["B.cls"], "card": ["card.js", "util.js"], "own": ["own.js"]}
+    again, counts = index_project(index, root)
+    assert (counts["files"], counts["files_read"], counts["files_parsed"]) == (4, 0, 0) and project.settled(spark, root)
+    a = Path(root) / "force-app/main/default/classes/A.cls"
+    os.utime(a, (old + 5, old + 5))  # another time, the same content: read, not parsed
+    again, counts = index_project(again, root)
+    assert (counts["files_read"], counts["files_parsed"]) == (1, 0)
+    a.write_text("public class A { void go() {} }")
+    os.utime(a, (time.time() + 600,) * 2)  # as if it changed at this moment
+    assert not project.settled(spark, root)
+    after, counts = index_project(again, root)
+    assert (counts["files_read"], counts["files_parsed"]) == (1, 1) and after.graph.nodes.where("label = 'ApexMethod'").count() == 1
+    assert after.stamps.where("stamp is null").count() == 1  # it changed just now: the next run looks again
+    assert index_project(after, root)[1]["files_read"] == 1
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     store = str(tmp_path / "store")
     one, two = (write(tmp_path / n, {f"classes/{n}.cls": f"public class {n} {{}}"}) for n in ("One", "Two"))

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 from tessera.operators import diff, reports, schema, search, snippet, trace
 from tessera.operators.adjacency import Adjacency
+from tessera.operators.pages import Pages
 from tessera.plans.compiler import compile_query
 from tessera.plans.errors import CypherError
 from tessera.streaming.ingest import Index, index_into, index_project
@@ -37,10 +38,10 @@ class Engine:
         return [r.asDict() for r in schema.project_list(self.graph).orderBy("id").collect()]
 
     def get_schema(self, project_id: int) -> dict:
-        return schema.schema_summary(self.graph, project_id)
+        return schema.schema_summary(self.graph, project_id, self.index.counts)
 
     def search_graph(self, project_id: int, **filters) -> dict:
-        return search.search_page(self.graph, project_id, **filters)
+        return search.search_page(self.graph, project_id, counts=self.index.counts, **filters)
 
     def trace_references(self, project_id: int, qualified_name: str, **how) -> dict:
         if project_id not in self._near:
@@ -69,6 +70,11 @@ class Engine:
             return {"error": f"the query failed: {str(e).splitlines()[0]}", "suggestion": "ask for fewer rows, or for one label or edge type at a time"}
         return {"columns": result.columns, "rows": rows, "row_count": len(rows), "warnings": result.warnings}
 
+    def open_query(self, project_id: int, text: str) -> Pages:
+        """The rows of a query in its own order, stored once: any page of them is a seek. For answers too large to be
+        given whole; raises on what is no query."""
+        return Pages.build(compile_query(self.graph, project_id, text).frame, [])
+
     def diff_projects(self, base: int, target: int, include_source: bool = True, limit: int = 50, offset: int = 0) -> dict:
         found = diff.changes(self.graph, base, target, include_source).persist()
         try:

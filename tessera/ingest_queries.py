@@ -13,6 +13,9 @@ from tessera.graph import PropertyGraph
 from tessera.kept import once
 from tessera.plans.compiler import compile_query
 from tessera.operators import reports
+from tessera.sources import project
+from tessera.sources.sinks import write_files
+from tessera.staging import temporary_folder
 from tessera.streaming.ingest import graph_of_files
 
 # Fixed files beside those of the tables.
@@ -248,3 +251,35 @@ _add(
     "upserted", _again,
     "SELECT 'P' || p_partkey AS qualified_name, true AS same_id, p_partkey % 2 = 0 AS renewed, p_partkey % 2 = 0 AS touched FROM part UNION ALL SELECT 'Fresh', false, false, true",
 )
+
+
+# discovery of a tree on disk, in which every supplier, customer, nation and region has files
+def _tree(spark: SparkSession, sf_dir: str) -> str:
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    def files(rows: DataFrame, path: str, text: str, **values: str) -> DataFrame:
+        return rows.select(_text("pkg/main/default/" + path, **values).alias("path"), _text(text, **values).alias("text"))
+
+    made = [
+        files(table("supplier"), "classes/_more/_S«k».cls", "public class S«k» { }", k="s_suppkey"), files(table("customer"), "objects/C/fields/F«k».field-meta.xml", "<CustomField>«n»</CustomField>", k="c_custkey", n="c_name"),
+        files(table("nation"), "lwc/n«k»/n«k».js", "export default «k»;", k="n_nationkey"), files(table("nation"), "lwc/n«k»/_n«k».html", "<template>«n»</template>", k="n_nationkey", n="n_name"),
+        files(table("region"), "triggers/T«k».trigger", "", k="r_regionkey").withColumn("text", F.lit("")), files(table("region"), "classes/.R«k».cls", "hidden", k="r_regionkey"),
+        spark.createDataFrame([("sfdx-project.json", '{"packageDirectories": [{"path": "pkg"}, {"path": "absent"}]}')], "path string, text string"),
+    ]
+    return write_files(reduce(DataFrame.unionByName, made), temporary_folder(spark, "tree"))
+
+
+def _discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = project.discover(spark, once(spark, sf_dir, "tree", lambda: _tree(spark, sf_dir)))
+    return found.select("kind", "file_path", "parent", "content_hash", F.size("parts").alias("parts"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.length(p["text"])).alias("characters"))
+
+
+QUERIES["discover_files"] = _discovered
+ORACLE["discover_files"] = """WITH f AS (
+  SELECT 'apex_class' AS kind, 'classes/_more/_S' || s_suppkey || '.cls' AS below, NULL AS parent, 'public class S' || s_suppkey || ' { }' AS text FROM supplier
+  UNION ALL SELECT 'field', 'objects/C/fields/F' || c_custkey || '.field-meta.xml', 'C', '<CustomField>' || c_name || '</CustomField>' FROM customer
+  UNION ALL SELECT 'apex_trigger', 'triggers/T' || r_regionkey || '.trigger', NULL, '' FROM region),
+b AS (SELECT n_nationkey AS k, '<template>' || n_name || '</template>' AS html, 'export default ' || n_nationkey || ';' AS js FROM nation)
+SELECT kind, 'pkg/main/default/' || below AS file_path, parent, sha1(text) AS content_hash, 1 AS parts, length(text)::BIGINT AS characters FROM f
+UNION ALL SELECT 'lwc', 'pkg/main/default/lwc/n' || k, NULL, sha1('_n' || k || '.html:' || sha1(html) || chr(10) || 'n' || k || '.js:' || sha1(js)), 2, (length(html) + length(js))::BIGINT FROM b"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph import PropertyGraph
+from tessera.operators.counts import histogram
 
 SAMPLES = 5
 
@@ -33,19 +34,22 @@ def project_list(graph: PropertyGraph) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("node_count", "edge_count")})
 
 
-def schema_summary(graph: PropertyGraph, project_id: int) -> dict:
+def schema_summary(graph: PropertyGraph, project_id: int, counts: DataFrame | None = None) -> dict:
+    """With ``counts`` (see ``counts.py``) the histograms are read, not counted anew."""
     project = graph.projects.where(F.col("id") == project_id).first()
     if project is None:
         raise ValueError(f"Unknown project {project_id}")
     samples: dict[str, list[str]] = {}
     for r in label_samples(graph, project_id).orderBy("label", "rank").collect():
         samples.setdefault(r["label"], []).append(r["qualified_name"])
+    labels = node_counts(graph, project_id) if counts is None else histogram(counts, project_id, "label")
+    types = edge_counts(graph, project_id) if counts is None else histogram(counts, project_id, "type")
     return {
         "project_id": project_id,
         "api_version": project["api_version"],
         "indexed_at": project["indexed_at"],
-        "nodes": {r["label"]: {"count": r["count"], "samples": samples.get(r["label"], [])} for r in node_counts(graph, project_id).collect()},
-        "edges": {r["edge_type"]: r["count"] for r in edge_counts(graph, project_id).collect()},
+        "nodes": {r["label"]: {"count": r["count"], "samples": samples.get(r["label"], [])} for r in labels.collect()},
+        "edges": {r["edge_type"]: r["count"] for r in types.collect()},
     }
 
 

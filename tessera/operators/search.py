@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.values import glob_pattern, ignore_case, property_is
 from tessera.graph import PropertyGraph
+from tessera.operators import counts as kept_counts
+from tessera.operators.name_index import NameIndex
 
 # Annotations that mark code which something outside calls.
 ENTRY_ANNOTATIONS = "auraenabled invocablemethod istest httpget httppost httpput httppatch httpdelete".split()
@@ -58,9 +60,16 @@ def search_nodes(
     properties: dict | None = None,
     degree: Degree | None = None,
     exclude_entry_points: bool = False,
+    counts: DataFrame | None = None,
+    names: NameIndex | None = None,
 ) -> DataFrame:
-    """The nodes that pass every filter given. Patterns match anywhere, without regard to case."""
+    """The nodes that pass every filter given. Patterns match anywhere, without regard to case. With ``counts`` (see
+    ``counts.py``) degrees are read, not counted from edges; with ``names``, the project's index of the column that a
+    pattern is for, only names that hold the pattern's trigrams are tried."""
     out = graph.project_nodes(project_id)
+    pattern = {"name": name_pattern, "qualified_name": qualified_name_pattern}.get(names.column) if names else None
+    if pattern:
+        out = names.matching(pattern)
     if labels:
         out = out.where(F.col("label").isin([labels] if isinstance(labels, str) else list(labels)))
     for column, pattern in (("name", name_pattern), ("qualified_name", qualified_name_pattern)):
@@ -73,9 +82,10 @@ def search_nodes(
     if exclude_entry_points:
         out = out.where(~_entry_point(F.col("properties")))
     if degree:
-        counts = degrees(graph, project_id, degree.edge_type, degree.direction).select("id", F.col("degree").alias("_degree"))
+        of = degrees(graph, project_id, degree.edge_type, degree.direction) if counts is None else kept_counts.degrees(counts, project_id, degree.edge_type, degree.direction)
+        found = of.select("id", F.col("degree").alias("_degree"))
         # a minimum of one needs no row for nodes without edges
-        out = out.join(counts, "id", "inner" if degree.floor > 0 else "left")
+        out = out.join(found, "id", "inner" if degree.floor > 0 else "left")
         found = F.coalesce("_degree", F.lit(0))
         out = out.where(found >= degree.floor)
         if degree.most is not None:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tessera import ingest_queries
 from tessera.graph import PropertyGraph
 from tessera.kept import once
-from tessera.operators import diff, reports, resolve, schema, search, trace
+from tessera.operators import counts, diff, reports, resolve, schema, search, trace
 from tessera.operators.adjacency import Adjacency
+from tessera.operators.name_index import NameIndex
+from tessera.operators.pages import NodeKeys, Pages
 from tessera.operators.search import Degree
 from tessera.plans.compiler import compile_query
 from tessera.sources import tables
-from tessera.sources.tables import ORACLE_PREFIX
+from tessera.sources.tables import ORACLE_PREFIX, ORDER, KIND
+from tessera.staging import stage
 
 def bind_tables(spark: SparkSession, sf_dir: str, snapshot: bool = False) -> PropertyGraph:
     """The bound graph; its plans are lazy, only file footers are read."""
@@ -113,6 +116,52 @@ _add("degree_table", _graph(lambda g: search.degrees(g, 1)), "SELECT id, type AS
 
 
 
+# stored indexes: names by trigrams, pages, natural keys, counts kept up with changes
+_NAMED = "order#1[0-9]*7$|(customer|supplier)#0+[13]5$"
+
+
+def _names(spark: SparkSession, d: str) -> NameIndex:
+    return once(spark, d, "names", lambda: NameIndex.build(bind_tables(spark, d), 1))
+
+
+_add("search_regex_indexed", lambda s, d: search.search_nodes(bind_tables(s, d), 1, name_pattern=_NAMED, names=_names(s, d)).select("id", "label", "name", "qualified_name"), _N + f"regexp_matches(name, '{_NAMED}', 'i')")
+_add("search_page_far", _graph(lambda g: Pages.build(search.search_nodes(g, 1, labels="SalesOrder"), [F.col("id")]).page(1_000, 50).select("id", "name", "place")), "SELECT id, name, row_number() OVER (ORDER BY id) AS place FROM n WHERE label = 'SalesOrder' ORDER BY id LIMIT 50 OFFSET 1000")
+_add(
+    "cy_page_seek", lambda s, d: Pages.build(compile_query(bind_tables(s, d), 1, "MATCH (c:Customer)-[:PLACED]->(o:SalesOrder) RETURN c.name AS customer, count(o) AS orders ORDER BY customer").frame, []).page(40, 25),
+    "SELECT customer, orders, row_number() OVER (ORDER BY customer) AS place FROM (SELECT a.name AS customer, count(*) AS orders FROM e JOIN n a ON a.id = e.src WHERE e.type = 'PLACED' GROUP BY a.id, a.name) ORDER BY customer LIMIT 25 OFFSET 40",
+)
+
+
+def _sold_parts(spark: SparkSession, d: str) -> DataFrame:
+    keys = once(spark, d, "keys", lambda: NodeKeys.build(bind_tables(spark, d), 1))
+    return keys.find(spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit("Part").alias("label"), F.concat(F.lit("Part#"), "l_partkey").alias("qualified_name"))).select("id", "label", "name", "qualified_name")
+
+
+_add("lookup_natural_keys", _sold_parts, _N + "label = 'Part' AND id - 5000000000000 IN (SELECT l_partkey FROM lineitem)")
+
+
+def _counts_after(spark: SparkSession, d: str) -> DataFrame:
+    """The bound graph's counts after orders with a key divisible by 97 have gone with their edges, and those divisible by
+    89 were placed once more."""
+    g = bind_tables(spark, d)
+    before = once(spark, d, "counts", lambda: stage(counts.counts_of(g.nodes, g.edges)))
+    key = lambda c: F.when(F.col(c).between(ORDER * KIND, ORDER * KIND + KIND - 1), F.col(c) - ORDER * KIND)
+    gone = lambda c: F.coalesce(key(c) % 97 == 0, F.lit(False))
+    again = g.edges.where((F.col("edge_type") == "PLACED") & (key("target_id") % 89 == 0) & ~gone("target_id"))
+    return counts.merged(before, stage(counts.change(g.nodes.where(gone("id")), g.edges.where(gone("source_id") | gone("target_id")), g.nodes.where("false"), again)))
+
+
+_LEFT = """, was AS (SELECT coalesce(src // 1000000000000 = 6 AND src % 97 = 6000000000000 % 97, false) OR coalesce(dst // 1000000000000 = 6 AND dst % 97 = 6000000000000 % 97, false) AS gone, * FROM e),
+now AS (SELECT src, dst, type FROM was WHERE NOT gone UNION ALL SELECT src, dst, type FROM was WHERE NOT gone AND type = 'PLACED' AND (dst - 6000000000000) % 89 = 0) """
+_add("degrees_after_change", lambda s, d: counts.degrees(_counts_after(s, d), 1), _LEFT + "SELECT id, type AS edge_type, count(*) AS degree FROM (SELECT src AS id, type FROM now UNION ALL SELECT dst, type FROM now) GROUP BY ALL")
+_add("edge_counts_after_change", lambda s, d: counts.histogram(_counts_after(s, d), 1, "type"), _LEFT + "SELECT type AS edge_type, count(*) AS count FROM now GROUP BY type")
+_add("node_counts_after_change", lambda s, d: counts.histogram(_counts_after(s, d), 1, "label"), "SELECT label, count(*) AS count FROM n WHERE NOT (label = 'SalesOrder' AND (id - 6000000000000) % 97 = 0) GROUP BY label")
+_add(
+    "search_degree_after_change", lambda s, d: search.search_nodes(bind_tables(s, d), 1, labels="Customer", degree=Degree("PLACED", "out", 12), counts=_counts_after(s, d)).select("id", "label", "name", "qualified_name"),
+    _LEFT + _N + "label = 'Customer' AND id IN (SELECT src FROM now WHERE type = 'PLACED' GROUP BY src HAVING count(*) >= 12)",
+)
+
+
 def _bfs_sql(start: str, direction: str, depth: int, kind: str, where: str) -> str:
     """Levels as nested CTEs: one step a level, nodes at their least depth, edges at the first step that crosses them."""
     step = {"out": [("src", "dst")], "in": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +61,6 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
     return {"packages": packages, "namespace": data.get("namespace") or None, "api_version": data.get("sourceApiVersion")}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def _kind(inside: Column) -> Column:
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(_FILE_KINDS):
@@ -69,46 +68,100 @@ def _kind(inside: Column) -> Column:
     return out
 
 
-#: Changed files up to this number are read by name; of more, all that are as new as the oldest of them.
-READ_BY_NAME = 1_000
 #: A file that changed this short a time before it was looked at may change again within the clock's resolution.
 RACY_SECONDS = 1
+#: Files of a task that reads, and bytes of a batch that it hands on; a longer file is a batch of its own.
+FILES_A_TASK, BATCH_BYTES = 500, 8 << 20
+
+
+def open_root(root: str) -> tuple:
+    """(Arrow file system, path in it) of a root, where a task runs; Hadoop's names for S3 count as S3."""
+    from pyarrow import fs
+
+    if not re.match(r"[a-z][a-z0-9+.-]*:/", root):
+        return fs.LocalFileSystem(), root.rstrip("/")
+    root = re.sub(r"^file:/(?!/)", "file:///", root)
+    store, top = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", root))
+    return store, top.rstrip("/")
+
 
+_LISTING_DDL = "below string, folder boolean, at long, length long"
+_LISTING = pa.schema([("below", pa.string()), ("folder", pa.bool_()), ("at", pa.int64()), ("length", pa.int64())])
+
+
+def _lister(root: str, whole: bool):
+    """A task's listing of the folders it is given, with all below them if ``whole``; files pass as they are. Folders
+    that aren't there, and those whose name begins with a dot, are passed over."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        files, top = open_root(root)
+        for b in batches:
+            is_folder = b.column("folder")
+            yield b.filter(pc.invert(is_folder))
+            for below in b.filter(is_folder).column("below").to_pylist():
+                if below.rsplit("/", 1)[-1].startswith("."):
+                    continue
+                met = files.get_file_info(fs.FileSelector(f"{top}/{below}", allow_not_found=True, recursive=whole))
+                met = [i for i in met if i.type == fs.FileType.File or not whole]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i.path[len(top) + 1 :] for i in met], pa.string()), pa.array([i.type == fs.FileType.Directory for i in met], pa.bool_()),
+                    pa.array([(i.mtime_ns or 0) // 1_000_000 for i in met], pa.int64()), pa.array([i.size if i.is_file else 0 for i in met], pa.int64()),
+                ], schema=_LISTING)
+
+    return run
+
+
+def _listed(spark: SparkSession, root: str, packages: list[str]) -> DataFrame:
+    """below (path under ``root``), at (ms) and length of the packages' files, listed by tasks: the first two levels one
+    folder at a time, what is below them by a task for each folder. No file is read."""
+    folders = sorted({f"{p.strip('/')}/main/default" for p in packages})
+    start = spark.createDataFrame([(f, True, 0, 0) for f in folders if not any(f.startswith(f"{g}/") for g in folders)], _LISTING_DDL)
+    many = spark.sparkContext.defaultParallelism
+    for whole in (False, False, True):
+        start = start.repartition(many, "below").mapInArrow(_lister(root, whole), _LISTING_DDL)
+    return start.where("not folder").drop("folder")
+
+
+def _with_content(files: DataFrame, root: str) -> DataFrame:
+    """``files`` with the bytes of the file ``below`` as ``content``, read where the rows are."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in files.schema)}, content binary"
 
-def _logical(files: DataFrame, root: str, packages: list[str]) -> DataFrame:
-    """``files`` (path, ...; narrow rows) that belong to a package, with kind, file_path, parent, and place and name within it."""
-    base = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    local = "/" + root.split("://")[-1].lstrip("/") if "://" in root else root
-    below = F.expr(f"substr(_base, {len(local.rstrip('/')) + 2})")
-    files = files.withColumn("_base", base).withColumn("_below", below)
+    def run(batches):
+        store, top = open_root(root)
+        for b in batches:
+            at, held, size = 0, [], 0
+            for i, below in enumerate(b.column("below").to_pylist(), 1):
+                with store.open_input_stream(f"{top}/{below}", compression=None) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES or i == b.num_rows:
+                    cut = b.slice(at, i - at)
+                    yield pa.RecordBatch.from_arrays([*cut.columns, pa.array(held, pa.binary())], names=[*cut.schema.names, "content"])
+                    at, held, size = i, [], 0
+
+    return files.mapInArrow(run, schema)
+
+
+def _logical(files: DataFrame, packages: list[str]) -> DataFrame:
+    """``files`` (below, ...; narrow rows) that belong to a package, with kind, file_path, parent, and place and name within it."""
     inside = None
     for p in packages:
         prefix = f"{p.strip('/')}/main/default/"
-        here = F.when(F.col("_below").startswith(prefix), F.expr(f"substr(_below, {len(prefix) + 1})"))
+        here = F.when(F.col("below").startswith(prefix), F.expr(f"substr(below, {len(prefix) + 1})"))
         inside = here if inside is None else F.coalesce(inside, here)
     # stored, so that the many patterns of a kind meet a column and not the expressions behind it
-    files = stage(files.withColumn("_in", inside).where(F.col("_in").isNotNull() & ~F.col("_in").rlike(r"(^|/)\.")).drop("_base"))
+    files = stage(files.withColumn("_in", inside).where(F.col("_in").isNotNull() & ~F.col("_in").rlike(r"(^|/)\.")))
     files = files.withColumn("kind", _kind(F.col("_in"))).where("kind is not null")
-    folder = F.regexp_replace("_below", r"/[^/]+$", "")
-    mail = F.regexp_replace("_below", r"\.email(-meta\.xml)?$", ".email-meta.xml")
-    of = F.when(F.col("kind").isin("lwc", "aura"), folder).when(F.col("kind") == "email_template", mail).otherwise(F.col("_below"))
+    folder = F.regexp_replace("below", r"/[^/]+$", "")
+    mail = F.regexp_replace("below", r"\.email(-meta\.xml)?$", ".email-meta.xml")
+    of = F.when(F.col("kind").isin("lwc", "aura"), folder).when(F.col("kind") == "email_template", mail).otherwise(F.col("below"))
     parent = F.when(F.col("_in").startswith("objects/"), F.regexp_extract("_in", r"^objects/([^/]+)/", 1)).when(F.col("kind") == "email_template", F.regexp_extract("_in", r"^email/([^/]+)/", 1))
-    told = {"file_path": of, "parent": parent, "place": F.when(F.col("_below") == of, 0).otherwise(1), "name": F.regexp_extract("_below", r"([^/]+)$", 1)}
+    told = {"file_path": of, "parent": parent, "place": F.when(F.col("below") == of, 0).otherwise(1), "name": F.regexp_extract("below", r"([^/]+)$", 1)}
     return files.withColumns(told)
 
 
-def _places(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
-    """(packages, paths to read) of a project."""
-    packages = read_manifest(spark, root)["packages"]
-    folders = {f"{root}/{p.strip('/')}/main/default" for p in packages}
-    there = [at for at in sorted(folders) if not any(at.startswith(f"{f}/") for f in folders) and _exists(spark, at)]
-    return packages, there
-
-
-def _reader(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths or [f"{root}/sfdx-project.json"])
-
-
 def _racy(at: Column) -> Column:
     """Whether a file of that time (ms) may still change within the clock's resolution."""
     return at > F.unix_millis(F.current_timestamp()) - 1000 * RACY_SECONDS
@@ -117,26 +170,24 @@ def _racy(at: Column) -> Column:
 def settled(spark: SparkSession, root: str) -> bool:
     """Whether no file of the project changed just now; reads the listing alone."""
     root = root.rstrip("/")
-    packages, paths = _places(spark, root)
-    files = _logical(_reader(spark, root, paths).select("path", "modificationTime"), root, packages)
-    return files.where(_racy(F.unix_millis("modificationTime"))).isEmpty()
+    packages = read_manifest(spark, root)["packages"]
+    return _logical(_listed(spark, root, packages), packages).where(_racy(F.col("at"))).isEmpty()
 
 
 def discover(spark: SparkSession, root: str, known: DataFrame | None = None) -> DataFrame:
     """kind, file_path (below ``root``), parent, content_hash (SHA-1), parts (name, text; the main one first) and stamp
-    of every logical file of the project's packages. Absent packages and dot files are passed over,
-    and so are files whose name begins with ``_``, which Spark's readers leave out even where they are named, and
-    empty files, which they leave out too.
+    of every logical file of the project's packages. Absent packages, dot files and what lies in dot folders are passed
+    over; empty files count, and so do names that begin with ``_``. Tasks list and read the tree, by Arrow's file systems.
 
     A stamp tells the times and lengths of a file's parts; it is null if one changed just before it was looked at.
     ``known`` (file_path, content_hash, stamp): files whose stamp is known are not read; they come with the known hash
     and without parts. The listing itself reads no bytes.
     """
     root = root.rstrip("/")
-    packages, paths = _places(spark, root)
+    packages = read_manifest(spark, root)["packages"]
     whole = ["kind", "file_path", "parent"]
-    part = F.struct("place", "name", F.unix_millis("modificationTime").alias("at"), "length", "path")
-    listed = _logical(_reader(spark, root, paths).select("path", "modificationTime", "length"), root, packages).groupBy(*whole).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    part = F.struct("place", "name", "at", "length", "below")
+    listed = _logical(_listed(spark, root, packages), packages).groupBy(*whole).agg(F.array_sort(F.collect_list(part)).alias("p"))
     racy = _racy(F.array_max(F.transform("p", lambda x: x["at"])))
     stamp = F.when(~racy, F.sha1(F.to_json(F.transform("p", lambda x: F.struct(x["name"], x["at"], x["length"])))))
     listed = stage(listed.withColumn("stamp", stamp))
@@ -144,14 +195,10 @@ def discover(spark: SparkSession, root: str, known: DataFrame | None = None) ->
     same = listed.join(told.where("stamp is not null"), ["file_path", "stamp"])
     texts = "array<struct<name:string,text:string>>"
     same = stage(same.select(*whole, "content_hash", F.lit(None).cast(texts).alias("parts"), "stamp"))
-    new = listed.join(same.select("file_path"), "file_path", "left_anti").select(*whole, "stamp", F.explode("p").alias("p"))
-    few = [r["path"] for r in new.select("p.path").limit(READ_BY_NAME + 1).collect()]
-    if len(few) <= READ_BY_NAME and not any(c in p for p in few for c in "*?[]{}\\"):  # a reader takes these as patterns
-        content = _reader(spark, root, few) if few else _reader(spark, root, []).where("false")
-    else:
-        content = _reader(spark, root, paths).where(F.col("modificationTime") >= F.lit(new.agg(F.min(F.timestamp_millis("p.at"))).first()[0]))
+    new = stage(listed.join(same.select("file_path"), "file_path", "left_anti").select(*whole, "stamp", F.explode("p").alias("p")).select(*whole, "stamp", "p.place", "p.name", "p.below"))
+    tasks = -(-new.count() // FILES_A_TASK) or 1
     body = F.struct("place", "name", F.decode("content", "UTF-8").alias("text"), F.sha1("content").alias("sha"))
-    read = content.select("path", "content").join(new.select(*whole, "stamp", "p.*"), "path").groupBy(*whole, "stamp").agg(F.array_sort(F.collect_list(body)).alias("p"))
+    read = _with_content(new.repartition(tasks, "below"), root).groupBy(*whole, "stamp").agg(F.array_sort(F.collect_list(body)).alias("p"))
     joined = F.concat_ws("\n", F.transform("p", lambda x: F.concat(x["name"], F.lit(":"), x["sha"])))
     hashed = F.when(F.col("kind").isin(*_BUNDLES), F.sha1(joined)).otherwise(F.col("p")[0]["sha"])
     return read.select(*whole, hashed.alias("content_hash"), F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))).alias("parts"), "stamp").unionByName(same)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera import model
 from tessera.graph import PropertyGraph, now_ms, number_rows
-from tessera.operators import incremental, resolve
+from tessera.operators import counts, incremental, resolve
 from tessera.operators.schema import reverse_index
 from tessera.sources import project as tree
 from tessera.sources.parsers.records import DDL
@@ -32,24 +32,26 @@ _STAMPS = "project_id long, file_path string, stamp string"
 @dataclass(frozen=True)
 class Index:
     """A graph with the file ``records`` it was resolved from, the symbols their references look up (``lookups``), and
-    the record of each edge (``links``); ``stamps``: times and lengths of the files as they were read. ``version``: that of the store it was read from."""
+    the record of each edge (``links``); ``stamps``: times and lengths of the files as they were read; ``counts``: degrees
+    and histograms, kept up with each run's changes. ``version``: that of the store it was read from."""
 
     graph: PropertyGraph
     records: DataFrame
     lookups: DataFrame
     links: DataFrame
     stamps: DataFrame
+    counts: DataFrame
     version: int = 0
 
     @staticmethod
     def empty(spark: SparkSession) -> Index:
-        return Index(PropertyGraph.empty(spark), *(spark.createDataFrame([], ddl) for ddl in (_RECORDS, _LOOKUPS, _LINKS, _STAMPS)))
+        return Index(PropertyGraph.empty(spark), *(spark.createDataFrame([], ddl) for ddl in (_RECORDS, _LOOKUPS, _LINKS, _STAMPS, counts.DDL)))
 
     def save(self, path: str) -> int:
         """Commits this index as the version after its own; ``CommitConflict`` if another writer did so meanwhile."""
         data = commits.new_data(path)
         self.graph.save(data)
-        for name, by in (("records", ["project_id"]), ("lookups", ["project_id", "bucket"]), ("links", ["project_id"]), ("stamps", ["project_id"])):
+        for name, by in (("records", ["project_id"]), ("lookups", ["project_id", "bucket"]), ("links", ["project_id"]), ("stamps", ["project_id"]), ("counts", ["project_id", "what"])):
             getattr(self, name).write.partitionBy(*by).parquet(f"{data}/{name}.parquet")
         return commits.commit(self.graph.spark, path, self.version, data)
 
@@ -58,7 +60,7 @@ class Index:
         version, data = commits.current(spark, path)
         if not version:
             return Index.empty(spark)
-        tables = (spark.read.schema(ddl).parquet(f"{data}/{name}.parquet") for name, ddl in (("records", _RECORDS), ("lookups", _LOOKUPS), ("links", _LINKS), ("stamps", _STAMPS)))
+        tables = (spark.read.schema(ddl).parquet(f"{data}/{name}.parquet") for name, ddl in (("records", _RECORDS), ("lookups", _LOOKUPS), ("links", _LINKS), ("stamps", _STAMPS), ("counts", counts.DDL)))
         return Index(PropertyGraph.load(spark, data), *tables, version)
 
 
@@ -146,11 +148,13 @@ def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_fil
     again = stage(kept.join(hit, "rec_id", "left_semi").select(*kept.columns).unionByName(fresh).where("rec in ('edge', 'ref')"))
     lost = own(index.links).join(hit, "rec_id", "left_semi").unionByName(own(index.links).join(kept_files, "file_path", "left_anti").select(*index.links.columns))
     lost = stage(lost.select("edge_id").distinct())
+    gone_edges = graph.edges.join(lost.withColumnRenamed("edge_id", "id"), "id", "left_semi").select("project_id", "source_id", "target_id", "edge_type")
     edges = graph.edges.join(lost.withColumnRenamed("edge_id", "id"), "id", "left_anti").select(*model.EDGES.fieldNames())
     top = graph.edges.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     new = resolve_records(graph.project_nodes(p), again).withColumn("project_id", F.lit(p).cast("long"))
     order = [F.col(c) for c in ("source_id", "target_id", "edge_type", "source_line", "properties", "rec_id")]
     new = stage(number_rows(new, order, "_nth").withColumn("id", F.col("_nth") + top).join(again.select("rec_id", "file_path"), "rec_id"))
+    counted = counts.merged(index.counts, stage(counts.change(before, gone_edges, after, new)))
     graph = replace(graph, edges=stage(edges.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in model.EDGES]))))
     links = index.links.join(lost, "edge_id", "left_anti").select(*index.links.columns).unionByName(new.select("project_id", F.col("id").alias("edge_id"), "rec_id", "file_path"))
     looked = incremental.symbols_in(fresh).select(F.lit(p).cast("long").alias("project_id"), incremental.bucket().alias("bucket"), "key", "rec_id", "file_path")
@@ -172,7 +176,7 @@ def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_fil
     )
     records = others(index.records).unionByName(mine.select(*index.records.columns))
     stamps = others(index.stamps).unionByName(found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "stamp"))
-    return Index(graph, stage(records), stage(lookups), stage(links), stage(stamps), index.version), again.count()
+    return Index(graph, stage(records), stage(lookups), stage(links), stage(stamps), stage(counted), index.version), again.count()
 
 
 def _file_pairs(graph: PropertyGraph, p: int, files: DataFrame) -> DataFrame:

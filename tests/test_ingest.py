@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.api import Engine
 from tessera.operators import diff
+from tessera.operators.counts import counts_of
 from tessera.sources import corpus, project, sinks
 from tessera.sources.parsers import parse
 from tessera.sources.parsers.metadata import formula_references
@@ -172,6 +173,7 @@ def test_incremental_run_ends_as_a_full_one(spark, indexed, tmp_path):
     assert (counts["files_parsed"], counts["files_removed"]) == (1, 1)
     full, _ = index_project(Index.empty(spark), root, "full", at=4)
     assert graph_facts(after.graph) == graph_facts(full.graph)
+    assert kept_counts(index) == recount(index) and kept_counts(after) == recount(after) != recount(index) and kept_counts(full) == recount(full)
     kept = {r["qualified_name"]: r["id"] for r in index.graph.nodes.collect()}
     assert all(kept[r["qualified_name"]] == r["id"] for r in after.graph.nodes.collect() if r["qualified_name"] in kept)
 
@@ -226,6 +228,23 @@ def test_a_save_that_dies_leaves_the_version_before(spark, tmp_path):
         Index.load(spark, store).graph.nodes.count()
 
 
+def recount(index):
+    return sorted(map(tuple, counts_of(index.graph.nodes, index.graph.edges).collect()), key=str)
+
+
+def kept_counts(index):
+    return sorted(map(tuple, index.counts.select("project_id", "what", "id", "name", "outs", "ins").collect()), key=str)
+
+
+def test_names_that_begin_with_an_underscore_and_empty_files(spark, tmp_path):
+    root = write(tmp_path / "t", {"classes/_B.cls": "public class B {}", "classes/_more/C.cls": "public class C {}", "classes/.no/D.cls": "public class D {}", "lwc/card/card.js": "//", "lwc/card/_util.js": "", "classes/E[1]{2}.cls": "public class E {}"})
+    for form in (root, f"file://{root}"):
+        found = {r["file_path"].split("main/default/")[1]: [(p["name"], p["text"]) for p in r["parts"]] for r in project.discover(spark, form).collect()}
+        assert found == {"classes/_B.cls": [("_B.cls", "public class B {}")], "classes/_more/C.cls": [("C.cls", "public class C {}")], "classes/E[1]{2}.cls": [("E[1]{2}.cls", "public class E {}")], "lwc/card": [("_util.js", ""), ("card.js", "//")]}
+    (Path(root) / "sfdx-project.json").write_text('{"packageDirectories": [{"path": "absent"}]}')
+    assert project.discover(spark, root).count() == 0
+
+
 def test_only_changed_files_are_read(spark, tmp_path):
     root = write(tmp_path / "t", {"classes/A.cls": "public class A {}", "classes/B.cls": "public class B extends A {}", "lwc/card/card.js": "import x from 'c/other';", "lwc/card/util.js": "export const a = 1;", "lwc/own/own.js": "//", "classes/.C.cls": "public class C {}"})
     old = time.time() - 100

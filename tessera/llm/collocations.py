@@ -17,8 +17,9 @@ longer candidate occurs at least as often as that candidate, hence is a candidat
 Defined results: a null text is empty; a null lang is ``und``; a doc_id or any other column takes no part; repeated rows
 count each time; texts of any length are read in parts, whole; a text without words adds nothing; an empty table gives
 an empty result; of equally scored phrases the more frequent, then the smaller in UTF-8 byte order, comes first.
-Memory: a task holds the windows of WINDOWS words, one text and the bitmap, of MOST_BITS at most; beyond MOST_BITS / 16
-frequent phrases the bitmap lets more pass. The stripe of a hot prefix, one with a HOT_SHARE-th of all words or more, is
+Memory: a task holds the windows of WINDOWS words, as 32-bit ids and one 64-bit key each, one text and the bitmap, of
+MOST_BITS at most; windows are looked up, and stripes laid out, BLOCK at a time. Beyond MOST_BITS / 16 frequent phrases the
+bitmap lets more pass. The stripe of a hot prefix, one with a HOT_SHARE-th of all words or more, is
 cut into SLICES by its next words, so that it meets in several tasks; counts are merged before and after the shuffle.
 """
 
@@ -39,6 +40,8 @@ from tessera.llm.joins import join_hot
 LEAST, MOST_WORDS, TOP, SUBSUMED_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
 #: Words whose windows a task counts before it ships the stripes, bytes of a text read at once, slices of a stripe.
 WINDOWS, PART_BYTES, SLICES = 4_000_000, 8_000_000, 16
+#: Windows, words and counters that a task handles at once.
+BLOCK = 1 << 18
 #: A prefix is hot from this many occurrences, and this share of all words, on: there are HOT_SHARE at most of each length.
 HOT_LEAST, HOT_SHARE = 1_000, 20_000
 #: Bits of the bitmap of frequent phrases, by their number, and at most.
@@ -82,6 +85,14 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    out = np.empty(len(words), np.uint64)
+    for i in range(0, len(words), BLOCK):
+        part = words.slice(i, BLOCK)
+        out[i : i + len(part)] = _hashes(part.to_pylist())
+    return out
+
+
 def _phrase_hashes(batch: pa.RecordBatch, m: int) -> np.ndarray:
     out = np.zeros(batch.num_rows, np.uint64)
     for lang in batch.column("lang").unique().to_pylist():
@@ -127,70 +138,88 @@ class _Counter:
     def ship(self, last: bool):
         """Stripes of the windows that start here; without ``last``, the words whose windows go on are kept."""
         if not self.parts:
-            return None
+            return
         every = pa.concat_arrays([w for w, _ in self.parts]).dictionary_encode()
-        number = every.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        own, at = [], 0
-        for w, ids in self.parts:
-            own.append(np.r_[0, number[at : at + len(w)]][ids])
-            at += len(w)
-        ids = np.concatenate([*own, np.zeros(self.m if last else 0, np.int64)])
+        number = every.indices.to_numpy(zero_copy_only=False) + np.int32(1)
+        ids, at, to = np.zeros(self.size + (self.m if last else 0), np.int32), 0, 0
+        for w, own in self.parts:
+            ids[to : to + len(own)] = np.append(np.int32(0), number[at : at + len(w)])[own]
+            at, to = at + len(w), to + len(own)
         starts = max(0, len(ids) - (self.m - 1))
         words = pa.concat_arrays([pa.array([b""], pa.binary()), every.dictionary])  # id 0 ends a piece
         self.parts, self.size = [], 0
+        del every, number
         if not last:
             tail = ids[starts:]
-            self.read(words.take(pa.array(tail)), np.where(tail > 0, np.arange(1, len(tail) + 1), 0))
+            self.read(words.take(pa.array(tail)), np.where(tail > 0, np.arange(1, len(tail) + 1), 0).astype(np.int32))
         columns, hot = self._windows(ids, starts, words)
-        return _stripes(self.lang, columns, hot, words.cast(pa.string())) if len(columns[0]) else None
+        del ids
+        if len(columns[0]):
+            yield from _stripes(self.lang, columns, hot, words.cast(pa.string())).to_batches()
 
     def _windows(self, ids: np.ndarray, starts: int, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids of the words of each window that counts, 0 for a next word that does not; and whether its prefix is hot."""
         if self.m == 1:
             own = ids[ids > 0]
             return [own], np.ones(len(own), bool)
-        k = self.m - 1
-        if not starts:
-            return [np.empty(0, np.int64)] * self.m, np.empty(0, bool)
-        hashes = _hashes(words.to_pylist())
-        ends = starts + 1  # phrases of k words: one from each start, and the end of the last window
-        whole = np.ones(ends, bool)
-        for j in range(k):
-            whole &= ids[j : j + ends] > 0
-        at = np.flatnonzero(whole)
-        phrase = _Sieve.fold(self.lang, [hashes[ids[at + j]] for j in range(k)])
-        passes = self.sieve.has(phrase)
-        whole[at] = passes
-        at, phrase = at[passes], phrase[passes]
-        begun = at < starts
-        at, phrase = at[begun], phrase[begun]
-        return [*(ids[at + j] for j in range(k)), np.where(whole[at + 1], ids[at + k], 0)], np.isin(phrase, self.sieve.hot)
-
-
-def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Array) -> pa.RecordBatch:
+        hashes, k = _word_hashes(words), self.m - 1
+        found, hot = [[np.empty(0, np.int32)] for _ in range(self.m)], [np.empty(0, bool)]
+        for lo in range(0, starts, BLOCK):
+            size = min(BLOCK, starts - lo) + 1  # phrases of k words: one from each start, and the end of the last window
+            whole = np.ones(size, bool)
+            for j in range(k):
+                whole &= ids[lo + j : lo + j + size] > 0
+            at = np.flatnonzero(whole)
+            phrase = _Sieve.fold(self.lang, [hashes[ids[lo + at + j]] for j in range(k)])
+            passes = self.sieve.has(phrase)
+            whole[at] = passes
+            begun = passes & (at < size - 1)
+            at = at[begun]
+            for j in range(k):
+                found[j].append(ids[lo + at + j])
+            found[k].append(np.where(whole[at + 1], ids[lo + at + k], np.int32(0)))
+            hot.append(np.isin(phrase[begun], self.sieve.hot))
+        return [np.concatenate(f) for f in found], np.concatenate(hot)
+
+
+def _packed(columns: list[np.ndarray], bits: list[int]) -> np.ndarray:
+    key = columns[0].astype(np.uint64)
+    for c, b in zip(columns[1:], bits[1:], strict=True):
+        key <<= np.uint64(b)
+        key |= c.astype(np.uint64)
+    return key
+
+
+def _unpacked(key: np.ndarray, bits: list[int]) -> list[np.ndarray]:
+    out = []
+    for b in reversed(bits):
+        out.append((key & np.uint64((1 << b) - 1)).astype(np.int64))
+        key = key >> np.uint64(b)
+    return out[::-1]
+
+
+def _distinct(columns: list[np.ndarray], bits: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of ``columns``, whose values have ``bits`` bits, in order, and how often each comes."""
+    if sum(bits) > 64:  # too wide for one key: the first two columns and the others become their ranks
+        cuts = slice(0, 2), slice(2, None)
+        halves = [np.unique(_packed(columns[c], bits[c]), return_inverse=True) for c in cuts]
+        ranks, n = _distinct([r for _, r in halves], [32, 32])
+        return [x for c, (known, _), r in zip(cuts, halves, ranks, strict=True) for x in _unpacked(known[r], bits[c])], n
+    key = _packed(columns, bits)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return _unpacked(key[first], bits), np.diff(np.append(first, len(key)))
+
+
+def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Array) -> pa.Table:
     """Counts equal windows and lays those of one prefix, of a hot one those of one slice, into one row."""
-    v, m = len(words), len(columns)
-    if m == 1:
-        n = np.bincount(columns[0], minlength=v)
-        columns = [np.flatnonzero(n)]
-        n, first, hot = n[columns[0]], np.arange(len(columns[0])), np.ones(len(columns[0]), bool)
-    elif v < 65_536:
-        key = columns[0].astype(np.uint64)
-        for c in columns[1:]:
-            key = (key << np.uint64(16)) | c.astype(np.uint64)
-        _, first, n = np.unique(key, return_index=True, return_counts=True)
-    else:  # rank after each word: ranks and words both stay far below 2^31
-        rank = np.zeros(len(columns[0]), np.int64)
-        for c in columns:
-            _, first, rank = np.unique(rank * v + c, return_index=True, return_inverse=True)
-        n = np.bincount(rank)
-    # both leave the windows in order of prefix, then next word
-    prefix, nxt, hot = [c[first] for c in columns[:-1]], columns[-1][first], hot[first]
+    columns, n = _distinct([*columns, hot], [max(1, (len(words) - 1).bit_length())] * len(columns) + [1])
+    prefix, nxt, hot = columns[:-2], columns[-2], columns[-1] > 0  # in order of prefix, then next word
     new = np.zeros(len(n), bool)
     new[0] = True
     for p in prefix:
         new[1:] |= p[1:] != p[:-1]
-    part = np.zeros(len(n), np.int64)
+    part = np.zeros(len(n), np.int32)
     if hot.any():
         # a slice must be the same in every task: it goes by the word, not by its id here
         used, inverse = np.unique(nxt[hot], return_inverse=True)
@@ -198,11 +227,17 @@ def _stripes(lang: str, columns: list[np.ndarray], hot: np.ndarray, words: pa.Ar
         order = np.argsort((np.cumsum(new) - 1) * SLICES + part, kind="stable")
         prefix, nxt, part, n = [p[order] for p in prefix], nxt[order], part[order], n[order]
         new[1:] |= part[1:] != part[:-1]
-    at = np.flatnonzero(new)
-    text = pc.binary_join_element_wise(*(words.take(pa.array(p[at])) for p in prefix), " ") if prefix else pa.repeat("", len(at))
-    entries = pa.StructArray.from_arrays([words.take(pa.array(nxt)), pa.array(n, pa.int64())], names=["next", "n"])
-    stripe = pa.ListArray.from_arrays(pa.array(np.r_[at, len(n)], pa.int32()), entries)
-    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(at)), text, pa.array(part[at], pa.int32()), stripe], names=["lang", "prefix", "slice", "stripe"])
+    at = np.append(np.flatnonzero(new), len(n))
+    out, lo = [], 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK, side="right")) - 1)
+        rows, entries = at[lo:hi], slice(at[lo], at[hi])
+        text = pc.binary_join_element_wise(*(words.take(pa.array(p[rows])) for p in prefix), " ") if prefix else pa.repeat("", hi - lo)
+        counters = pa.StructArray.from_arrays([words.take(pa.array(nxt[entries])), pa.array(n[entries], pa.int64())], names=["next", "n"])
+        stripe = pa.ListArray.from_arrays(pa.array(at[lo : hi + 1] - at[lo], pa.int32()), counters)
+        out.append(pa.RecordBatch.from_arrays([pa.repeat(lang, hi - lo), text, pa.array(part[rows]), stripe], names=["lang", "prefix", "slice", "stripe"]))
+        lo = hi
+    return pa.Table.from_batches(out)
 
 
 def tokens(text: bytes) -> tuple[pa.Array, np.ndarray]:
@@ -215,12 +250,12 @@ def tokens(text: bytes) -> tuple[pa.Array, np.ndarray]:
     begins[1:] &= ~inside[:-1]
     first = np.flatnonzero(begins)
     if not len(first):
-        return pa.array([], pa.binary()), np.zeros(int(end.any()), np.int64)
+        return pa.array([], pa.binary()), np.zeros(int(end.any()), np.int32)
     offsets = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside)).astype(np.int32)
     told = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
-    piece = np.cumsum(end)
-    ended = np.diff(np.concatenate([[0], piece[first], piece[-1:]])) > 0  # before each word, and after the last
-    out = np.zeros(len(first) + np.count_nonzero(ended), np.int64)
+    ends = np.flatnonzero(end)
+    ended = np.diff(np.concatenate([[0], np.searchsorted(ends, first), [len(ends)]])) > 0  # before each word, and after the last
+    out = np.zeros(len(first) + np.count_nonzero(ended), np.int32)
     out[np.arange(len(first)) + np.cumsum(ended[:-1])] = told.indices.to_numpy(zero_copy_only=False) + 1
     return told.dictionary, out
 
@@ -257,12 +292,14 @@ def _count(m: int, told):
                 own = held.setdefault(lang, _Counter(lang, m, sieve))
                 for part in _parts(texts.filter(pc.equal(langs, lang)).to_pylist()):
                     own.read(*tokens(part))
-                    if own.size >= WINDOWS and (out := own.ship(last=False)) is not None:
-                        yield out
+                    if own.size >= WINDOWS:
+                        yield from own.ship(last=False)
             if sum(c.size for c in held.values()) >= 2 * WINDOWS:  # many languages: their sum is what fills memory
-                yield from filter(None, (c.ship(last=True) for c in held.values()))
+                for c in held.values():
+                    yield from c.ship(last=True)
                 held.clear()
-        yield from filter(None, (c.ship(last=True) for c in held.values()))
+        for c in held.values():
+            yield from c.ship(last=True)
 
     return run
 

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -197,3 +198,17 @@ def test_many_words(monkeypatch):
     rows = collocations._stripes("en", [np.r_[c, c] for c in columns], np.arange(1_000) % 500 < 250, words).to_pylist()
     want = Counter((" ".join(f"w{c[i]}" for c in columns[:3]), f"w{columns[3][i]}") for i in range(500))
     assert {(r["prefix"], e["next"]): e["n"] for r in rows for e in r["stripe"]} == {k: 2 * n for k, n in want.items()}
+
+
+def test_counting_takes_little_memory():
+    """Windows of one shipment: their ids, keys and stripes stay far below what whole arrays of 64-bit ids took."""
+    rng = np.random.default_rng(7)
+    number = rng.integers(0, 60_000, 1_000_000)
+    counter = collocations._Counter("en", 2, collocations._Sieve(64, np.full(1, np.iinfo(np.uint64).max, np.uint64), np.empty(0, np.uint64)))
+    known = collocations.pa.array([f"w{i}".encode() for i in range(60_000)], collocations.pa.binary())
+    counter.read(known, (number + 1).astype(np.int32))
+    tracemalloc.start()
+    n = sum(len(b) for b in counter.ship(last=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(np.unique(number)) and peak < 70 * len(number)

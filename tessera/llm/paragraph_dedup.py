@@ -4,8 +4,7 @@ clustered by components; of every cluster the first occurrence stays, and repeat
 What repeats needn't begin or end with a line. So paragraphs are cut by content, over the words alone (A-Z lower-cased,
 line ends ignored): of every ``MIN_WORDS - PARAGRAPH + 1`` successive three-word grams the one of the smallest hash
 begins a paragraph, which is ``PARAGRAPH`` words long. Equal runs of ``MIN_WORDS`` words thus hold an equal paragraph,
-wherever they lie. Of paragraphs of one document that share shingles, as they overlap, the one of the smallest gram
-enters the band index.
+wherever they lie. Every paragraph enters the band index, those that overlap others too.
 
 * Paragraphs with the same words share every band; they are one class from the start, named by a 64-bit hash, and meet
   the index once a batch of texts.
@@ -20,8 +19,8 @@ Texts never move: a pass over them that needs to know which classes matter asks
 same at any size of the table. It may let more through, which joins then leave out; the fuller it is the more.
 
 Defined results: null, blank and short texts have no paragraphs; a null doc_id sorts first; rows that agree in id and
-text are one document and get one decision; occurrences that overlap one another (``a b a b ...``) are one, and of
-equal ones the first by (doc_id, text hash, position) stays; an empty table gives an empty result; extra columns stay
+text are one document and get one decision; occurrences of equal or near-equal paragraphs that overlap one another
+(``a b a b ...``) are one, and of equal ones the first by (doc_id, text hash, position) stays; an empty table gives an empty result; extra columns stay
 with ``remove_repeats``.
 """
 
@@ -135,8 +134,9 @@ def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
 
 
 def _cuts(h: np.ndarray, text: np.ndarray, run: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(at, alone): the words at which paragraphs begin, and whether each enters the band index. An equal run of ``run``
-    words holds a paragraph that begins at its smallest gram, whose hash it shares."""
+    """(at, once): the words at which paragraphs begin, and whether each is the first of its class here, which enters the
+    band index for it. An equal run of ``run`` words holds a paragraph that begins at its smallest gram, whose hash it
+    shares."""
     none = np.empty(0, np.int64), np.empty(0, bool)
     if len(h) < run:
         return none
@@ -148,15 +148,9 @@ def _cuts(h: np.ndarray, text: np.ndarray, run: int, size: int) -> tuple[np.ndar
     at = np.flatnonzero(grams == _sliding(np.concatenate([pad, least, pad]), width, np.maximum))
     if not len(at):
         return none
-    # paragraphs that overlap by a shingle would meet their own neighbours in the index: of those the smallest enters
-    alone, g = np.ones(len(at), bool), grams[at]
-    for k in range(1, min(size - SHINGLE, len(at) - 1) + 1):
-        close = (at[k:] - at[:-k] <= size - SHINGLE) & (text[at[k:]] == text[at[:-k]])
-        if not close.any():
-            break
-        alone[k:] &= ~(close & (g[:-k] <= g[k:]))
-        alone[:-k] &= ~(close & (g[k:] < g[:-k]))
-    return at, alone
+    once = np.zeros(len(at), bool)
+    once[np.unique(_rolled(h, size)[at], return_index=True)[1]] = True
+    return at, once
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -216,16 +210,16 @@ def _band_keys(shingles: np.ndarray, bands: int, rows: int, least) -> np.ndarray
 
 
 def band_keys(given: DataFrame, bands: int, rows: int, run: int = MIN_WORDS, size: int = PARAGRAPH) -> DataFrame:
-    """(key, h) for each band of each paragraph that enters the index; classes once a slice of the texts."""
+    """(key, h) for each band of each paragraph; classes once a slice of the texts."""
 
     def emit(batches):
         for b in slices(batches):
             h, text, _ = _words(b.column("text"))
-            at, alone = _cuts(h, text, run, size)
-            if not alone.any():
+            at, once = _cuts(h, text, run, size)
+            if not len(at):
                 continue
-            classes, once = np.unique(_rolled(h, size)[at[alone]], return_index=True)
-            at = at[alone][once]
+            at = at[once]
+            classes = _rolled(h, size)[at]
             keys = _band_keys(_rolled(h, SHINGLE), bands, rows, lambda x: _sliding(x, size - SHINGLE + 1, np.minimum)[at])  # noqa: B023
             yield pa.RecordBatch.from_arrays([_signed(keys.ravel()), _signed(np.repeat(classes, bands))], names=["key", "h"])
 
@@ -233,17 +227,18 @@ def band_keys(given: DataFrame, bands: int, rows: int, run: int = MIN_WORDS, siz
 
 
 def shingle_sets(given: DataFrame, wanted: Column | None, run: int = MIN_WORDS, size: int = PARAGRAPH) -> DataFrame:
-    """h and its shingles' hashes, sorted, for the classes in the index that pass the sieve ``wanted``."""
+    """h and its shingles' hashes, sorted, for the classes that pass the sieve ``wanted``."""
 
     def emit(batches):
         for b in slices(batches):
             h, text, _ = _words(b.column("text"))
-            at, alone = _cuts(h, text, run, size)
-            if not alone.any():
+            at, once = _cuts(h, text, run, size)
+            if not len(at):
                 continue
-            classes, once = np.unique(_rolled(h, size)[at[alone]], return_index=True)
+            at = at[once]
+            classes = _rolled(h, size)[at]
             hit = _passes(wanted.value, classes.view(np.int64))
-            at = at[alone][once][hit]
+            at = at[hit]
             n = size - SHINGLE + 1
             sets = np.sort(_rolled(h, SHINGLE)[at[:, None] + np.arange(n)], axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -408,7 +403,14 @@ def _spans(paras: DataFrame, named: DataFrame) -> DataFrame:
     found = stage(paras.join(named, "h"))
     kept = found.groupBy("cluster_id").agg(F.min(F.struct("d", "th", "pos", "to")).alias("kept"))
     here = (F.col("d") == F.col("kept.d")) & (F.col("th") == F.col("kept.th"))
-    again = found.join(kept, "cluster_id").where(~(here & (F.col("pos") < F.col("kept.to")))).dropDuplicates(["d", "th", "pos"])
+    # near-equal paragraphs may overlap: what hangs together with the first occurrence is one with it
+    several = named.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
+    own = "partition by cluster_id order by pos, to"
+    one = found.join(several, "cluster_id", "left_semi").join(kept, "cluster_id").where(here)
+    one = one.withColumn("_apart", F.expr(f"coalesce(pos >= max(to) over ({own} rows between unbounded preceding and 1 preceding), false)"))
+    one = one.withColumn("_apart", F.expr(f"max(_apart) over ({own} rows unbounded preceding)")).where("not _apart")
+    kept = kept.join(one.groupBy("cluster_id").agg(F.max("to").alias("_until")), "cluster_id", "left")
+    again = found.join(kept, "cluster_id").where(~(here & (F.col("pos") < F.coalesce("_until", "kept.to")))).dropDuplicates(["d", "th", "pos"])
     runs = again.withColumn("_run", F.expr("seq - row_number() over (partition by d, th order by seq)"))
     ends = [F.min(F.struct("pos", "h", "cluster_id", "kept")).alias("_first"), F.max(F.struct("pos", "h")).alias("_last"), F.max("to").alias("to"), F.collect_set("h").alias("_all")]
     return runs.groupBy("d", "th", "_run").agg(*ends).select(
@@ -475,6 +477,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sieve = _sieve(ends)
     near = spans.where(long).select("d", "th", "pos", "to", "cluster_id", "kept")
     both = stage(near.unionByName(_exact_runs(given, sieve, min_words, paragraph)))
+    sieve.destroy()
     one = "partition by d, th order by pos, to"
     opens = both.withColumn("_open", F.expr(f"coalesce(pos > max(to) over ({one} rows between unbounded preceding and 1 preceding), true)"))
     opens = opens.withColumn("_run", F.expr(f"sum(cast(_open as int)) over ({one} rows unbounded preceding)"))

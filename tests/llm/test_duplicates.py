@@ -246,6 +246,41 @@ def test_near_equal_paragraphs_are_linked(spark, hot, monkeypatch):
     assert sum(have[i] == have[j] for i, j in linked) >= 0.98 * len(linked)
 
 
+def test_overlapping_paragraphs_are_linked(spark):
+    """Near-equal paragraphs are linked, whichever others they overlap in their own texts."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(20):
+        base = [f"b{k}x{x}" for x in rng.integers(0, 9000, 90)]
+        for _ in range(30):
+            w = list(base)
+            for j in rng.choice(90, 2, replace=False):
+                w[j] = f"n{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    given = paragraph_dedup._given(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "doc_id", "text")
+    got = paragraph_dedup.links(given, 0.8, 0.99).collect()
+    h, text, place = paragraph_dedup._words(pa.array([t for _, t in rows]))
+    at, _ = paragraph_dedup._cuts(h, text, 50, 25)
+    words = [t.split() for _, t in rows]
+    sets = {}
+    for c, i, p in zip(paragraph_dedup._rolled(h, 25)[at].view(np.int64).tolist(), text[at], place[at]):
+        w = words[i][p : p + 25]
+        sets[c] = frozenset(zip(*(w[j:] for j in range(5))))
+    ids = sorted(sets)
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if len(sets[ids[i]] & sets[ids[j]]) >= 0.8 * len(sets[ids[i]] | sets[ids[j]])]
+    where = {x: i for i, x in enumerate(ids)}
+    want, have = union(len(ids), pairs), union(len(ids), [(where[r["a"]], where[r["b"]]) for r in got])
+    assert all(want[where[r["a"]]] == want[where[r["b"]]] for r in got)
+    assert len(pairs) > 100 and sum(have[i] == have[j] for i, j in pairs) >= 0.98 * len(pairs)
+
+
+def test_near_equal_paragraphs_that_overlap_are_one(spark):
+    """A text that changes slowly repeats no run of 50 words; its paragraphs are near-equal to those they overlap."""
+    rows = [(k, " ".join(x for j in range(12) for x in [*[f"a{k}"] * 20, f"b{k}n{j}"])) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not brute_passages(rows) and paragraph_dedup.report(df).count() == 0
+
+
 def test_bands_reach_the_recall():
     bands, rows = paragraph_dedup.tune_bands(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999

@@ -39,7 +39,8 @@ LOSS = 0.01
 _L, _S = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", "\\t-\\r "
 _OTHER = re.compile(f"[^{_S}!-~{_L}]|<\\|endoftext\\|>")
 _SPLIT = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_KNOWN_WORDS = 400_000
+#: Parts of a split whose ids a worker remembers: it keeps them, and the tokenizer, as long as it lives.
+_KNOWN_WORDS = 100_000
 
 
 class _Ids(dict):
@@ -56,27 +57,31 @@ class _Ids(dict):
 
 
 @cache
-def _tokenizer(path: str):
+def _whole(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _known(path: str) -> _Ids:
     ranks = path.removesuffix(".json") + ".tiktoken"
     if os.path.exists(ranks):  # the same vocabulary as ranks: a part's ids are the same and come several times faster
         import tiktoken
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return t, _Ids(tiktoken.Encoding("parts", pat_str=r"[\s\S]+", mergeable_ranks=merges, special_tokens={}).encode_ordinary)
-    return t, _Ids(lambda part: t.encode(part, add_special_tokens=False).ids)
+        return _Ids(tiktoken.Encoding("parts", pat_str=r"[\s\S]+", mergeable_ranks=merges, special_tokens={}).encode_ordinary)
+    return _Ids(lambda part: _whole(path).encode(part, add_special_tokens=False).ids)
 
 
 def token_ids(text: str | None, path: str) -> bytes:
     """Ids of a text as little-endian 32-bit integers, the end id included."""
-    tokenizer, known = _tokenizer(path)
     text = text or ""
     if _OTHER.search(text):
-        body = np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        body = np.asarray(_whole(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     else:
+        known = _known(path)
         body = b"".join(map(known.__getitem__, _SPLIT.findall(text)))
     return body + np.asarray([END_ID], "<u4").tobytes()
 

@@ -213,3 +213,13 @@ def test_pipeline(spark):
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > 0
     rows = corpus_pipeline.run(spark, TINY).collect()
     assert sum(r["length"] for r in rows) == sum(r["length"] for r in packing.pack(now).collect())
+
+
+def test_workers_remember_few_parts():
+    """A text of ASCII and Latin letters needs no whole tokenizer beside the ranks, and a worker's memory of parts is bounded."""
+    path = packing.default_tokenizer()
+    packing._whole.cache_clear()
+    text = " ".join(f"{a}{b}q{a}x" for a in "abcdefghij" for b in "klmnopqrst")
+    ids = packing.token_ids(text, path)
+    assert packing._whole.cache_info().currsize == 0 and packing._KNOWN_WORDS <= 100_000
+    assert np.frombuffer(ids, "<u4").tolist() == [*packing._whole(path).encode(text, add_special_tokens=False).ids, packing.END_ID]

@@ -4,7 +4,8 @@ clustered by components; of every cluster the first occurrence stays, and repeat
 What repeats needn't begin or end with a line. So paragraphs are cut by content, over the words alone (A-Z lower-cased,
 line ends ignored): of every ``MIN_WORDS - PARAGRAPH + 1`` successive three-word grams the one of the smallest hash
 begins a paragraph, which is ``PARAGRAPH`` words long. Equal runs of ``MIN_WORDS`` words thus hold an equal paragraph,
-wherever they lie. Every paragraph enters the band index, those that overlap others too.
+wherever they lie. Every paragraph enters the band index, those that overlap others too; but a key under which only
+paragraphs meet that overlap one another in one text, or in copies of it, links nothing.
 
 * Paragraphs with the same words share every band; they are one class from the start, named by a 64-bit hash, and meet
   the index once a batch of texts.
@@ -43,6 +44,8 @@ SHINGLE, SIMILARITY, RECALL, MIN_WORDS, PARAGRAPH, CUT = 5, 0.8, 0.99, 50, 25, 3
 BACKGROUND, BACKGROUND_RATE = 0.03, 0.1
 #: Classes under one key beyond which finer bands divide them; rows of those bands; classes held at once before that.
 HOT, FINE_ROWS, HELD = 256, 3, 4096
+#: Keys of at most so many classes compare all their pairs, many keys at once.
+FEW = 6
 SIEVE_BITS = 26
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _M = 0x9E3779B97F4A7C15
@@ -210,20 +213,31 @@ def _band_keys(shingles: np.ndarray, bands: int, rows: int, least) -> np.ndarray
 
 
 def band_keys(given: DataFrame, bands: int, rows: int, run: int = MIN_WORDS, size: int = PARAGRAPH) -> DataFrame:
-    """(key, h) for each band of each paragraph; classes once a slice of the texts."""
+    """(key, h, beside) for each band of each paragraph, once a slice of the texts. ``beside`` names the classes of all the
+    paragraphs there that overlap one another and share the key."""
 
     def emit(batches):
         for b in slices(batches):
             h, text, _ = _words(b.column("text"))
-            at, once = _cuts(h, text, run, size)
+            at, _ = _cuts(h, text, run, size)
             if not len(at):
                 continue
-            at = at[once]
             classes = _rolled(h, size)[at]
             keys = _band_keys(_rolled(h, SHINGLE), bands, rows, lambda x: _sliding(x, size - SHINGLE + 1, np.minimum)[at])  # noqa: B023
-            yield pa.RecordBatch.from_arrays([_signed(keys.ravel()), _signed(np.repeat(classes, bands))], names=["key", "h"])
-
-    return given.mapInArrow(emit, "key long, h long")
+            beside = np.empty(keys.shape, np.int32)
+            for k in range(bands):
+                same = np.r_[False, (keys[1:, k] == keys[:-1, k]) & (text[at[1:]] == text[at[:-1]])]
+                begun = at[np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))]
+                part = (at - begun) // size  # of a long row of equal keys, those that all overlap
+                first = np.flatnonzero(~same | np.r_[False, part[1:] != part[:-1]])
+                beside[:, k] = np.repeat(_mix(np.add.reduceat(_mix(classes), first)), np.diff(np.r_[first, len(at)])).astype(np.uint32).view(np.int32)
+            keys, classes, beside = keys.ravel(), np.repeat(classes, bands), beside.ravel()
+            order = np.lexsort((beside, classes, keys))
+            keys, classes, beside = keys[order], classes[order], beside[order]
+            new = np.r_[True, (keys[1:] != keys[:-1]) | (classes[1:] != classes[:-1]) | (beside[1:] != beside[:-1])]
+            yield pa.RecordBatch.from_arrays([_signed(keys[new]), _signed(classes[new]), pa.array(beside[new])], names=["key", "h", "beside"])
+
+    return given.mapInArrow(emit, "key long, h long, beside int")
 
 
 def shingle_sets(given: DataFrame, wanted: Column | None, run: int = MIN_WORDS, size: int = PARAGRAPH) -> DataFrame:
@@ -266,48 +280,55 @@ def _passes(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _collisions(batches):
-    """(key, h), sorted -> (sig, key, h) of the keys of two classes or more. ``sig`` names the set of classes; a key of
-    more than HELD classes is handed on as it comes, under a name of its own."""
+    """(key, h, beside), sorted -> (sig, key, h) of the keys of two classes or more that are not all beside one another.
+    ``sig`` names the set of classes; a key of more than HELD rows is handed on as it comes, under a name of its own."""
     keys = h = np.empty(0, np.int64)
-    last = large = None
+    beside = np.empty(0, np.int32)
+    large = large_h = None
 
     def made(sig, k, x):
         return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(k), pa.array(x)], names=["sig", "key", "h"])
 
-    def groups(k, x):
+    def groups(k, x, y):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        n = np.diff(np.r_[first, len(k)])
-        sig = _mix(np.add.reduceat(_mix(x.view(np.uint64)), first) + n.astype(np.uint64)).view(np.int64)
-        some = np.repeat(n > 1, n)
-        return made(np.repeat(sig, n)[some], k[some], x[some])
+        new = np.r_[True, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
+        n = np.add.reduceat(new.astype(np.int64), first)
+        met = (n > 1) & (np.minimum.reduceat(y, first) != np.maximum.reduceat(y, first))
+        sig = _mix(np.add.reduceat(np.where(new, _mix(x.view(np.uint64)), np.uint64(0)), first) + n.astype(np.uint64)).view(np.int64)
+        rows = np.diff(np.r_[first, len(k)])
+        some = np.repeat(met, rows) & new
+        return made(np.repeat(sig, rows)[some], k[some], x[some])
+
+    def distinct(k, x, before=None):
+        new = np.r_[before is None or x[0] != before, x[1:] != x[:-1]]
+        return made(k[new], k[new], x[new])
 
     for b in batches:
-        k, x = b.column("key").to_numpy(), b.column("h").to_numpy()
-        if not len(k):
-            continue
-        new = np.r_[(k[0], x[0]) != last, (k[1:] != k[:-1]) | (x[1:] != x[:-1])]
-        last = k[-1], x[-1]
-        k, x = k[new], x[new]
-        if large is not None:
+        k, x, y = (b.column(c).to_numpy() for c in ("key", "h", "beside"))
+        if large is not None and len(k):
             n = int(np.searchsorted(k, large, side="right"))
             if n:
-                yield made(k[:n], k[:n], x[:n])
-            k, x = k[n:], x[n:]
-            if not len(k):
-                continue
-            large = None
-        keys, h = np.concatenate([keys, k]), np.concatenate([h, x])
-        if not len(keys):
+                yield distinct(k[:n], x[:n], large_h)
+                large_h = x[n - 1]
+            k, x, y = k[n:], x[n:], y[n:]
+            large = None if len(k) else large
+        if not len(k):
             continue
+        keys, h, beside = np.concatenate([keys, k]), np.concatenate([h, x]), np.concatenate([beside, y])
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (h[1:] != h[:-1]) | (beside[1:] != beside[:-1])]
+        keys, h, beside = keys[new], h[new], beside[new]
+        two = np.r_[False, (keys[1:] == keys[:-1]) & (h[1:] == h[:-1])]
+        new = ~(two & np.r_[False, two[:-1]])  # two of a class tell that it is beside different ones
+        keys, h, beside = keys[new], h[new], beside[new]
         ended = int(np.searchsorted(keys, keys[-1], side="left"))
         if ended:
-            yield groups(keys[:ended], h[:ended])
-        keys, h = keys[ended:], h[ended:]
+            yield groups(keys[:ended], h[:ended], beside[:ended])
+        keys, h, beside = keys[ended:], h[ended:], beside[ended:]
         if len(keys) > HELD:
-            yield made(keys, keys, h)
-            large, keys, h = keys[0], keys[:0], h[:0]
+            yield distinct(keys, h)
+            large, large_h, keys, h, beside = keys[0], h[-1], keys[:0], h[:0], beside[:0]
     if len(keys) > 1:
-        yield groups(keys, h)
+        yield groups(keys, h, beside)
 
 
 def _sets_of(b: pa.RecordBatch) -> np.ndarray:
@@ -352,14 +373,31 @@ def _forest(h: np.ndarray, sets: np.ndarray, similarity: float) -> tuple[list[np
     return a, b
 
 
+def _pairs(h: np.ndarray, sets: np.ndarray, group: np.ndarray, similarity: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of all links within groups, which are numbered in order and have FEW members at most."""
+    distinct = lambda x: 1 + (x[:, 1:] != x[:, :-1]).sum(axis=1)
+    size, a, b = distinct(sets), [], []
+    for k in range(1, FEW):
+        i = np.flatnonzero(group[k:] == group[:-k])
+        if not len(i):
+            break
+        either = distinct(np.sort(np.concatenate([sets[i], sets[i + k]], axis=1), axis=1))
+        hit = i[size[i] + size[i + k] - either >= similarity * either]
+        a.append(h[hit])
+        b.append(h[hit + k])
+    return a, b
+
+
 def _verified(similarity: float):
     """(key, h, s) sorted by key -> edges (a, b) between near-equal classes under one key."""
 
-    def links(held):
-        a, b = _forest(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), similarity)
+    def made(a, b):
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
+    def links(held):
+        yield from made(*_forest(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]), similarity))
+
     def emit(batches):
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         for b in batches:
@@ -367,8 +405,13 @@ def _verified(similarity: float):
             if not len(keys):
                 continue
             sets = _sets_of(b)
-            cut = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)].tolist()
-            for lo, hi in zip(cut, cut[1:], strict=False):
+            cut = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            n = np.diff(cut)
+            few = n <= FEW
+            few[[0, -1]] = False  # what goes on in other batches
+            rows = np.repeat(few, n)
+            yield from made(*_pairs(h[rows], sets[rows], np.repeat(np.arange(len(n)), n)[rows], similarity))
+            for lo, hi in zip(cut[:-1][~few].tolist(), cut[1:][~few].tolist(), strict=True):
                 if held and held[0][0] != keys[lo]:
                     yield from links(held)
                     held = []
@@ -380,9 +423,10 @@ def _verified(similarity: float):
 
 
 def links(given: DataFrame, similarity: float, recall: float, run: int = MIN_WORDS, size: int = PARAGRAPH) -> DataFrame:
-    """Edges (a, b) that connect just the classes that near-equal ones under a common band connect."""
+    """Edges (a, b) that connect just the classes that near-equal ones under a common band connect, but for those that
+    only meet where they overlap."""
     keys = band_keys(given, *tune_bands(similarity, recall), run, size)
-    met = stage(keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_collisions, "sig long, key long, h long"))
+    met = stage(keys.repartition("key").sortWithinPartitions("key", "h", "beside").mapInArrow(_collisions, "sig long, key long, h long"))
     once = met.groupBy("sig").agg(F.min("key").alias("key"))
     members = stage(met.join(once, ["sig", "key"]).select("key", "h"))
     drop_stage(met)

@@ -3,10 +3,10 @@
 A stripe is an associative counter: a prefix and, for each next word, how often it follows. Tasks count the windows of
 whole texts into stripes and ship those, each prefix once with all its counters; stripes of one prefix are merged
 elementwise. Prefixes grow level by level, from none to three words. A level takes only prefixes that are frequent, and
-counts as their next word only one that makes a frequent end (a phrase is no commoner than its parts); all other
-endings, the end of a piece too, count as the empty word, so a stripe's total is how often its prefix occurs. One
-structure gives the extensions (a stripe's entries), the totals of prefixes (its sum), and the most frequent extension
-of each phrase, to the right (its largest entry) and to the left (the largest entry that ends in the phrase).
+counts as their next word only one that makes a frequent end (a phrase is no commoner than its parts); other windows
+are part of no candidate, and how often a prefix occurs is known from the level before. One structure gives all words
+(the sum of the stripe without a prefix), the extensions (a stripe's entries), and the most frequent extension of each
+phrase, to the right (its largest entry) and to the left (the largest entry that ends in the phrase).
 
 Which phrases are frequent is told to the tasks by a bitmap of their hashes, sized by their number. It may let
 infrequent phrases pass, which only costs work: every count that is reported is exact.
@@ -49,7 +49,8 @@ BITS_EACH, MOST_BITS = 16, 2**28
 _END = b"."  # ends a piece: it separates pieces, so no word is equal to it
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_SEPARATORS + b"\t", _END * len(_SEPARATORS) + b" ")
-STRIPE = "lang string, prefix string, slice int, stripe array<struct<next:string,n:long>>"
+#: A stripe as it is shipped.
+SHIPPED = "lang string, prefix string, slice int, next string, n array<int>"
 
 
 class _Sieve:
@@ -158,7 +159,7 @@ class _Counter:
             yield from _stripes(self.lang, columns, hot, words.cast(pa.string())).to_batches()
 
     def _windows(self, ids: np.ndarray, starts: int, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids of the words of each window that counts, 0 for a next word that does not; and whether its prefix is hot."""
+        """Ids of the words of each window that counts; and whether its prefix is hot."""
         if self.m == 1:
             own = ids[ids > 0]
             return [own], np.ones(len(own), bool)
@@ -173,12 +174,10 @@ class _Counter:
             phrase = _Sieve.fold(self.lang, [hashes[ids[lo + at + j]] for j in range(k)])
             passes = self.sieve.has(phrase)
             whole[at] = passes
-            begun = passes & (at < size - 1)
-            at = at[begun]
-            for j in range(k):
-                found[j].append(ids[lo + at + j])
-            found[k].append(np.where(whole[at + 1], ids[lo + at + k], np.int32(0)))
-            hot.append(np.isin(phrase[begun], self.sieve.hot))
+            counts = passes & np.append(whole[1:], False)[at]
+            for j in range(self.m):
+                found[j].append(ids[lo + at[counts] + j])
+            hot.append(np.isin(phrase[counts], self.sieve.hot))
         return [np.concatenate(f) for f in found], np.concatenate(hot)
 
 
@@ -304,23 +303,40 @@ def _count(m: int, told):
     return run
 
 
+def _shipped(m: int, told):
+    """The stripes of ``_count`` as they are shipped: a stripe's next words in one string, since no word holds a space, and
+    their counts in an array. In shuffle files a struct for each counter takes about twice the room."""
+
+    def run(batches):
+        for b in _count(m, told)(batches):
+            stripe = b.column("stripe")
+            each = lambda field: pa.ListArray.from_arrays(stripe.offsets, stripe.values.field(field))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pc.binary_join(each("next"), " "), each("n").cast(pa.list_(pa.int32()))], names=["lang", "prefix", "slice", "next", "n"]
+            )
+
+    return run
+
+
 def stripes(docs: DataFrame, m: int, sieve: _Sieve | None, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
-    """lang, prefix of m - 1 words, slice; n, the sum of that slice's counters; right, its largest; frequent, its
-    counters (next, n) of ``least`` or more."""
+    """lang, prefix of m - 1 words, slice; frequent, that slice's counters (next, n) of ``least`` or more. Without a prefix
+    (m = 1) also n, the sum of all its counters; else right, its largest, and only slices with a frequent counter."""
     told = docs.sparkSession.sparkContext.broadcast(sieve) if sieve else None
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shipped = given.mapInArrow(_count(m, told), STRIPE)
-    met = shipped.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.inline("stripe"))
+    shipped = given.mapInArrow(_shipped(m, told), SHIPPED)
+    counters = F.arrays_zip(F.split("next", " ").alias("next"), F.col("n"))
+    met = shipped.repartition("lang", "prefix", "slice").select("lang", "prefix", "slice", F.inline(counters))
     # elementwise: the stripes of a prefix lie together, so this sum needs no second shuffle
     merged = met.groupBy("lang", "prefix", "slice", "next").agg(F.sum("n").alias("n"))
-    word = F.col("next") != ""
-    frequent = F.collect_list(F.when(word & (F.col("n") >= least), F.struct("next", "n")))
-    return merged.groupBy("lang", "prefix", "slice").agg(F.sum("n").alias("n"), F.max(F.when(word, F.col("n"))).alias("right"), frequent.alias("frequent"))
+    often, entry = F.col("n") >= least, F.struct("next", "n")
+    if m == 1:
+        return merged.groupBy("lang", "prefix", "slice").agg(F.sum("n").alias("n"), F.collect_list(F.when(often, entry)).alias("frequent"))
+    return merged.where(often).groupBy("lang", "prefix", "slice").agg(F.max("n").alias("right"), F.collect_list(entry).alias("frequent"))
 
 
 def phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, m words, a occurrences, right: occurrences of its commonest extension) of every phrase of up to
-    four words that occurs ``least`` times, and (lang, n words)."""
+    """(lang, phrase, m words, a occurrences, right: occurrences of its commonest extension, null if fewer than ``least``)
+    of every phrase of up to four words that occurs ``least`` times, and (lang, n words)."""
     sieve, total, found = None, None, []
     for m in range(1, MOST_WORDS + 1):
         level = stage(stripes(docs, m, sieve, text_col=text_col, lang_col=lang_col, least=least))
@@ -349,7 +365,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     # left extensions: a phrase without its first word has that phrase as an extension
     left = known.where("m > 2").groupBy("lang", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("phrase")).agg(F.max("a").alias("left"))
-    longer = F.greatest(F.coalesce("left", F.lit(0)), F.when(F.col("right") >= least, F.col("right")).otherwise(0)).cast("decimal(20,0)")
+    longer = F.greatest(F.coalesce("left", F.lit(0)), F.coalesce("right", F.lit(0))).cast("decimal(20,0)")
     kept = known.where("m > 1").join(left, ["lang", "phrase"], "left").where(~(longer * 100 >= wide("a") * subsumed))
     cuts = stage(
         kept.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k")).select(

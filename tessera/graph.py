@@ -145,10 +145,10 @@ class PropertyGraph:
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with row numbers from 1 in a total order, without gathering the rows: rows are range-partitioned by the
-    order, and each partition starts from the counts of those before it."""
+    order and sorted there, and each partition starts from the counts of those before it."""
     keyed = df.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
-    placed = stage(keyed.repartitionByRange("_o").withColumn("_pid", F.spark_partition_id()))  # once: ranges are sampled
+    sorted_ = keyed.repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_place", F.monotonically_increasing_id())  # partition, then place
+    placed = stage(sorted_.select(*df.columns, F.shiftright("_place", 33).alias("_pid"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")))  # once: ranges are sampled
     counts = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = counts.select("_pid", F.expr("coalesce(sum(_n) over (order by _pid rows between unbounded preceding and 1 preceding), 0)").alias("_before"))
-    within = F.expr("row_number() over (partition by _pid order by _o)")
-    return placed.join(F.broadcast(before), "_pid").withColumn(name, (F.col("_before") + within).cast("long")).drop("_o", "_pid", "_before")
+    return placed.join(F.broadcast(before), "_pid").withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("long")).drop("_pid", "_place", "_before")

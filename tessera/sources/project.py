@@ -72,6 +72,8 @@ def _kind(inside: Column) -> Column:
 RACY_SECONDS = 1
 #: Files of a task that reads, and bytes of a batch that it hands on; a longer file is a batch of its own.
 FILES_A_TASK, BATCH_BYTES = 500, 8 << 20
+#: Files of a task that parses, once there are as many tasks as the cluster has cores.
+FILES_A_PARSE = 8_000
 
 
 def open_root(root: str) -> tuple:
@@ -204,8 +206,11 @@ def discover(spark: SparkSession, root: str, known: DataFrame | None = None) ->
     return read.select(*whole, hashed.alias("content_hash"), F.transform("p", lambda x: F.struct(x["name"].alias("name"), x["text"].alias("text"))).alias("parts"), "stamp").unionByName(same)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
-    """The records (nodes, edges, references, warnings) of discovered files, parsed where the files are."""
+def parse_files(files: DataFrame, count: int | None = None) -> DataFrame:
+    """The records (nodes, edges, references, warnings) of discovered files. They are dealt out evenly: a parser works
+    long for few bytes, so the splits of the table that they come in are no guide. ``count``: of the files, if known."""
+    count = files.count() if count is None else count
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-count // FILES_A_PARSE))
 
     def run(batches):
         from tessera.sources.parsers import parse
@@ -219,4 +224,4 @@ def parse_files(files: DataFrame) -> DataFrame:
                 made[c] = made[c].astype("Int32")
             yield made
 
-    return files.select("kind", "file_path", "parent", "parts").mapInPandas(run, DDL)
+    return files.select("kind", "file_path", "parent", "parts").repartition(tasks, "file_path").mapInPandas(run, DDL)

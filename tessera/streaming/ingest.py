@@ -85,7 +85,7 @@ def index_project(index: Index, root: str, mode: str = "incremental", at: int |
     if n_changed or n_removed or stale or mode == "full":
         old = index.records.where(F.col("project_id") == p)
         kept_files = found.select("file_path", "content_hash").join(known.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi").select("file_path")
-        fresh = stage(_told(tree.parse_files(changed), p))
+        fresh = stage(_told(tree.parse_files(changed, n_changed), p))
         index, touched = _maintained(replace(index, graph=graph), p, old, fresh, stage(kept_files), found, at)
         graph = index.graph
     mine = index.records.where(F.col("project_id") == p)
@@ -151,18 +151,16 @@ def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_fil
     gone_edges = graph.edges.join(lost.withColumnRenamed("edge_id", "id"), "id", "left_semi").select("project_id", "source_id", "target_id", "edge_type")
     edges = graph.edges.join(lost.withColumnRenamed("edge_id", "id"), "id", "left_anti").select(*model.EDGES.fieldNames())
     top = graph.edges.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = resolve_records(graph.project_nodes(p), again).withColumn("project_id", F.lit(p).cast("long"))
-    order = [F.col(c) for c in ("source_id", "target_id", "edge_type", "source_line", "properties", "rec_id")]
-    new = stage(number_rows(new, order, "_nth").withColumn("id", F.col("_nth") + top).join(again.select("rec_id", "file_path"), "rec_id"))
+    new = stage(_numbered_edges(graph, p, again, top).join(again.select("rec_id", "file_path"), "rec_id"))
     counted = counts.merged(index.counts, stage(counts.change(before, gone_edges, after, new)))
-    graph = replace(graph, edges=stage(edges.unionByName(new.select(*[F.col(f.name).cast(f.dataType) for f in model.EDGES]))))
+    graph = replace(graph, edges=stage(edges.unionByName(_as_edges(new))))
     links = index.links.join(lost, "edge_id", "left_anti").select(*index.links.columns).unionByName(new.select("project_id", F.col("id").alias("edge_id"), "rec_id", "file_path"))
     looked = incremental.symbols_in(fresh).select(F.lit(p).cast("long").alias("project_id"), incremental.bucket().alias("bucket"), "key", "rec_id", "file_path")
     others = lambda t: t.where(F.col("project_id") != p)
     lookups = others(index.lookups).unionByName(lookups.join(kept_files, "file_path", "left_semi").select(*index.lookups.columns)).unionByName(looked)
 
     # files: their state, and which of them refer to which
-    state = found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "content_hash", F.lit(at).alias("indexed_at"))
+    state = _file_states(found, p, at)
     moved = before.select("file_path").unionByName(after.select("file_path")).unionByName(again.select("file_path")).unionByName(gone.select("file_path"))
     moved = stage(moved.where("file_path is not null").distinct())
     back = own(graph.file_backrefs)
@@ -179,6 +177,21 @@ def _maintained(index: Index, p: int, old: DataFrame, fresh: DataFrame, kept_fil
     return Index(graph, stage(records), stage(lookups), stage(links), stage(stamps), stage(counted), index.version), again.count()
 
 
+def _numbered_edges(graph: PropertyGraph, p: int, records: DataFrame, above: int) -> DataFrame:
+    """The edges that the records resolve to, with rec_id, and with ids above ``above`` in a total order."""
+    new = resolve_records(graph.project_nodes(p), records).withColumn("project_id", F.lit(p).cast("long"))
+    order = [F.col(c) for c in ("source_id", "target_id", "edge_type", "source_line", "properties", "rec_id")]
+    return number_rows(new, order, "_nth").withColumn("id", F.col("_nth") + above)
+
+
+def _as_edges(numbered: DataFrame) -> DataFrame:
+    return numbered.select(*[F.col(f.name).cast(f.dataType) for f in model.EDGES])
+
+
+def _file_states(found: DataFrame, p: int, at: int) -> DataFrame:
+    return found.select(F.lit(p).cast("long").alias("project_id"), "file_path", "content_hash", F.lit(at).alias("indexed_at"))
+
+
 def _file_pairs(graph: PropertyGraph, p: int, files: DataFrame) -> DataFrame:
     """The pairs of the reverse index with one of ``files`` in them, from the edges at these files' nodes."""
     ids = stage(graph.project_nodes(p).join(files, "file_path", "left_semi").select("id"))
@@ -198,12 +211,15 @@ def _merged_nodes(records: DataFrame, found: DataFrame, p: int) -> DataFrame:
 
 
 def graph_of_files(spark: SparkSession, files: DataFrame) -> PropertyGraph:
-    """The graph, as project 1, of a table of discovered files: kind, file_path, parent, content_hash and parts."""
+    """The graph, as project 1, of a table of discovered files: kind, file_path, parent, content_hash and parts. It is
+    what a full run makes, but there is nothing before it to compare with, and what only an ``Index`` has isn't made."""
     graph, p = PropertyGraph.empty(spark).upsert_project("files", "files")
-    index = replace(Index.empty(spark), graph=graph)
-    nothing = files.where("false").select("file_path")
-    files = files.withColumn("stamp", F.lit(None).cast("string"))
-    return _maintained(index, p, index.records, stage(_told(tree.parse_files(files), p)), nothing, files, 0)[0].graph
+    found = stage(files.select("file_path", "content_hash"))
+    records = stage(_told(tree.parse_files(files, found.count()), p))
+    graph = replace(graph, nodes=stage(graph.upsert_nodes(stage(_merged_nodes(records, found, p))).nodes))
+    graph = replace(graph, edges=stage(_as_edges(_numbered_edges(graph, p, records.where("rec in ('edge', 'ref')"), 0))))
+    pairs = reverse_index(graph, p).withColumn("project_id", F.lit(p).cast("long")).select(*graph.file_backrefs.columns)
+    return replace(graph, file_hashes=_file_states(found, p, 0), file_backrefs=pairs)
 
 
 def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
@@ -252,8 +268,10 @@ def resolve_records(nodes: DataFrame, records: DataFrame) -> DataFrame:
 
     # a class's method by its whole name, else by its own name, there first one that is open to components
     served = refs.where("ref = 'apex'").select("ref_id", "source_id", "how", "line", F.lower("text").alias("_whole"), F.lower(F.regexp_extract("text", r"([^.]+)$", 1)).alias("_method"))
-    exact = served.join(by_name.select(F.col("name").alias("_whole"), "target_id"), "_whole").select("ref_id", "target_id")
-    short = served.join(by_name.select("_method", "target_id", "aura"), "_method")
+    # of methods of one name the first alone can be found, so each name is one row, or one for each kind, in the join
+    first = F.min("target_id").alias("target_id")
+    exact = served.join(by_name.groupBy(F.col("name").alias("_whole")).agg(first), "_whole").select("ref_id", "target_id")
+    short = served.join(by_name.groupBy("_method", "aura").agg(first), "_method")
     found = resolve.first_found(served, ["ref_id"], [exact, short.where("aura").select("ref_id", "target_id"), short.where("not aura").select("ref_id", "target_id")])
     out = out.unionByName(edges(found, F.get_json_object("how", "$.edge"), F.get_json_object("how", "$.confidence"), none, F.col("line"), empty))
     return out.unionByName(_soql_edges(named, refs, edges))

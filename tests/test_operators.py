@@ -1,5 +1,7 @@
 """Typed operators on small graphs, and every table query against DuckDB at the smallest scale."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -169,6 +171,68 @@ def test_diff_counts_parallel_edges(spark):
     assert {(r["identity"], r["change"], r["before"].count("confidence"), r["after"].count("confidence")) for r in got} == {('["F","f1","E","F","f2"]', "changed", 1, 3), ('["F","f2","E","F","f0"]', "changed", 3, 1)}
 
 
+def _shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_diff_shuffles_few_of_the_equal_edges(spark, monkeypatch):
+    """All edges used to be shuffled to look up names: 72,135 rows here."""
+    monkeypatch.setattr(diff, "BUCKETS", 64, raising=False)
+    nodes = [(p * 10**6 + i, p, "F", f"f{i}" if (p, i) != (2, 7) else "renamed", "{}", None) for p in (1, 2) for i in range(2_000)]
+    edges = [(p * 10**7 + i, p, p * 10**6 + i % 2_000, p * 10**6 + i * 7 % 1_999, "E", 1.0, f'{{"v":{i if (p, i) != (2, 500) else 0}}}') for p in (1, 2) for i in range(20_000)]
+    g = make(spark, nodes, edges, (1, 2))
+    before = _shuffled_rows(spark)
+    got = diff.changes(g, 1, 2).collect()
+    assert _shuffled_rows(spark) - before < 40_000
+    names = {(p, i): "renamed" if (p, i) == (2, 7) else f"f{i}" for p in (1, 2) for i in range(2_000)}
+    ends = lambda p: {(names[p, i % 2_000], names[p, i * 7 % 1_999]) for i in range(20_000)}
+    changed = {("edge", f'["F","{a}","E","F","{b}"]', "changed") for a, b in [(names[1, 500], names[1, 500 * 7 % 1_999])]}
+    gone, come = ends(1) - ends(2), ends(2) - ends(1)
+    want = changed | {("edge", f'["F","{a}","E","F","{b}"]', "removed") for a, b in gone} | {("edge", f'["F","{a}","E","F","{b}"]', "added") for a, b in come}
+    assert len(gone) > 10 and {(r["kind"], r["identity"], r["change"]) for r in got} == want | {("node", '["F","f7"]', "removed"), ("node", '["F","renamed"]', "added")}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_diff_equals_brute_force(spark, monkeypatch, seed):
+    """Ids that run in parallel but for some; names moved, doubled, gone and new; edges into nothing and into the other snapshot."""
+    monkeypatch.setattr(diff, "BUCKETS", (1 << 15, 16, 4)[seed], raising=False)
+    monkeypatch.setattr(diff, "SIEVE", (1 << 18, 8, 1)[seed], raising=False)
+    rnd = random.Random(seed)
+    n, shift = 400, (1_000, -5_000, 0)[seed]
+    nodes, edges, last = [], [], 10_000
+    ids = {1: list(range(last, last + n)), 2: [last + n * 10 * (seed == 2) + shift + i for i in range(n)]}
+    for p in (1, 2):
+        for i, k in enumerate(ids[p]):
+            name = i if p == 1 or rnd.random() > 0.03 else rnd.randrange(n + 20)
+            if rnd.random() > 0.02:
+                nodes.append((k, p, "F", f"f{name}", f'{{"v":{int(p == 2 and rnd.random() < 0.05)}}}', None))
+    pairs = [(rnd.randrange(n), rnd.randrange(n), rnd.randrange(3)) for _ in range(3_000)]
+    for p in (1, 2):
+        for i, (a, b, v) in enumerate(pairs):
+            if rnd.random() > 0.01:
+                end = ids[p][b] if rnd.random() > 0.01 else rnd.choice([77, ids[3 - p][b]])
+                edges.append((p * 10**6 + i, p, ids[p][a], end, "E", 1.0 if p == 1 or rnd.random() > 0.01 else 0.5, f'{{"v":{v}}}'))
+    want = {}
+    for p in (1, 2):
+        of = {k: q for k, project, _, q, *_ in nodes if project == p}
+        sides = {}
+        for k, project, _, q, props, _ in nodes:
+            if project == p:
+                sides.setdefault(("node", f'["F","{q}"]'), []).append(props)
+        for _, project, a, b, _, conf, props in edges:
+            if project == p and a in of and b in of:
+                sides.setdefault(("edge", f'["F","{of[a]}","E","F","{of[b]}"]'), []).append((props, conf))
+        for k, v in sides.items():
+            want.setdefault(k, {})[p] = max(v) if k[0] == "node" else sorted(v)
+    want = {(*k, "added" if 1 not in v else "removed" if 2 not in v else "changed") for k, v in want.items() if v.get(1) != v.get(2)}
+    got = diff.changes(make(spark, nodes, edges, (1, 2)), 1, 2).collect()
+    assert len(want) > 100 and sorted((r["kind"], r["identity"], r["change"]) for r in got) == sorted(want)
+
+
 def test_writes_and_storage(spark, tmp_path):
     g = PropertyGraph.empty(spark)
     g, p = g.upsert_project("/root", "one", "60.0")

@@ -56,18 +56,25 @@ def _sides(entries: DataFrame, keys: list[str], content: Column) -> DataFrame:
     return entries.groupBy(*keys).agg(F.max(F.when(F.col("sign") == 1, content)).alias("before"), F.max(F.when(F.col("sign") == -1, content)).alias("after"))
 
 
-def _sieve(values: DataFrame) -> DataFrame:
-    """The bits of the hashes of a column of numbers, a row a word."""
-    h = F.xxhash64(F.col(values.columns[0]).cast("long"))
-    bit = F.expr("shiftleft(1L, cast(_b as int))")
-    return values.select(F.pmod(h, F.lit(SIEVE)).alias("_w"), F.pmod(F.shiftright(h, 32), F.lit(64)).alias("_b")).groupBy("_w").agg(F.bit_or(bit).alias("_bits"))
+def _hashed(column: str) -> str:
+    return f"xxhash64(cast({column} as long))"
+
+
+def _bits(column: str) -> Column:
+    """Three bits, of 64, of a number's hash."""
+    return F.expr(" | ".join(f"shiftleft(1L, cast(shiftright({_hashed(column)}, {k}) & 63 as int))" for k in (32, 40, 48)))
+
+
+def _sieve(numbers: DataFrame) -> DataFrame:
+    """The bits of all numbers of the only column, a row a word; numbers are dealt to words by other bits of their hash."""
+    (column,) = numbers.columns
+    return numbers.select(F.expr(f"pmod({_hashed(column)}, {SIEVE})").alias("_w"), _bits(column).alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
 
 
 def _met(rows: DataFrame, sieve: DataFrame, column: str, into: str) -> DataFrame:
     """``rows`` with whether the sieve may hold the number in ``column``: no is certain. No row of them is shuffled."""
-    h = F.xxhash64(F.col(column).cast("long"))
-    told = rows.withColumn("_w", F.pmod(h, F.lit(SIEVE))).join(F.broadcast(sieve), "_w", "left")
-    hit = F.coalesce(F.col("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(cast({column} as long)), 32), 64) as int))")) != 0, F.lit(False))
+    told = rows.withColumn("_w", F.expr(f"pmod({_hashed(column)}, {SIEVE})")).join(F.broadcast(sieve), "_w", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(_bits(column)) == _bits(column), F.lit(False))
     return told.withColumn(into, hit).drop("_w", "_bits")
 
 
@@ -106,7 +113,8 @@ def _suspect_edges(graph: PropertyGraph, base: int, target: int, told: DataFrame
     """The edges that may differ, with all others of their names: those with an end that may not be steady, and those in
     buckets that differ. Stored."""
     loose = told.where("not steady")
-    many = _named(_snapshots(graph.nodes, base, target)).join(loose.where("c > 2").select(*_KEY), _KEY, "left_semi").select(_place("id", shift).alias("place"))
+    doubled = stage(loose.where("c > 2").select(*_KEY))  # mostly none: then no node is read for them
+    many = _met(_named(_snapshots(graph.nodes, base, target)), _sieve(doubled.select("k1")), "k1", "_near").where("_near").join(doubled, _KEY, "left_semi").select(_place("id", shift).alias("place"))
     sieve = stage(_sieve(loose.select(F.explode(F.array("low", "high")).alias("place")).unionByName(many)))
     edges = _snapshots(graph.edges, base, target).select("source_id", "target_id", "edge_type", "project_id", "sign", "properties", "confidence")
     edges = edges.withColumns({"a": _place("source_id", shift), "b": _place("target_id", shift)})
